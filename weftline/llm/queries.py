@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import mix, spans, split, tokenize
+from weftline.llm import mix, spans, split, survivors, tokenize
 
 QUERIES = {
+    "p1_found": survivors.p1_found,
+    "p1_survivors": survivors.p1_survivors,
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
     "p6_ids": tokenize.p6_ids,
