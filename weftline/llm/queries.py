@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weftline.llm import mix, spans, split, survivors, tokenize
+from weftline.llm import mix, personal, spans, split, survivors, tokenize
 
 QUERIES = {
     "p1_found": survivors.p1_found,
     "p1_survivors": survivors.p1_survivors,
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
+    "p5_found": personal.p5_found,
+    "p5_redacted": personal.p5_redacted,
     "p6_ids": tokenize.p6_ids,
     "p7_mix": mix.p7_mix,
     "p7_shares": mix.p7_shares,
