@@ -1,8 +1,9 @@
-"""Where long plans are cut: reliable checkpoints in the folder that all executors share."""
+"""Where long plans are cut: tables written to the checkpoint folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: later uses neither recompute it nor lose it with an executor."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written once to the shared folder and read back: later uses neither recompute it nor lose it with an executor.
+
+    The files are compressed columns, so a later use reads only what it needs. They go when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/weftline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    _forget(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Lets the folder's file system delete it when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
