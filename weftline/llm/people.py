@@ -81,15 +81,16 @@ def near(a: str, b: str) -> int:
 
 
 def is_short_form(token: str, given: str) -> bool:
-    """Whether a token is a diminutive or a piece of a given name."""
+    """Whether a token is a diminutive of a given name, or some of its letters in order (Thi, Cela, Digo)."""
     if token == given or len(token) < 2:
         return False
     for ending in ("inho", "inha"):
         if token.endswith(ending):
             stem = token[: -len(ending)]
-            return len(stem) >= 2 and (given == stem + ending[-1] or given.startswith(stem) or (given.endswith(ending[-1]) and stem in given))
+            return len(stem) >= 2 and stem in given and given[-1] != ("a" if ending == "inho" else "o")
     if len(token) <= 5 and len(token) < len(given):
-        return given.startswith(token) or (len(token) >= 3 and token in given) or (len(token) >= 4 and given.startswith(token[:-1]))
+        letters = iter(given)
+        return given.startswith(token) or (len(token) >= 4 and given.startswith(token[:-1])) or (len(token) >= 3 and all(c in letters for c in token))
     return False
 
 
@@ -142,10 +143,11 @@ class Lexicon:
             if typed:
                 rest = tuple(t for t in tokens if t != typed and len(t) > 2 and t not in self.common)
                 return Parsed("person", self.typed(typed), "typed", rest or tuple(t for t in tokens if t != typed and len(t) > 2)) if len(tokens) > 1 else None
-            short = next((t for t in tokens if len(t) <= 9 and any(is_short_form(t, g) for g in self.givens)), "")
-            longest = max(tokens, key=len)
-            if short and short != longest:
-                return Parsed("person", short, "short", tuple(t for t in tokens if t != short and len(t) > 2 and t not in self.common) or (longest,))
+            short = next((t for t in tokens if 1 < len(t) <= 9 and any(is_short_form(t, g) for g in self.givens)), "")
+            if short:
+                rare = tuple(t for t in tokens if t != short and len(t) > 2 and t not in self.common)
+                if rare:
+                    return Parsed("person", short, "short", rare)
             initial = next((t for t in tokens if len(t) == 1), "")
             rare = tuple(t for t in tokens if len(t) > 2 and t not in self.common)
             return Parsed("person", initial, "initial" if initial else "", rare) if rare else None

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import mix, personal, spans, split, survivors, tokenize
+from weftline.llm import mix, personal, spans, split, survivors, tokenize, variants
 
 QUERIES = {
     "p1_found": survivors.p1_found,
     "p1_survivors": survivors.p1_survivors,
+    "p2_found": variants.p2_found,
+    "p2_variants": variants.p2_variants,
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
     "p5_found": personal.p5_found,
