@@ -26,10 +26,13 @@ from pyspark.sql import types as T
 
 from weftline.functions.arrow import arrow_column
 from weftline.plans.lineage import cut
+from weftline.plans.sizes import small_side
 from weftline.sources.tables import table
 
 #: Seconds that clocks of two exports may differ, the offset of a wrong time zone, and shares of common 4-grams that make words the same.
 SKEW_S, ZONE_S, SAME = 91, 10800, 0.6
+#: Sources whose activities are messages.
+CHATS = ("teams", "whatsapp", "discord", "chatgpt")
 #: Times before this are no times (the epoch and its neighbourhood).
 FIRST_TIME = "1971-01-01"
 #: Times a learned step must have been seen.
@@ -96,48 +99,52 @@ def _full_hashes(named: DataFrame) -> DataFrame:
     return met.groupBy("key").agg(F.min("full").alias("full"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def _adopted(messages: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(uid, adopted) for uids of messages without an id: the key of the message they repeat."""
+def _digest(text: Column) -> Column:
+    """16 bytes that stand for a text in shuffles."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _uid() -> Column:
+    return _digest(F.coalesce("uid", F.concat(F.lit("row|"), F.col("record_id").cast("string"))))
+
+
+def _said(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, words: the messages' own words of some records; only these contents travel."""
     words = arrow_column(_bodies, T.StringType(), F.struct("content", F.coalesce(_meta("sender"), F.lit("")).alias("sender")))
+    wanted = records.join(small_side(ids.withColumnRenamed("id", "record_id")), "record_id", "left_semi")
+    return wanted.select(F.col("record_id").alias("id"), words.alias("words"))
+
+
+def _adopted(records: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(u, adopted) for the uids of messages without an id: what the activity they repeat is called."""
     said = F.get(F.filter("people", lambda p: p["role"] == "conversation"), F.lit(0))["name"]
     room = F.lower(F.trim(F.coalesce(_meta("conversation"), _filled(said), _filled(F.regexp_extract("content", r"\nConversa: \S+ ([^\n]*)", 1)))))
-    messages = messages.join(keyed, "uid", "left").select("uid", "record_id", "source", "key", room.alias("room"), F.unix_millis(_time()).alias("ms"), words.alias("words")).where(F.col("room").isNotNull())
-    # one table of candidates, read for both sides
-    messages = cut(messages)
+    chats = records.where(F.col("source").isin(*CHATS) | _meta("message_id").isNotNull() | _meta("conversation").isNotNull())
+    chats = chats.select(F.col("record_id").alias("id"), _uid().alias("u"), _digest(F.concat_ws("|", "source", room)).alias("room"), F.unix_millis(_time()).alias("ms"), room.isNotNull().alias("roomed"))
+    chats = cut(chats.where("roomed").drop("roomed").join(keyed.select("u", _digest(F.col("key")).alias("key")), "u", "left"))
     width = 2 * SKEW_S * 1000
-    lost = messages.where(F.col("key").isNull() & F.col("ms").isNotNull())
+    lost = chats.where(F.col("key").isNull() & F.col("ms").isNotNull())
     probes = F.array_distinct(F.array(*(F.floor((F.col("ms") + (zone + skew) * 1000) / width) for zone in (0, ZONE_S, -ZONE_S) for skew in (-SKEW_S, SKEW_S))))
-    left = lost.select("uid", "source", "room", "ms", "words", F.explode(probes).alias("slot"))
-    right = messages.where(F.col("ms").isNotNull()).select(F.col("uid").alias("other"), F.col("key").alias("other_key"), "source", "room", F.col("ms").alias("other_ms"), F.col("words").alias("other_words"), F.floor(F.col("ms") / width).alias("slot"))
+    left = lost.select("id", "u", "room", "ms", F.explode(probes).alias("slot"))
+    right = chats.where(F.col("ms").isNotNull()).select(F.col("id").alias("other_id"), F.col("u").alias("other"), F.col("key").alias("other_key"), "room", F.col("ms").alias("other_ms"), F.floor(F.col("ms") / width).alias("slot"))
     apart = F.abs(F.col("ms") - F.col("other_ms"))
     zoned = F.abs(apart - ZONE_S * 1000)
-    met = left.join(right, ["source", "room", "slot"]).where((F.col("uid") != F.col("other")) & ((apart <= SKEW_S * 1000) | (zoned <= SKEW_S * 1000)))
+    met = left.join(right, ["room", "slot"]).where((F.col("u") != F.col("other")) & ((apart <= SKEW_S * 1000) | (zoned <= SKEW_S * 1000)))
+    met = cut(met.select("id", "u", "other_id", "other", "other_key", F.least(apart, zoned + 1000).alias("apart")))
+    said = cut(_said(records, met.select("id").unionByName(met.select(F.col("other_id").alias("id"))).distinct()))
+    met = met.join(said, "id").join(said.select(F.col("id").alias("other_id"), F.col("words").alias("other_words")), "other_id")
     met = met.withColumn("alike", arrow_column(_alike, T.DoubleType(), F.struct("words", "other_words"))).where(F.col("alike") >= SAME)
-    rank = F.struct(F.col("other_key").isNull(), F.least(apart, zoned + 1000), -F.col("alike"), F.coalesce("other_key", "other"))
-    # undated ones: the only message of their conversation with the same words
-    undated = messages.where(F.col("key").isNull() & F.col("ms").isNull() & (F.length("words") >= 12)).select("uid", "source", "room", "words")
-    words_of = messages.where(F.length("words") >= 12).select(F.col("uid").alias("other"), F.coalesce("key", "uid").alias("other_key"), "source", "room", "words")
-    only = undated.join(words_of, ["source", "room", "words"]).where("uid <> other").groupBy("uid").agg(F.min("other_key").alias("adopted"), F.max("other_key").alias("last")).where("adopted = last").drop("last")
+    rank = F.struct(F.col("other_key").isNull(), F.col("apart"), -F.col("alike"), F.coalesce("other_key", "other"))
     # two uids without an id meet under the smaller one
-    best = met.groupBy("uid").agg(F.min_by(F.coalesce("other_key", F.least("uid", "other")), rank).alias("adopted"))
-    return best.unionByName(only).groupBy("uid").agg(F.min("adopted").alias("adopted"))
-
-
-def groups(records: DataFrame) -> DataFrame:
-    """`records` with `activity`, the same for all rows that tell one activity.
-
-    A null uid makes a row an activity of its own unless the source names it. Rows repeated in full are one activity.
-    """
-    rows = records.withColumn("uid", F.coalesce("uid", F.concat(F.lit("row|"), F.col("record_id").cast("string"))))
-    named = cut(rows.select("uid", identity().alias("key")).where("key is not null").groupBy("uid").agg(F.min("key").alias("key")))
-    completed = named.join(_full_hashes(named), "key", "left").select("uid", F.coalesce("full", "key").alias("key"))
-    # a visit without a time has a page but no key; only messages can be found by their words
-    messages = rows.where(F.try_element_at("metadata", F.lit("message_id")).isNotNull() | F.try_element_at("metadata", F.lit("conversation")).isNotNull() | F.col("source").isin("teams", "whatsapp", "discord", "chatgpt"))
-    adopted = cut(_adopted(messages, completed))
-    return (
-        rows.join(completed, "uid", "left").join(adopted, "uid", "left")
-        .withColumn("activity", F.coalesce("key", "adopted", "uid")).drop("key", "adopted")
-    )
+    best = met.groupBy("u").agg(F.min_by(F.coalesce("other_key", F.least("u", "other")), rank).alias("adopted"))
+    # undated ones: the only message of their conversation with the same words
+    undated = chats.where(F.col("key").isNull() & F.col("ms").isNull())
+    there = cut(chats.join(undated.select("room").distinct(), "room", "left_semi"))
+    same = there.join(_said(records, there.select("id")), "id").where(F.length("words") >= 12).select("u", "key", "ms", "room", _digest(F.col("words")).alias("words"))
+    lone = same.where("key is null and ms is null").select("u", "room", "words")
+    only = lone.join(same.select(F.col("u").alias("other"), F.coalesce("key", "u").alias("other_key"), "room", "words"), ["room", "words"]).where("u <> other")
+    only = only.groupBy("u").agg(F.min("other_key").alias("adopted"), F.max("other_key").alias("last")).where("adopted = last").drop("last")
+    return best.unionByName(only).groupBy("u").agg(F.min("adopted").alias("adopted"))
 
 
 def _revision() -> Column:
@@ -146,18 +153,36 @@ def _revision() -> Column:
     return F.when(digits.rlike(r"\A[0-9]+\z"), F.struct(F.length(digits).alias("n"), digits.alias("digits")))
 
 
+def groups(records: DataFrame) -> DataFrame:
+    """record_id, activity (16 bytes, the same for all rows that tell one activity) and what the choice among rows needs.
+
+    A null uid makes a row an activity of its own unless the source names it. Rows repeated in full are one activity.
+    """
+    filled = F.coalesce(F.size(F.filter(F.map_values("metadata"), lambda v: v.rlike(r"\S"))), F.lit(0))
+    rows = records.select("record_id", _uid().alias("u"), identity().alias("key"), _revision().alias("revision"), filled.alias("filled"), "occurred_at", _time().alias("time"), "exported_at")
+    named = cut(rows.where("key is not null").groupBy("u").agg(F.min("key").alias("key")))
+    completed = named.join(_full_hashes(named), "key", "left").select("u", F.coalesce("full", "key").alias("key"))
+    called = completed.select("u", _digest(F.col("key")).alias("activity")).unionByName(_adopted(records, completed).select("u", F.col("adopted").alias("activity")))
+    called = called.groupBy("u").agg(F.min("activity").alias("activity"))
+    return rows.drop("key").join(called, "u", "left").withColumn("activity", F.coalesce("activity", "u")).drop("u")
+
+
 def best_rows(grouped: DataFrame) -> DataFrame:
     """activity, record_id of its best row, n_rows. One aggregation with map-side combine, whatever the group's size."""
-    filled = F.coalesce(F.size(F.filter(F.map_values("metadata"), lambda v: v.rlike(r"\S"))), F.lit(0))
-    order = F.struct(_revision().alias("revision"), filled.alias("filled"), F.col("occurred_at"), (-F.col("record_id")).alias("id"))
+    order = F.struct("revision", "filled", "occurred_at", (-F.col("record_id")).alias("id"))
     return grouped.groupBy("activity").agg(F.max_by("record_id", order).alias("record_id"), F.count("*").alias("n_rows"))
 
 
-def cells(grouped: DataFrame) -> DataFrame:
-    """activity, field, value, stamp: the filled values of every row, dated where the row has a revision or a time."""
-    stamp = F.when(_revision().isNotNull() | _time().isNotNull(), F.struct(_revision().alias("revision"), _time().alias("time"), F.col("exported_at").alias("exported")))
-    fields = F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.map_from_arrays(F.array(F.lit("\0content"), F.lit("\0occurred_at")), F.array("content", _time().cast("string"))))
-    return grouped.select("activity", stamp.alias("stamp"), F.explode(fields).alias("field", "value")).where(F.col("value").rlike(r"\S"))
+def stamped(grouped: DataFrame) -> DataFrame:
+    """Rows with `stamp`: revision, time, export; null where neither revision nor time is known."""
+    dated = F.col("revision").isNotNull() | F.col("time").isNotNull()
+    return grouped.select("record_id", "activity", F.when(dated, F.struct("revision", "time", F.col("exported_at").alias("exported"))).alias("stamp"), "time")
+
+
+def cells(told: DataFrame, records: DataFrame) -> DataFrame:
+    """activity, field, value, stamp: the filled metadata of every row told more than once."""
+    held = records.where(F.size("metadata") > 0).select("record_id", "metadata").join(told, "record_id")
+    return held.select("activity", "stamp", F.explode("metadata").alias("field", "value")).where(F.col("value").rlike(r"\S"))
 
 
 def learned_steps(values: DataFrame) -> DataFrame:
@@ -169,37 +194,42 @@ def learned_steps(values: DataFrame) -> DataFrame:
     return counts.join(back, ["field", "value", "next"], "left").where("n > coalesce(back, 0)").select("field", "value", "next")
 
 
-def fused(grouped: DataFrame) -> DataFrame:
-    """activity, fields: the surviving value of every field."""
-    values = cut(cells(grouped).groupBy("activity", "field", "value").agg(F.max("stamp").alias("stamp"), F.count("*").alias("n")))
-    undated = values.where("stamp is null").select("activity", "field").distinct()
-    # only groups with an undated value need the learned precedences
-    unsure = values.join(undated, ["activity", "field"], "left_semi")
+def fused(told: DataFrame, records: DataFrame) -> DataFrame:
+    """activity, metadata: the surviving value of every field."""
+    values = cut(cells(told, records).groupBy("activity", "field", "value").agg(F.max("stamp").alias("stamp"), F.count("*").alias("n")))
+    # only fields with an undated value among several need the learned precedences
+    unsure = values.groupBy("activity", "field").agg(F.count("*").alias("values"), F.max(F.col("stamp").isNull()).alias("undated")).where("values > 1 and undated")
+    unsure = cut(values.join(unsure.select("activity", "field"), ["activity", "field"], "left_semi"))
     after = unsure.join(learned_steps(values), ["field", "value"]).select("activity", "field", "value", "stamp", "next")
     followed = after.join(unsure.select("activity", "field", F.col("value").alias("next"), F.col("stamp").alias("next_stamp")), ["activity", "field", "next"])
-    followed = followed.where("stamp is null or next_stamp is null").select("activity", "field", "value").distinct().withColumn("followed", F.lit(True))
+    followed = cut(followed.where("stamp is null or next_stamp is null").select("activity", "field", "value").distinct().withColumn("followed", F.lit(True)))
     order = F.struct(F.col("followed").isNull(), F.col("stamp"), F.col("n"), F.length("value"), F.col("value"))
-    chosen = values.join(followed, ["activity", "field", "value"], "left").groupBy("activity", "field").agg(F.max_by("value", order).alias("value"))
-    return chosen.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    chosen = values.join(small_side(followed), ["activity", "field", "value"], "left").groupBy("activity", "field").agg(F.max_by("value", order).alias("value"))
+    return chosen.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("metadata"))
 
 
 def survivors(records: DataFrame, least_rows: int = 1) -> DataFrame:
-    """One row an activity told by `least_rows` rows or more: record_id of the best row, n_rows, and the fused content, occurred_at and metadata.
+    """One row an activity told by `least_rows` rows or more: record_id of the best row, n_rows, the fused occurred_at and
+    metadata, and content_id, the record whose content survives (`with_contents` adds the content itself).
 
     `records` has record_id, uid, source, occurred_at, content, metadata, people, exported_at. Nulls in any column: see
     `groups`; a null or empty map, blank values and null contents add nothing. Ties end at the smallest record_id and the
     greatest value. Very long contents are compared whole. An empty table gives an empty result; other columns are ignored.
-    Fields of an activity are as many as its sources have, so a group's values, not its rows, come together in one map.
+    A group's fields, not its rows, come together in one map.
     """
-    grouped = groups(records.select("record_id", "uid", "source", "occurred_at", "content", "metadata", "people", "exported_at"))
+    grouped = cut(groups(records))
     best = cut(best_rows(grouped).where(F.col("n_rows") >= least_rows))
-    told = grouped.join(best.select("activity"), "activity", "left_semi")
-    whole = F.col("fields")
-    return best.join(fused(told), "activity", "left").select(
-        "record_id", "n_rows", F.try_element_at(whole, F.lit("\0content")).alias("content"),
-        F.try_element_at(whole, F.lit("\0occurred_at")).cast("timestamp").alias("occurred_at"),
-        F.map_filter(whole, lambda k, _: ~k.startswith("\0")).alias("metadata"),
-    )
+    told = cut(stamped(grouped).join(best.select("activity"), "activity", "left_semi"))
+    lengths = records.where(F.col("content").rlike(r"\S")).select("record_id", F.length("content").alias("length"))
+    written = told.join(lengths, "record_id").groupBy("activity").agg(F.max_by("record_id", F.struct("stamp", "length", -F.col("record_id"))).alias("content_id"))
+    timed = told.groupBy("activity").agg(F.max_by("time", "stamp").alias("occurred_at"))
+    return best.join(timed, "activity", "left").join(written, "activity", "left").join(fused(told, records), "activity", "left").select("record_id", "n_rows", "content_id", "occurred_at", "metadata")
+
+
+def with_contents(survived: DataFrame, records: DataFrame) -> DataFrame:
+    """`survivors` with the surviving content."""
+    contents = records.select(F.col("record_id").alias("content_id"), "content")
+    return survived.join(contents, "content_id", "left").select("record_id", "n_rows", "occurred_at", "content", "metadata")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,4 +237,5 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors(table(spark, sf_dir, "records"))
+    records = table(spark, sf_dir, "records")
+    return with_contents(survivors(records), records)
