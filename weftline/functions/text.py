@@ -22,8 +22,8 @@ PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE
 
 
 def fold(text: Column) -> Column:
-    """Lower case, Portuguese accents removed."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, Portuguese accents removed; the dot that lower case sets above the i of İ goes too."""
+    return F.translate(F.lower(text), ACCENTED + "\u0307", PLAIN)
 
 
 def letter_words(text: Column) -> Column:
@@ -65,7 +65,7 @@ def name_from_email(email: Column) -> Column:
 
 def headline(text: Column) -> Column:
     """The first line that isn't blank, trimmed; an empty string if there is none."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(line, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     return F.coalesce(F.get(F.filter(lines, lambda line: line != ""), F.lit(0)), F.lit(""))
 
 
