@@ -47,7 +47,7 @@ def r1_knn_filtered(spark, sf_dir):
 def r7_nearest_of_each(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.nearest_of_each(vectors, asked, 5).select("query_id", "vec_id", "rank")
+    return R.nearest_of_each(vectors, asked, 5).select("query_id", "vec_id", F.col("rank").cast("bigint"))
 
 
 @query("WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings) SELECT vec_id, list_sum(list_transform(e, lambda x: round(x * 127.0 / m)))::BIGINT AS total, array_to_string(list_transform(e, lambda x: round(x * 127.0 / m)::INT), ',') AS code FROM m")
@@ -394,7 +394,7 @@ def st_stream_ingest(spark, sf_dir):
     path = f"{sf_dir}/records.parquet"
     stream = spark.readStream.schema(table(spark, sf_dir, "records").schema).parquet(path if "*" in path else f"{path}*").select(rows.columns)
     load(stream, store, lambda: rows.select("uid").limit(0), f"{folder}/checkpoint").awaitTermination()
-    return store.read().select("uid").withColumn("n", F.lit(store.read().count()))
+    return store.read().select("uid").withColumn("n", F.lit(store.read().count()).cast("bigint"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,7 +240,7 @@ def w4_around_event(spark, sf_dir):
 SELECT anchor, record_id, abs(us - anchor_us) AS gap_us, row_number() OVER (PARTITION BY anchor ORDER BY abs(us - anchor_us), record_id) AS rank FROM a JOIN e ON us >= anchor_us - 7200000000 AND us < anchor_us + 7200000000 AND record_id <> anchor QUALIFY rank <= 4""")
 def j16_neighbours(spark, sf_dir):
     events = records(spark, sf_dir).select("record_id", "source", "occurred_at")
-    return evidence.neighbours(events.where("source = 'browser'"), events)
+    return evidence.neighbours(events.where("source = 'browser'"), events).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {S.PEOPLE} SELECT DISTINCT role, name_key, name FROM people")
