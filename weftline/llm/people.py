@@ -32,13 +32,20 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
+def _mended(pair: re.Match) -> str:
+    """Two characters that were one character's two bytes, read as Western text."""
+    for encoding in ("cp1252", "latin-1"):
+        try:
+            return pair.group().encode(encoding).decode("utf-8")
+        except UnicodeError:
+            continue
+    return pair.group()
+
+
 def clean(name: str) -> str:
     """Without decoration: broken encodings mended, brackets, emoji, marks and invisible characters gone."""
     if "Ã" in name or "Â" in name:
-        try:
-            name = name.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            pass
+        name = re.sub("[ÂÃ].", _mended, name, flags=re.S)
     name = re.sub(r"\[[^\]]*\]|\([^)]*\)", " ", unicodedata.normalize("NFKC", name))
     name = "".join(" " if unicodedata.category(c) in ("So", "Sk", "Sm") or c == "~" else c for c in name if unicodedata.category(c) not in ("Cf", "Cs", "Co", "Cn"))
     return " ".join(name.split())
