@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators.people import AUTHOR, MENTIONED, SENDER, people_index
+from weftline.plans.lineage import cut
 from weftline.sources.events import FILE, GIT, filled, meta
 
 PERSON, FILE_ENTITY, IMAGE = "person", "file", "image"
@@ -47,7 +48,7 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int = MOST_HOPS) -> Data
 
     One join a hop over the frontier alone; nodes known already are left out, so hot nodes are entered once.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     known = start.select(F.col("node"), F.lit(0).alias("hops")).distinct()
     frontier = known
     for hop in range(1, min(hops, MOST_HOPS) + 1):

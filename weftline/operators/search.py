@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.functions import vectors as V
 from weftline.functions.chunking import chunk_spans
+from weftline.plans.lineage import cut
 
 #: The constant of reciprocal rank fusion, and the parameters of BM25.
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
@@ -80,11 +81,27 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(texts: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf, positions) of every word, and (key, length) of every text."""
+def postings(texts: DataFrame, key: str, text: str = "text", terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(term, key, tf, positions) of every word, and (key, length) of every text; with `terms`, words that none of them means are left out.
+
+    A term ending in * means every word it begins. The words are cut down inside their arrays, before anything is exploded,
+    and every text is taken apart once.
+    """
     words = texts.select(key, X.word_tokens(F.col(text)).alias("words"))
-    spots = words.select(key, F.posexplode("words").alias("at", "term"))
-    return spots.groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")), words.select(key, F.size("words").alias("length"))
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    if terms is not None:
+        whole = [t for t in terms if not t.endswith("*")]
+
+        def meant(spot: Column) -> Column:
+            found = spot["term"].isin(*whole) if whole else F.lit(False)
+            for start in (t[:-1] for t in terms if t.endswith("*")):
+                found = found | spot["term"].startswith(start)
+            return found
+
+        placed = F.filter(placed, meant)
+    taken = cut(words.select(key, F.size("words").alias("length"), placed.alias("spots")))
+    spots = taken.select(key, F.explode("spots").alias("s")).select(key, "s.term", "s.at")
+    return spots.groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")), taken.select(key, "length")
 
 
 def content_words(question: str) -> list[str]:

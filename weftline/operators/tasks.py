@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators.timeline import nearest_cited
+from weftline.plans.lineage import cut
 from weftline.plans.sizes import small_side
 from weftline.sources.events import BROWSER, GIT, TEAMS, filled, meta
 
@@ -122,9 +123,9 @@ def assigned(period: DataFrame, linked: DataFrame, patterns=TASK_PATTERNS, hosts
 
 def report(period: DataFrame, history: DataFrame, period_end, patterns=TASK_PATTERNS, hosts=HOSTS, key: str = "record_id") -> DataFrame:
     """task, title, first_at, n_events, n_prs, status, involvement, in order of first touch."""
-    linked = linked_pull_requests(pull_requests(history, patterns, hosts, key), period, patterns)
+    linked = cut(linked_pull_requests(pull_requests(history, patterns, hosts, key), period, patterns))
     told = assigned(period, linked, patterns, hosts, key).where("task is not null")
-    every = told.withColumn("one", F.explode(F.array_distinct(F.concat(F.array("task"), "cited"))))
+    every = cut(told.withColumn("one", F.explode(F.array_distinct(F.concat(F.array("task"), "cited")))).select(key, "source", "occurred_at", "us", "metadata", "cited", "one"))
     direct = F.array_contains("cited", F.col("one"))
     own = (F.col("source") == TEAMS) & (meta("sent_by_me") == "true") | (F.col("source") == GIT) & (F.coalesce(meta("authorship"), F.lit("")) != "other")
     level = F.when(direct & own, 2).when(direct & (F.col("source") == BROWSER), 1).otherwise(0)
