@@ -13,9 +13,9 @@ NEIGHBOUR_MINUTES, NEIGHBOURS = 120, 4
 
 
 def best_chunk(hits: DataFrame, event: str = "record_id", distance: str = "distance", ordinal: str = "ordinal") -> DataFrame:
-    """The nearest chunk of every event."""
-    order = Window.partitionBy(event).orderBy(distance, ordinal)
-    return hits.withColumn("_best", F.row_number().over(order)).where("_best = 1").drop("_best")
+    """The nearest chunk of every event: an aggregation, combined before the shuffle."""
+    row = F.struct(*hits.columns)
+    return hits.groupBy(event).agg(F.min_by(row, F.struct(distance, ordinal)).alias("_row")).select("_row.*")
 
 
 def usable(events: DataFrame, own_only: bool = False) -> DataFrame:
@@ -25,11 +25,13 @@ def usable(events: DataFrame, own_only: bool = False) -> DataFrame:
 
 
 def collapse_repeats(hits: DataFrame, key: Column, *order: str, at: str = "occurred_at") -> DataFrame:
-    """The first hit of every key, with how many others it stands for and the latest time."""
-    keyed = hits.withColumn("repeat_key", key)
-    by_rank = Window.partitionBy("repeat_key").orderBy(*order)
-    group = Window.partitionBy("repeat_key")
-    return keyed.withColumn("_nth", F.row_number().over(by_rank)).withColumn("repeats", F.count("*").over(group) - 1).withColumn("latest_at", F.max(at).over(group)).where("_nth = 1").drop("_nth")
+    """The first hit of every key, with how many others it stands for and the latest time.
+
+    An aggregation, combined before the shuffle: a key of a third of all hits is no burden to one task.
+    """
+    row = F.struct(*hits.columns)
+    kept = hits.groupBy(key.alias("repeat_key")).agg(F.min_by(row, F.struct(*order)).alias("_row"), (F.count("*") - 1).alias("repeats"), F.max(at).alias("latest_at"))
+    return kept.select("_row.*", "repeat_key", "repeats", "latest_at")
 
 
 def gates(hits: DataFrame, max_distance: float = MAX_DISTANCE, max_best: float = MAX_BEST, per: tuple[str, ...] = ()) -> DataFrame:

@@ -42,9 +42,9 @@ def counts_around(events: DataFrame, minutes: int, *by: str) -> DataFrame:
 
 
 def latest_versions(events: DataFrame, key: str = "record_id") -> DataFrame:
-    """The last version of every file."""
-    order = Window.partitionBy(meta("path")).orderBy(F.col("occurred_at").desc_nulls_last(), F.col(key).desc())
-    return events.where((F.col("source") == FILE) & meta("path").isNotNull()).withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    """The last version of every file: an aggregation, combined before the shuffle."""
+    files = events.where((F.col("source") == FILE) & meta("path").isNotNull())
+    return files.groupBy(meta("path").alias("_path")).agg(F.max_by(F.struct(*events.columns), F.struct("occurred_at", key)).alias("_row")).select("_row.*")
 
 
 def file_versions(current: DataFrame, history: DataFrame) -> DataFrame:
