@@ -186,9 +186,14 @@ def cells(told: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def learned_steps(values: DataFrame) -> DataFrame:
-    """field, value, next: steps between dated values seen in several groups, and more often than their reverse."""
+    """field, value, next: steps between dated values seen in several groups, and more often than their reverse.
+
+    A step seen in several groups is one between values that stand in several groups, so the others are left out first:
+    what is sorted within a group is its recurring values, not its rows.
+    """
+    recurring = values.groupBy("field", "value").agg(F.count("*").alias("groups")).where(F.col("groups") >= SUPPORT).select("field", "value")
     by_date = Window.partitionBy("activity", "field").orderBy("stamp", "value")
-    steps = values.where("stamp is not null").withColumn("next", F.lead("value").over(by_date)).where("next is not null")
+    steps = values.where("stamp is not null").join(recurring, ["field", "value"], "left_semi").withColumn("next", F.lead("value").over(by_date)).where("next is not null")
     counts = steps.groupBy("field", "value", "next").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     back = counts.select("field", F.col("value").alias("next"), F.col("next").alias("value"), F.col("n").alias("back"))
     return counts.join(back, ["field", "value", "next"], "left").where("n > coalesce(back, 0)").select("field", "value", "next")
