@@ -73,7 +73,7 @@ def _whole_year(back: int) -> Callable[[date], DayRange]:
     return lambda today: DayRange(date(today.year - back, 1, 1), date(today.year - 1, 12, 31) if back else today)
 
 
-#: Phrases by the range they name; those of one language before the other's, in order.
+#: Phrases by the range they name; those of one language before the other's, in order.
 KEYWORDS: tuple[tuple[str, Callable[[date], DayRange]], ...] = (
     (r"\banteontem\b", _ago(2, 2)), (r"\bontem\b", _ago(1, 1)), (r"\bhoje\b", _ago(0)),
     (r"\bsemana (passada|anterior)\b", _week(1)), (r"\b(esta|essa|nesta|nessa) semana\b", _week(0)), (r"\bultima semana\b", _ago(6)),

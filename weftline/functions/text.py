@@ -18,6 +18,10 @@ CREDENTIALS = (
     (r"xox[bp]-[A-Za-z0-9-]{10,}", "slack-token"),
     (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "jwt"),
 )
+#: The markup of messages: line breaks, what has no text, quoted messages and their authors, mentions.
+BREAKS, NO_TEXT = r"(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", r"(?is)<(style|script)[^>]*>.*?</(style|script)>"
+QUOTE, QUOTE_AUTHOR = r"(?is)<blockquote[^>]*>(.*?)</blockquote>", r"""(?is)<strong[^>]*itemprop="mri"[^>]*>(.*?)</strong>"""
+MENTION = r"""(?is)<span[^>]*itemtype="[^"]*Mention[^"]*"[^>]*>(.*?)</span>"""
 PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
 
 
@@ -126,8 +130,7 @@ def unescape_entities(text: Column) -> Column:
 
 
 def _plain(fragment: Column) -> Column:
-    text = F.regexp_replace(fragment, r"(?is)<(style|script)[^>]*>.*?</(style|script)>", "")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", "\n")
+    text = F.regexp_replace(F.regexp_replace(fragment, NO_TEXT, ""), BREAKS, "\n")
     text = unescape_entities(F.regexp_replace(text, r"<[^>]*>", ""))
     text = F.regexp_replace(text, "[ \t ]+", " ")
     text = F.regexp_replace(text, r" +([,.;:!?])", "$1")
@@ -137,14 +140,11 @@ def _plain(fragment: Column) -> Column:
 
 def html_to_text(body: Column) -> Column:
     """A message's markup as text: mentions behind @, quoted messages after the reply."""
-    block = r"(?is)<blockquote[^>]*>(.*?)</blockquote>"
-    author = r"""(?is)<strong[^>]*itemprop="mri"[^>]*>(.*?)</strong>"""
     quotes = F.transform(
-        F.regexp_extract_all(body, F.lit(block), F.lit(1)),
-        lambda quote: F.replace(_plain(F.regexp_replace(F.regexp_replace(quote, author, "$1: "), r"<[^>]*>", " ")), F.lit("\n"), F.lit(" ")),
+        F.regexp_extract_all(body, F.lit(QUOTE), F.lit(1)),
+        lambda quote: F.replace(_plain(F.regexp_replace(F.regexp_replace(quote, QUOTE_AUTHOR, "$1: "), r"<[^>]*>", " ")), F.lit("\n"), F.lit(" ")),
     )
-    mention = r"""(?is)<span[^>]*itemtype="[^"]*Mention[^"]*"[^>]*>(.*?)</span>"""
-    text = _plain(F.regexp_replace(F.regexp_replace(body, block, ""), mention, "@$1 "))
+    text = _plain(F.regexp_replace(F.regexp_replace(body, QUOTE, ""), MENTION, "@$1 "))
     answered = F.transform(F.filter(quotes, lambda q: q != ""), lambda q: F.concat(F.lit("\n↪ em resposta a "), q))
     return F.trim(F.concat(text, F.array_join(answered, "")))
 

@@ -15,7 +15,7 @@ from weftline.plans.sizes import small_side
 from weftline.sources.events import BROWSER, GIT, TEAMS, filled, meta
 
 INHERIT_MINUTES, CREATE_MINUTES, PROBABLE_MINUTES = 20, 15, 120
-#: Links of common trackers; all groups of a pattern together are the task's key, the last one its identifier.
+#: Links of common trackers; all groups of a pattern together are the task's key, the last one its identifier.
 TASK_PATTERNS = (
     (r"atlassian\.net/browse/([A-Z][A-Z0-9]+-\d+)", 1),
     (r"linear\.app/[\w-]+/issue/([A-Z][A-Z0-9]+-\d+)", 1),
@@ -32,6 +32,7 @@ class CodeHost:
     create: str
 
 
+#: The pages of common code hosts.
 HOSTS = (
     CodeHost(r"^https://github\.com/([\w.-]+/[\w.-]+)/pull/(\d+)(?:[/?#].*)?$", r"^https://github\.com/([\w.-]+/[\w.-]+)/compare/"),
     CodeHost(r"^https?://([\w.-]+(?:/[\w.-]+)+?)/-/merge_requests/(\d+)(?:[/?#].*)?$", r"^https?://([\w.-]+(?:/[\w.-]+)+?)/-/merge_requests/new"),

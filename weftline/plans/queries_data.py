@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.functions import vectors as V
-from weftline.operators import evidence, ingest, mapping, metrics, tasks, timeline
+from weftline.operators import answer, evidence, ingest, mapping, metrics, tasks, timeline
 from weftline.operators import filters as E
 from weftline.operators import search as R
 from weftline.plans import query as Q
@@ -368,6 +368,111 @@ def i17_representations(spark, sf_dir):
     return ingest.latest_representations(rows).drop("vector")
 
 
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.concat("text", F.lit("\f"), F.coalesce("title", F.lit("")), F.lit("\f ")).alias("content"))
+
+
+@query("SELECT doc_id, unnest(range(1, len(p) + 1)) AS page, unnest(list_transform(p, lambda x: CASE WHEN regexp_matches(x, '\\S') THEN 'read' ELSE 'pending' END)) AS state FROM (SELECT doc_id, string_split(text || chr(12) || coalesce(title, '') || chr(12) || ' ', chr(12)) AS p FROM documents WHERE text IS NOT NULL)")
+def s8_pages(spark, sf_dir):
+    return answer.pages(_paged(spark, sf_dir), "doc_id").select("doc_id", F.col("page").cast("bigint"), "state")
+
+
+@query("SELECT record_id, regexp_matches(r.metadata['url'], '^https://.*\\.example/docs/.*$') AS allowed FROM records r WHERE source = 'browser'")
+def s26_in_scope(spark, sf_dir):
+    return records(spark, sf_dir).where("source = 'browser'").select("record_id", answer.in_scope(EV.meta("url"), ["https://*.example/docs/*"]).alias("allowed"))
+
+
+@query("SELECT least(count(*), 700) AS n FROM records WHERE source = 'teams'")
+def a1_capped_count(spark, sf_dir):
+    return spark.createDataFrame([(answer.capped_count(records(spark, sf_dir).where("source = 'teams'"), 700),)], "n bigint")
+
+
+@query(f"WITH {S.PEOPLE} SELECT DISTINCT record_id FROM people WHERE role IN ('sender', 'author', 'mentioned') AND name_key IN ('natalia zazitafe', 'bruno tezavajo')")
+def f13_linked_entities(spark, sf_dir):
+    from weftline.operators import graph
+
+    events = records(spark, sf_dir)
+    return answer.linked_to(events, graph.entity_links(events), ["natalia zazitafe", "bruno tezavajo"]).select("record_id")
+
+
+@query()
+def j4_chunks_of_period(spark, sf_dir):
+    events = records(spark, sf_dir)
+    when = E.in_period(datetime(2026, 1, 1, tzinfo=UTC), datetime(2026, 7, 1, tzinfo=UTC))
+    chunks = answer.in_period_chunks(R.text_chunks(events), events, when)
+    return chunks.join(answer.sibling_counts(chunks), ["source", "content_hash"]).select("source", "content_hash", "ordinal", "n_chunks")
+
+
+@query("SELECT l_partkey AS image, l_returnflag AS model FROM lineitem WHERE l_returnflag <> 'A' OR l_linestatus IS DISTINCT FROM 'F' GROUP BY l_partkey, l_returnflag")
+def j10_outdated(spark, sf_dir):
+    described = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sha256"), F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("prompt")).distinct()
+    images = described.select("sha256").distinct()
+    return answer.outdated(images, described, "A", "F").select(F.col("sha256").alias("image"), "model").distinct()
+
+
+@query("SELECT count(*) AS n, count(DISTINCT text) AS n_texts FROM documents WHERE text IS NOT NULL")
+def i5_shared_embeddings(spark, sf_dir):
+    import numpy as np
+
+    model = lambda texts: np.array([[len(t), t.count(" ")] for t in texts], dtype=np.float32)  # noqa: E731 - stands for a model
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    made = answer.embedded(docs, model)
+    return made.agg(F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"))
+
+
+@query("WITH b AS (SELECT vec_id // 100 AS block, count(*) AS live FROM embeddings GROUP BY 1) SELECT count(*) AS blocks, sum(live)::BIGINT AS used, count(*) * 128 AS slots, round((count(*) - ceil(sum(live) / 128)) / count(*), 6) AS reclaimable FROM b")
+def a22_slots(spark, sf_dir):
+    blocks = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 100).alias("block")).agg(F.count("*").alias("live"))
+    found = answer.slot_statistics(blocks, 128)
+    return found.select("blocks", "used", "slots", F.round("reclaimable", 6).alias("reclaimable"))
+
+
+@query(f"SELECT vec_id FROM (SELECT b.vec_id, round(1 - {_DOT}, 9) AS d FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) a, embeddings b) WHERE d <= 0.72")
+def f22_on_topic(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    wanted = vectors.orderBy("vec_id").select("embedding").first()["embedding"]
+    distance = F.round(V.cosine_distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in wanted))), 9)
+    return answer.on_topic(vectors.select("vec_id", distance.alias("distance"), F.col("vec_id").alias("record_id"), F.col("vec_id").alias("occurred_at"))).select("vec_id")
+
+
+@query()
+def r4_retrieve(spark, sf_dir):
+    """The whole way from a question to ranked events: documents as events, the test vectors as their chunks' embeddings."""
+    docs = table(spark, sf_dir, "documents")
+    events = docs.select(F.col("doc_id").alias("record_id"), "source", F.col("created_at").alias("occurred_at"), F.col("text").alias("content"), F.create_map(F.lit("title"), F.coalesce("title", F.lit(""))).alias("metadata"))
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding").join(docs.select(F.col("doc_id").alias("record_id"), F.coalesce("text", F.lit("")).alias("text")), "record_id").withColumn("chunk_id", F.col("record_id"))
+    wanted = chunks.orderBy("chunk_id").select("embedding").first()["embedding"]
+    found = answer.retrieve("o que houve depois do lote atrasado?", chunks, events, list(wanted))
+    return found.select("record_id", "rank", "source")
+
+
+@query("SELECT question, n FROM (SELECT vec_id AS question, 3 AS n FROM embeddings WHERE vec_id % 20 = 0)")
+def k4_answer_report(spark, sf_dir):
+    from weftline.operators import export
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = R.nearest_of_each(vectors, asked, 3).select(F.col("query_id").alias("question"), "rank", F.col("vec_id").alias("key"), "distance")
+    report = export.answer_report(hits)
+    return report.select("question", F.size(F.from_json("report", "hits array<struct<rank:int,key:bigint>>")["hits"]).alias("n"))
+
+
+@query()
+def a21_unassigned(spark, sf_dir):
+    history = records(spark, sf_dir)
+    linked = tasks.linked_pull_requests(tasks.pull_requests(history, LOCAL_TASKS, LOCAL_HOSTS), history, LOCAL_TASKS)
+    return tasks.unassigned(tasks.assigned(history, linked, LOCAL_TASKS, LOCAL_HOSTS))
+
+
+@query("SELECT DISTINCT regexp_extract(url, '//([\\w-]+)\\.\\w+/tarefas/(\\d+)', 1) || '/' || regexp_extract(url, '//([\\w-]+)\\.\\w+/tarefas/(\\d+)', 2) AS task FROM (SELECT r.metadata['url'] AS url FROM records r WHERE source = 'browser' AND occurred_at IS NOT NULL) WHERE regexp_matches(url, '//([\\w-]+)\\.\\w+/tarefas/(\\d+)')")
+def q14_cited_tasks(spark, sf_dir):
+    history = records(spark, sf_dir).where(F.col("occurred_at").isNotNull())
+    visits = history.where("source = 'browser'")
+    every = visits.select(F.explode(tasks.task_refs(tasks.link_text(), LOCAL_TASKS)).alias("t")).select(F.col("t.key").alias("task")).distinct()
+    return tasks.cited_by(every, visits, LOCAL_TASKS)
+
+
 QUESTIONS = ("liste os commits de ontem", "mensagens que recebi semana passada", "resumo de hoje", "tarefas pendentes desta semana", "what did I do yesterday", "quem falou do lote atrasado?", "commits e mensagens de ontem")
 
 
