@@ -18,7 +18,17 @@ PLACEHOLDERS = {"eu", "voce", "desconhecido", "me", "you", "yo", "unknown", "des
 TITLES = {"dr", "dra", "eng", "enga", "prof", "profa", "sr", "sra", "mr", "mrs", "ms"}
 LEGAL = {"ltda", "ltd", "sa", "eireli", "me", "epp", "inc", "cia", "grupo", "group", "llc", "gmbh", "corp", "mei"}
 BUSINESS = ("alimentos", "comercio", "construtora", "consultoria", "engenharia", "industria", "logistica", "servicos", "sistemas", "solucoes", "tecnologia", "transportes")
-#: A token is common (a given name, a middle name, a word) if it stands beside so many different tokens.
+#: Usual short forms of given names that aren't their letters in order, or that could be those of too many.
+NICKNAMES = {
+    "bea": ("beatriz",), "bel": ("isabel", "isabela"), "beth": ("elizabeth",), "beto": ("roberto", "alberto"), "bia": ("beatriz",), "bill": ("william",), "bru": ("bruna", "bruno"),
+    "ceci": ("cecilia",), "cela": ("marcela",), "celo": ("marcelo",), "chico": ("francisco",), "dan": ("daniel",), "dani": ("daniel", "daniela"), "digo": ("rodrigo",), "dri": ("adriana", "adriano"), "drica": ("adriana",),
+    "du": ("eduardo",), "dudu": ("eduardo",), "edu": ("eduardo",), "fe": ("fernanda", "felipe"), "fer": ("fernanda", "fernando"), "gabi": ("gabriela",), "guida": ("margarida",), "isa": ("isabela", "isabel"),
+    "joca": ("joao",), "jon": ("jonathan",), "kate": ("katherine",), "kathy": ("katherine",), "kiko": ("francisco",), "lena": ("helena",), "leo": ("leonardo",), "liz": ("elizabeth",), "lu": ("luis", "lucia", "luciana"), "lula": ("luis",),
+    "mag": ("margarida",), "mike": ("michael",), "nanda": ("fernanda",), "nat": ("natalia",), "nati": ("natalia",), "ne": ("ines",), "pat": ("patricia",), "paty": ("patricia",), "rafa": ("rafael", "rafaela"),
+    "su": ("susana",), "susi": ("susana",), "suzi": ("susana",), "tavinho": ("otavio",), "tavo": ("otavio",), "thi": ("thiago",), "tom": ("antonio", "thomas"), "tonho": ("antonio",), "toni": ("antonio",), "tony": ("antonio",),
+    "vini": ("vinicius",), "will": ("william",), "yas": ("yasmin",),
+}
+#: A token is common (a given name, a middle name, a word) if it stands beside so many different tokens at least.
 COMMON = 9
 #: The most common tokens that are sent to executors; beyond this many, only those beside most tokens are.
 LEXICON_ROWS = 50_000
@@ -91,6 +101,8 @@ def is_short_form(token: str, given: str) -> bool:
     """Whether a token is a diminutive of a given name, or some of its letters in order (Thi, Cela, Digo)."""
     if token == given or len(token) < 2:
         return False
+    if token in NICKNAMES:
+        return given in NICKNAMES[token]
     for ending in ("inho", "inha"):
         if token.endswith(ending):
             stem = token[: -len(ending)]
@@ -171,16 +183,21 @@ def name_tokens(names: DataFrame) -> DataFrame:
 def learn(names: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Common tokens (token, is_given) and the distinct rare ones (token) of distinct `names`; `alone` are given names seen alone.
 
-    A given name stands beside many different tokens and mostly first; nothing is counted more than once a string.
+    A given name stands beside many different tokens and mostly first; nothing is counted more than once a string. What counts
+    as many grows with the corpus: a quarter of what given names seen alone stand beside.
     """
     tokens = cut(name_tokens(names))
     several = tokens.where(F.size("tokens") > 1).select("name", F.posexplode("tokens").alias("at", "token"), "tokens")
     beside = several.select("token", F.explode("tokens").alias("other")).where("token <> other").distinct().groupBy("token").agg(F.count("*").alias("n"))
     first = several.groupBy("token").agg(F.avg((F.col("at") == 0).cast("double")).alias("first"))
     single = name_tokens(alone).where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token")).distinct().withColumn("alone", F.lit(True))
-    facts = beside.join(first, "token").join(single, "token", "full").where((F.length("token") >= 3))
-    common = facts.where((F.col("n") >= COMMON) | F.col("alone")).select("token", F.coalesce(F.col("alone"), F.col("first") > 0.5).alias("is_given"), F.coalesce("n", F.lit(0)).alias("n"))
-    common = cut(common)
+    facts = cut(beside.join(first, "token").join(single, "token", "full").where(F.length("token") >= 3).withColumn("n", F.coalesce("n", F.lit(0))))
+    usual = facts.where("alone").agg(F.percentile_approx("n", 0.5)).first()[0] or 0
+    least = max(COMMON, usual // 4)
+    # written in full a given name stands beside about as many tokens as the others do; nicknames beside far fewer
+    given = F.coalesce(F.col("alone"), (F.col("first") > 0.5) & (F.col("n") >= usual / 2))
+    nickname = F.col("alone").isNull() & (F.col("first") > 0.5) & (F.col("n") < usual / 2)
+    common = cut(facts.where(((F.col("n") >= least) & ~F.coalesce(nickname, F.lit(False))) | F.col("alone")).select("token", given.alias("is_given"), "n"))
     rare = several.select("token").distinct().where(F.length("token") > 3).join(common.select("token"), "token", "left_anti")
     return common, rare
 
