@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from weftline.plans.lineage import cut
 
 #: The constant of reciprocal rank fusion, and the parameters of BM25.
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
+#: Query vectors sent to the executors at once.
+QUERY_BLOCK = 16_384
 #: Neighbours and keyword hits fetched for each result wanted, as chatter and repeats go later.
 VECTOR_HEADROOM, LEXICAL_HEADROOM = 3, 12
 #: Words that match everything and rank nothing.
@@ -48,39 +54,36 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, key, distance, rank: the k nearest rows of every query vector.
 
-    A stated set of queries against all rows, in blocks: each Arrow batch of rows is multiplied with a block of queries and
-    only k candidates a query leave a batch, so what is shuffled grows with batches and queries, not with their product.
+    A stated set of queries against all rows, in blocks: QUERY_BLOCK queries at a time are sent to the executors, each Arrow
+    batch of rows is multiplied with them, and only k candidates a query leave a batch. More queries make more rounds over
+    the rows, never a larger broadcast.
     """
-    import functools
-
-    import numpy as np
-    import pyarrow as pa
-
-    rows = queries.select("query_id", vector).collect()  # the query set is stated by the caller and small against the rows
-    ids = [r["query_id"] for r in rows]
-    matrix = np.array([list(r[vector]) for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def block(batches, shared=shared):
-        ids, matrix = shared.value
-        for batch in batches:
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(ids) or not batch.num_rows:
-                continue
-            rows_ = values.reshape(batch.num_rows, -1)
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), 256):
-                distance = 1.0 - matrix[at : at + 256] @ rows_.T
-                for i, line in enumerate(distance):
-                    best = np.lexsort((names, line))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[at + i]] * len(best)), pa.array(names[best]), pa.array(line[best])], names=["query_id", key, "distance"])
-
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key]
-    near = vectors.select(key, vector).mapInArrow(functools.partial(block), f"query_id {kinds[0]}, {key} {kinds[1]}, distance double")
+    rounds = max(1, -(-queries.count() // QUERY_BLOCK))
+    near = None
+    for one in range(rounds):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == one).select("query_id", vector).collect()
+        matrix = np.array([list(r[vector]) for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], matrix))
+        part = vectors.select(key, vector).mapInArrow(functools.partial(_nearest_in_batches, shared=shared, k=k, key=key), f"query_id {kinds[0]}, {key} {kinds[1]}, distance double")
+        near = part if near is None else near.unionByName(part)
     order = Window.partitionBy("query_id").orderBy("distance", key)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _nearest_in_batches(batches: Iterator[pa.RecordBatch], shared, k: int, key: str) -> Iterator[pa.RecordBatch]:
+    ids, matrix = shared.value
+    for batch in batches:
+        if not ids or not batch.num_rows:
+            continue
+        rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+        names = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(ids), 256):
+            for i, line in enumerate(1.0 - matrix[at : at + 256] @ rows.T):
+                best = np.lexsort((names, line))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at + i]] * len(best)), pa.array(names[best]), pa.array(line[best])], names=["query_id", key, "distance"])
+
+
 def postings(texts: DataFrame, key: str, text: str = "text", terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(term, key, tf, positions) of every word, and (key, length) of every text; with `terms`, words that none of them means are left out.
 

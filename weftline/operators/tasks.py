@@ -99,7 +99,12 @@ def pull_requests(history: DataFrame, patterns=TASK_PATTERNS, hosts=HOSTS, key:
         F.min_by(single, F.when(single.isNotNull(), order)).alias("task_key"),
     )
     pages = history.where((F.col("source") == BROWSER) & F.col("occurred_at").isNotNull()).select(created_in(F.coalesce(meta("url"), F.lit("")), hosts).alias("repo"), F.col("occurred_at").alias("created_at")).where("repo is not null")
-    opened = found.join(pages, "repo").where((F.col("first_seen") >= F.col("created_at")) & (F.unix_micros("first_seen") - F.unix_micros("created_at") <= CREATE_MINUTES * 60_000_000)).select("repo", "number").distinct().withColumn("opened_by_me", F.lit(True))
+    # visits and creation pages meet in bins of time as wide as the window
+    width = CREATE_MINUTES * 60_000_000
+    seen_at, made_at = F.unix_micros("first_seen"), F.unix_micros("created_at")
+    first = found.where("first_seen is not null").select("repo", "number", "first_seen", F.explode(F.array(F.floor(seen_at / width), F.floor(seen_at / width) - 1)).alias("bin"))
+    near = first.join(pages.withColumn("bin", F.floor(made_at / width)), ["repo", "bin"]).where((seen_at >= made_at) & (seen_at - made_at <= width))
+    opened = near.select("repo", "number").distinct().withColumn("opened_by_me", F.lit(True))
     mine = found.join(opened, ["repo", "number"], "left").withColumn("opened_by_me", F.coalesce("opened_by_me", F.lit(False)))
     return mine.select("repo", "number", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("opened_by_me"), F.col("first_seen")).otherwise(F.col("mentioned_at")).alias("opened_at"), "opened_by_me", (~F.col("opened_by_me") & F.col("mentioned_at").isNotNull()).alias("mentioned_by_me"), "task_key")
 
