@@ -6,10 +6,10 @@
    share such a stretch share an anchor at the same place of it.
 3. Count-min prefilter: each partition counts its anchors in a small sketch of saturating counters (none, one, more);
    the sketches are merged by adding. A merged count is never too low, so anchors estimated once are unique and go.
-4. A second pass reads the texts again and keeps only anchors estimated repeated, each with the characters around it
-   that a stretch of `LENGTH` through it could cover. These are grouped by the window's own characters, exactly.
-5. Within a group, the common characters to the left and right of the window decide which texts share how much. Spans
-   through different anchors overlap, and their union is the whole shared stretch.
+4. A second pass reads the texts again and keeps only the places of anchors estimated repeated. These are grouped exactly,
+   and those in several texts get the characters around them that a stretch of `LENGTH` through them could cover.
+5. Within a group, the window's own characters are compared, then those to its left and right: they decide which texts
+   share how much. Spans through different anchors overlap, and their union is the whole shared stretch.
 
 A hot window (boilerplate in a third of all texts) is never gathered in one task: occurrences are cut into blocks, blocks
 meet each other by a join.
@@ -142,19 +142,14 @@ def _merge(key: tuple, parts: pa.Table) -> pa.Table:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], sketch, length: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Occurrences of the anchors that the sketch counts more than once, with the characters on either side."""
+    """Where the anchors stand that the sketch counts more than once: narrow rows, whatever the texts."""
     again = np.unpackbits(np.frombuffer(sketch.value, np.uint8)).view(bool)
-    side = length - window
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for owner, start, hashes in _grouped(texts, length, window):
+        ids = batch.column(0)
+        for owner, start, hashes in _grouped(batch.column(1).to_pylist(), length, window):
             keep = np.logical_and.reduce([again[cells + row * CELLS] for row, cells in enumerate(_cells(hashes))])
-            if not keep.any():
-                continue
-            owner, start, hashes = owner[keep], start[keep], hashes[keep]
-            around = [texts[i][max(0, at - side) : at + length] for i, at in zip(owner.tolist(), start.tolist())]
-            fields = (ids.take(pa.array(owner)), pa.array(start, type=pa.int32()), pa.array(hashes.view(np.int64)), pa.array(np.minimum(start, side), type=pa.int32()), pa.array(around, type=pa.string()))
-            yield pa.RecordBatch.from_arrays(list(fields), names=["text_id", "start", "window", "before", "around"])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[keep])), pa.array(start[keep], type=pa.int32()), pa.array(hashes[keep].view(np.int64))], names=["text_id", "start", "window"])
 
 
 def _common(a: str, b: str) -> int:
@@ -193,7 +188,11 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leng
 
 
 def occurrences(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """text_id, start, window, before, around: windows estimated to stand in several rows, and what surrounds them."""
+    """text_id, start, window, before, around, blocks: windows that stand in several rows, and what surrounds them.
+
+    The second pass over the texts gives places only; these are grouped exactly, and characters are fetched for those left.
+    So even where more windows pass the sketch than it can tell apart, what is shuffled for them is a few bytes each.
+    """
     long = docs.where(F.length(F.col(text)) >= length).select(F.col(id_column).alias("text_id"), F.col(text).alias("text"))
     kind = dict(long.dtypes)["text_id"]
     blocks = long.select("text").mapInArrow(functools.partial(_sketch, length=length, window=window), "block long, seen binary, again binary")
@@ -201,7 +200,15 @@ def occurrences(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     for row in blocks.groupBy("block").applyInArrow(_merge, "block long, again binary").toLocalIterator():  # 4 MB, whatever the input
         sketch[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = row["again"]
     shared = docs.sparkSession.sparkContext.broadcast(bytes(sketch))
-    return long.mapInArrow(functools.partial(_repeated, sketch=shared, length=length, window=window), f"text_id {kind}, start int, window long, before int, around string")
+    places = cut(long.mapInArrow(functools.partial(_repeated, sketch=shared, length=length, window=window), f"text_id {kind}, start int, window long"))
+    several = places.groupBy("window").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most"), F.count("*").alias("n")).where("least <> most")
+    several = cut(several.select("window", F.ceil(F.col("n") / OCCURRENCES).cast("int").alias("blocks")))
+    places = cut(places.join(small_side(several), "window"))
+    wanted = small_side(cut(places.select("text_id").distinct()))
+    side = length - window
+    before = F.least("start", F.lit(side))
+    around = F.substring("text", F.col("start") - before + 1, before + length)
+    return long.join(wanted, "text_id", "left_semi").join(places, "text_id").select("text_id", "start", "window", before.alias("before"), around.alias("around"), "blocks")
 
 
 def shared_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -217,10 +224,7 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     copies = cut(classes(docs, id_column, text, length))
     others = copies.where("doc_id <> text_id").select(F.col("doc_id").alias(id_column))
     found = cut(occurrences(docs.select(id_column, text).join(small_side(others), id_column, "left_anti"), id_column, text, length, window))
-    sizes = found.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > OCCURRENCES)
-    sizes = cut(sizes.select("window", F.ceil(F.col("n") / OCCURRENCES).cast("int").alias("blocks")))
-    blocked = found.join(small_side(sizes), "window", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("text_id", "start"), F.col("blocks")).cast("int"))
+    blocked = found.withColumn("block", F.pmod(F.xxhash64("text_id", "start"), F.col("blocks")).cast("int"))
     side = lambda name, i, j: blocked.select("window", i.alias("i"), j.alias("j"), *(F.col(c).alias(f"{c}_{name}") for c in ("text_id", "start", "before", "around")))
     left = side("a", F.col("block"), F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = side("b", F.explode(F.sequence(F.lit(0), F.col("block"))), F.col("block"))

@@ -156,7 +156,8 @@ def _revision() -> Column:
 def groups(records: DataFrame) -> DataFrame:
     """record_id, activity (16 bytes, the same for all rows that tell one activity) and what the choice among rows needs.
 
-    A null uid makes a row an activity of its own unless the source names it. Rows repeated in full are one activity.
+    A null uid makes a row an activity of its own unless the source names it (rows without even a record_id are one). Rows
+    repeated in full are one activity.
     """
     filled = F.coalesce(F.size(F.filter(F.map_values("metadata"), lambda v: v.rlike(r"\S"))), F.lit(0))
     rows = records.select("record_id", _uid().alias("u"), identity().alias("key"), _revision().alias("revision"), filled.alias("filled"), "occurred_at", _time().alias("time"), "exported_at")
