@@ -54,6 +54,11 @@ def test_equal_words_sent_twice_stay_two(told):
     assert told(row(1, "a", "teams", said("m1"), body), row(2, "b", "teams", said("m2"), body, 21), row(3, "c", "teams", said(), body, 20)) == [[1], [2, 3]]
 
 
+def test_a_shared_revision_tells_more_than_a_near_time(told):
+    body = "ok, sem pressa por aqui"
+    assert told(row(1, "a", "teams", said("m1", revision="1772366400123"), body), row(2, "b", "teams", said("m2", revision="1772366421123"), body, 21), row(3, "c", "teams", said(revision="1772366400123"), body, 20)) == [[1, 3], [2]]
+
+
 def test_two_exports_without_id_meet(told):
     body = "um texto bastante comprido para ser comparado"
     assert told(row(1, "a", "teams", said(), body), row(2, "b", "teams", said(), body), row(3, "c", "teams", said() | {"conversation": "Outra"}, body)) == [[1, 2], [3]]

@@ -3,8 +3,9 @@
 Grouping. A record is identified by what its source names it by: the message id, the commit hash (an abbreviated one is
 completed by the full hash it begins), the path (slashes normalised) or the page and the microsecond of its visit. Records
 under one uid are one activity. A message exported without any id joins the message of the same conversation whose
-words are the same (but for typing errors, accents, case and a cut end) and whose time is nearest: equal, or cut to seconds, or a time
-zone off, or within the skew of two clocks. Equal words sent twice stay two messages: the nearest one is taken.
+words are the same (but for typing errors, accents, case and a cut end) and whose revision is the same or else whose time
+is nearest: equal, or cut to seconds, or a time zone off, or within the skew of two clocks. Equal words sent twice stay two
+messages: one of them is taken.
 
 Best row: greatest numeric revision, then most filled metadata, then latest time, then smallest id.
 
@@ -115,26 +116,32 @@ def _said(records: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.select(F.col("record_id").alias("id"), words.alias("words"))
 
 
+def _telling_revision() -> Column:
+    """A revision long enough to be a time, which two different messages hardly share; null for a short count."""
+    revision = _meta("revision")
+    return F.when(revision.rlike(r"\A[0-9]{10,}\z"), revision)
+
+
 def _adopted(records: DataFrame, keyed: DataFrame) -> DataFrame:
     """(u, adopted) for the uids of messages without an id: what the activity they repeat is called."""
     said = F.get(F.filter("people", lambda p: p["role"] == "conversation"), F.lit(0))["name"]
     room = F.lower(F.trim(F.coalesce(_meta("conversation"), _filled(said), _filled(F.regexp_extract("content", r"\nConversa: \S+ ([^\n]*)", 1)))))
     chats = records.where(F.col("source").isin(*CHATS) | _meta("message_id").isNotNull() | _meta("conversation").isNotNull())
-    chats = chats.select(F.col("record_id").alias("id"), _uid().alias("u"), _digest(F.concat_ws("|", "source", room)).alias("room"), F.unix_millis(_time()).alias("ms"), room.isNotNull().alias("roomed"))
+    chats = chats.select(F.col("record_id").alias("id"), _uid().alias("u"), _digest(F.concat_ws("|", "source", room)).alias("room"), F.unix_millis(_time()).alias("ms"), _telling_revision().alias("revision"), room.isNotNull().alias("roomed"))
     chats = cut(chats.where("roomed").drop("roomed").join(keyed.select("u", _digest(F.col("key")).alias("key")), "u", "left"))
     width = 2 * SKEW_S * 1000
     lost = chats.where(F.col("key").isNull() & F.col("ms").isNotNull())
     probes = F.array_distinct(F.array(*(F.floor((F.col("ms") + (zone + skew) * 1000) / width) for zone in (0, ZONE_S, -ZONE_S) for skew in (-SKEW_S, SKEW_S))))
-    left = lost.select("id", "u", "room", "ms", F.explode(probes).alias("slot"))
-    right = chats.where(F.col("ms").isNotNull()).select(F.col("id").alias("other_id"), F.col("u").alias("other"), F.col("key").alias("other_key"), "room", F.col("ms").alias("other_ms"), F.floor(F.col("ms") / width).alias("slot"))
+    left = lost.select("id", "u", "room", "ms", "revision", F.explode(probes).alias("slot"))
+    right = chats.where(F.col("ms").isNotNull()).select(F.col("id").alias("other_id"), F.col("u").alias("other"), F.col("key").alias("other_key"), "room", F.col("ms").alias("other_ms"), F.col("revision").alias("other_revision"), F.floor(F.col("ms") / width).alias("slot"))
     apart = F.abs(F.col("ms") - F.col("other_ms"))
     zoned = F.abs(apart - ZONE_S * 1000)
     met = left.join(right, ["room", "slot"]).where((F.col("u") != F.col("other")) & ((apart <= SKEW_S * 1000) | (zoned <= SKEW_S * 1000)))
-    met = cut(met.select("id", "u", "other_id", "other", "other_key", F.least(apart, zoned + 1000).alias("apart")))
+    met = cut(met.select("id", "u", "other_id", "other", "other_key", F.least(apart, zoned + 1000).alias("apart"), (F.col("revision") == F.col("other_revision")).alias("same_revision")))
     said = cut(_said(records, met.select("id").unionByName(met.select(F.col("other_id").alias("id"))).distinct()))
     met = met.join(said, "id").join(said.select(F.col("id").alias("other_id"), F.col("words").alias("other_words")), "other_id")
     met = met.withColumn("alike", arrow_column(_alike, T.DoubleType(), F.struct("words", "other_words"))).where(F.col("alike") >= SAME)
-    rank = F.struct(F.col("other_key").isNull(), F.col("apart"), -F.col("alike"), F.coalesce("other_key", "other"))
+    rank = F.struct(F.col("other_key").isNull(), ~F.coalesce("same_revision", F.lit(False)), F.col("apart"), -F.col("alike"), F.coalesce("other_key", "other"))
     # two uids without an id meet under the smaller one
     best = met.groupBy("u").agg(F.min_by(F.coalesce("other_key", F.least("u", "other")), rank).alias("adopted"))
     # undated ones: the only message of their conversation with the same words
