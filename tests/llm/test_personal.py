@@ -65,3 +65,12 @@ def test_offsets_map_back():
     for i, c in enumerate(plain.text):
         if c.isalpha():
             assert text[plain.source(i)] == c
+
+
+def test_a_surname_of_many_people_is_one(spark):
+    givens = ["Ana", "Paulo", "Bruno", "Marcia", "Thiago", "Rodrigo", "Helena", "Otavio", "Daniel", "Cecilia", "Ines", "Katia"]
+    people = [("author", f"{g} Silva") for g in givens] + [("author", f"{g} Gravelo {s}") for g, s in zip(givens, ("Dalquo", "Ferquo", "Gimquo", "Hosquo", "Junquo", "Kelquo", "Lomquo", "Movquo", "Nubquo", "Pelquo", "Rolquo", "Tamquo"))]
+    rows = [(i, None, [p]) for i, p in enumerate(people)] + [(100 + i, None, [("mentioned", g)]) for i, g in enumerate(givens)]
+    rows += [(200, "Ana Silva falou; Ana Gravelo saiu", None), (201, "com Bruno Gravelo Silva hoje", None), (202, "SILVA, Ines", None), (203, "Ana falou", None)]
+    df = spark.createDataFrame(rows, "record_id long, content string, people array<struct<role:string,name:string>>")
+    assert sorted((r["record_id"], r["kind"], r["start_at"], r["end_at"]) for r in personal.spans(df).collect()) == [(200, "name", 0, 9), (201, "name", 4, 23), (202, "name", 0, 11)]

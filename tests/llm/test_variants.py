@@ -67,3 +67,18 @@ def test_clean_and_words():
 def test_very_long_name(spark):
     _, found = linked(spark, ["Paulo " + "z" * 20_000, "Paulo Pigrozofla"])
     assert len(set(found.values())) > 1
+
+
+def test_a_surname_of_many_people_tells_them_apart(spark):
+    givens = ["Paula", "Paulo", "Bruno", "Bruna", "Marcia", "Thiago", "Rodrigo", "Helena", "Otavio", "Daniel", "Cecilia", "Ines"]
+    names = ["Paula Silva", "Paula Brandela Silva", "Bruno Silva"]
+    messages = spark.createDataFrame([(n,) for n in {*names, *(f"{g} Silva" for g in givens)}], "sender string")
+    records = spark.createDataFrame([([("mentioned", g)],) for g in givens], "people array<struct<role:string,name:string>>")
+    found = {r["name"]: r["entity"] for r in variants.variants(messages, records).collect()}
+    assert found["Paula Silva"] == found["Paula Brandela Silva"] != found["Bruno Silva"]
+
+
+def test_a_common_surname_is_no_mistyped_given_name():
+    known = people.Lexicon({"silvia", "ana"}, {"silvia", "ana", "silva"}, {"silva"})
+    assert known.parse("B. Silva") == people.Parsed("person", "b", "initial", ("silva",))
+    assert known.parse("Ana Brandela Silva").rare == ("brandela", "silva")

@@ -123,10 +123,11 @@ class Parsed(NamedTuple):
 
 
 class Lexicon:
-    """Given names and other common tokens of the corpus."""
+    """Given names, other common tokens and common surnames of the corpus; a surname isn't in `common`, so it tells people apart."""
 
-    def __init__(self, givens: set[str], common: set[str]):
-        self.givens, self.common = givens, common | givens
+    def __init__(self, givens: set[str], common: set[str], surnames: set[str] = frozenset()):
+        self.givens, self.surnames = givens, surnames - givens
+        self.common = (common | givens) - self.surnames
         self._by_start: dict[str, list[str]] = {}
         for given in givens:
             self._by_start.setdefault(given[0], []).append(given)
@@ -136,7 +137,7 @@ class Lexicon:
         """The given name that a token is, or is within one typing error of; empty if none or several."""
         if token in self.givens:
             return token
-        if len(token) < 4 or token in self.common:
+        if len(token) < 4 or token in self.common or token in self.surnames:
             return ""
         known = self._typed.get(token)
         if known is None:
@@ -181,15 +182,17 @@ def name_tokens(names: DataFrame) -> DataFrame:
 
 
 def learn(names: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Common tokens (token, is_given) and the distinct rare ones (token) of distinct `names`; `alone` are given names seen alone.
+    """Common tokens (token, is_given, is_surname) and the distinct telling ones (token) of distinct `names`; `alone` are given names seen alone.
 
     A given name stands beside many different tokens and mostly first; nothing is counted more than once a string. What counts
-    as many grows with the corpus: a quarter of what given names seen alone stand beside.
+    as many grows with the corpus: a quarter of what given names seen alone stand beside. A common token that ends names more
+    often than it stands inside them is a surname, shared by many or typed in many ways, and tells as much as a rare one.
     """
     tokens = cut(name_tokens(names))
     several = tokens.where(F.size("tokens") > 1).select("name", F.posexplode("tokens").alias("at", "token"), "tokens")
     beside = several.select("token", F.explode("tokens").alias("other")).where("token <> other").distinct().groupBy("token").agg(F.count("*").alias("n"))
-    first = several.groupBy("token").agg(F.avg((F.col("at") == 0).cast("double")).alias("first"))
+    ends = F.avg((F.col("at") == F.size("tokens") - 1).cast("double"))
+    first = several.groupBy("token").agg(F.avg((F.col("at") == 0).cast("double")).alias("first"), ends.alias("last"))
     single = name_tokens(alone).where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token")).distinct().withColumn("alone", F.lit(True))
     facts = cut(beside.join(first, "token").join(single, "token", "full").where(F.length("token") >= 3).withColumn("n", F.coalesce("n", F.lit(0))))
     usual = facts.where("alone").agg(F.percentile_approx("n", 0.5)).first()[0] or 0
@@ -197,8 +200,11 @@ def learn(names: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:
     # written in full a given name stands beside about as many tokens as the others do; nicknames beside far fewer
     given = F.coalesce(F.col("alone"), (F.col("first") > 0.5) & (F.col("n") >= usual / 2))
     nickname = F.col("alone").isNull() & (F.col("first") > 0.5) & (F.col("n") < usual / 2)
-    common = cut(facts.where(((F.col("n") >= least) & ~F.coalesce(nickname, F.lit(False))) | F.col("alone")).select("token", given.alias("is_given"), "n"))
-    rare = several.select("token").distinct().where(F.length("token") > 3).join(common.select("token"), "token", "left_anti")
+    business = F.pandas_udf(lambda s: s.map(is_business), T.BooleanType())
+    inside = 1 - F.col("first") - F.col("last")
+    surname = F.col("alone").isNull() & (F.col("first") <= 0.5) & (F.col("last") > inside) & ~business("token")
+    common = cut(facts.where(((F.col("n") >= least) & ~F.coalesce(nickname, F.lit(False))) | F.col("alone")).select("token", given.alias("is_given"), F.coalesce(surname, F.lit(False)).alias("is_surname"), "n"))
+    rare = several.select("token").distinct().where(F.length("token") > 3).join(common.where("not is_surname").select("token"), "token", "left_anti")
     return common, rare
 
 
@@ -206,4 +212,4 @@ def lexicon(common: DataFrame) -> Lexicon:
     """The common tokens on the driver, to be sent to executors: at most LEXICON_ROWS short strings, the most common first."""
     rows = common.orderBy(F.col("n").desc(), "token").limit(LEXICON_ROWS).collect()
     givens = {r["token"] for r in rows if r["is_given"] and not is_business(r["token"]) and r["token"] not in TITLES | PLACEHOLDERS}
-    return Lexicon(givens, {r["token"] for r in rows})
+    return Lexicon(givens, {r["token"] for r in rows}, {r["token"] for r in rows if r["is_surname"]})
