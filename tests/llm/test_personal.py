@@ -74,3 +74,11 @@ def test_a_surname_of_many_people_is_one(spark):
     rows += [(200, "Ana Silva falou; Ana Gravelo saiu", None), (201, "com Bruno Gravelo Silva hoje", None), (202, "SILVA, Ines", None), (203, "Ana falou", None)]
     df = spark.createDataFrame(rows, "record_id long, content string, people array<struct<role:string,name:string>>")
     assert sorted((r["record_id"], r["kind"], r["start_at"], r["end_at"]) for r in personal.spans(df).collect()) == [(200, "name", 0, 9), (201, "name", 4, 23), (202, "name", 0, 11)]
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("JOAO [AT] X [DOT] COM", "JOAO [AT] X [DOT] COM"), ("a joao{at}x.com, ok", "joao{at}x.com"), ("a joao<at>x.com, ok", "joao<at>x.com"), ("joao{ Arroba }x{dot}com", "joao{ Arroba }x{dot}com"), ("JOAO AT X DOT COM", "JOAO AT X DOT COM"),
+    ("joao@empresa ponto com", "joao@empresa ponto com"), ("joao@empresa ponto com ponto br já", "joao@empresa ponto com ponto br"), ("joao@empresa.com ponto final", "joao@empresa.com"),
+])
+def test_disguises_of_mail_in_any_case_and_bracket(text, expected):
+    assert found(text) == [("email", expected)]

@@ -45,9 +45,11 @@ _UNPLAIN = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿̀-ͯ]")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba)\s*[\])}>]\s*|(?<=[\w+-])\s+@\s+(?=[\w-]+[.\s\[({])|\s+(?:arroba|at)\s+(?=[\w-]+\s*(?:[\[({]\s*(?:dot|ponto|punto)\s*[\])}]|\s(?:dot|ponto|punto)\s))", re.I)
+_MAY_AT = re.compile(r"@|arroba|[\s\[({<]at[\s\])}>]")
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|ponto|punto)\s*[\])}>]\s*", re.I)
 _SPOKEN_DOT = re.compile(r"(?<=\w)\s+(?:dot|ponto|punto)\s+(?=\w)", re.I)
 _DOMAIN = re.compile(r"@\w[\w-]*(?:\s+(?:dot|ponto|punto)\s+\w+|\.\w+)*$", re.I)
+_PLAIN_DOMAIN = re.compile(r"\w@\w[\w-]*(?:\s+(?:dot|ponto|punto)\s+\w+)*$", re.I)
 _RUN = re.compile(r"\b(?:(?:" + "|".join(SPELLED) + r")[\s,.-]+){5,}(?:" + "|".join(SPELLED) + r")\b", re.I)
 
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+%-]*\w)?@(?>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![\w@])(?!:[^\s:]*/)", re.A)
@@ -80,13 +82,13 @@ class Plain:
             self._replace(_HIDDEN, lambda m: "")
         if "&" in self.text:
             self._replace(_ENTITY, lambda m: html.unescape(m.group()))
-        lower = self.text
-        if "@" in lower or "rroba" in lower or "RROBA" in lower or " at" in lower or "[at" in lower or "(at" in lower:
+        if _MAY_AT.search(self.text.lower()):
             before = self.text
             self._replace(_AT, lambda m: "@")
             self._replace(_DOT, lambda m: ".")
-            if self.text != before and "@" in self.text:
-                self._replace(_SPOKEN_DOT, lambda m: "." if _DOMAIN.search(self.text, max(0, m.start() - 80), m.start()) else m.group())
+            if "@" in self.text:  # where nothing is disguised, words behind a domain with a plain dot are none of it
+                domain = _DOMAIN if self.text != before else _PLAIN_DOMAIN
+                self._replace(_SPOKEN_DOT, lambda m: "." if domain.search(self.text, max(0, m.start() - 80), m.start()) else m.group())
 
     def spell(self) -> None:
         """Runs of spelled digits become digits."""
