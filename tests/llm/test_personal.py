@@ -82,3 +82,12 @@ def test_a_surname_of_many_people_is_one(spark):
 ])
 def test_disguises_of_mail_in_any_case_and_bracket(text, expected):
     assert found(text) == [("email", expected)]
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("Ana Lima: moro na rua das acacias, 120", ["rua das acacias, 120"]), ("moro na rua das acacias, 120", ["rua das acacias, 120"]), ("Bom dia!\nsou de 12 marlen street, perto", ["12 marlen street"]),
+    ("tudo certo por aqui, sem nada de novo para contar desde a semana passada, ate mais. Passei pela rua principal 5 vezes", []),
+    ("Ana Lima: rua sem saída no fluxograma passo 36!", []), ("Ana Lima: ha 3 testes on the way", []),
+])
+def test_streets_without_capitals_are_judged_by_the_words_around_them(text, expected):
+    assert [t for kind, t in found(text) if kind == "address"] == expected

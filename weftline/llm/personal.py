@@ -62,10 +62,13 @@ _OTHER = re.compile(r"(?:nota fiscal|pedido|protocolo|chamado|build|timestamp|ho
 #: Words before the name of a street, words behind it, and words that name a number.
 STREETS = ("rua", "r.", "avenida", "av.", "travessa", "tv.", "praça", "praca", "alameda", "al.", "rodovia", "estrada", "largo", "calle", "plaza")
 ENGLISH_STREETS = ("rd", "road", "st", "street", "lane", "ln", "avenue", "ave", "drive", "way", "court", "close", "boulevard", "blvd", "terrace", "square")
+#: Words that make what stands beside a street word a phrase, if it has no capital.
+PHRASE_WORDS = {"sem", "no", "na", "nos", "nas", "em", "com", "para", "pra", "por", "pelo", "pela", "que", "sin", "en", "con", "in", "on", "to", "the", "of", "at", "by", "for", "from", "with", "and", "that", "is", "are"}
 NUMBER_WORDS = ("cpf", "rg", "ssn", "doc", "documento", "identidade", "identidad", "passaporte", "passport", "pasaporte", "dni", "nif", "nie", "id card", "social security")
 _TOLD = re.compile(rf"(?:\b(?:{'|'.join(NUMBER_WORDS)})\b)[\s:#]*(?:(?:n[º°o.]+|ºn|number|n[úu]mero)\s*)?[\s:]*((?:[A-Z]{{1,3}}\d{{6,9}}|\d{{7,11}}-?[\dXx]?))(?![\w-])", re.I)
 _STREET = re.compile(rf"(?<![\w.])(?:{'|'.join(map(re.escape, STREETS))})\s+((?:[^\W\d_]+\.?\s+){{0,4}}[^\W\d_]+)\s*,?\s+(?:n[º°o]?\.?\s*)?\d{{1,5}}(?!\w)", re.I)
 _ENGLISH_STREET = re.compile(rf"(?<![\w./-])\d{{1,5}}\s+((?:[^\W\d_]+\s+){{1,3}})(?:{'|'.join(ENGLISH_STREETS)})(?!\w)", re.I)
+_CLAUSE_END = re.compile(r"[.!?:;,()\n]")
 _LONG_NUMBER = re.compile(r"\d[\d .()-]{6,}[\dXx]")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("check", T.StringType())])
@@ -118,6 +121,15 @@ class Plain:
         return at
 
 
+def _uncapitalised(body: str, street: re.Match) -> bool:
+    """Whether a street name has no capital because the clause around it has none."""
+    start, end = street.span()
+    if any(w.lower() in PHRASE_WORDS for w in street.group(1).split()):
+        return False
+    before = _CLAUSE_END.split(body[max(0, start - 80) : start])[-1]
+    return not any(c.isupper() for c in before + body[start:end] + _CLAUSE_END.split(body[end : end + 80], maxsplit=1)[0])
+
+
 @functools.lru_cache(maxsize=200_000)
 def _spelling(name: str) -> re.Pattern | None:
     """Finds one spelling of a name in folded text, whatever the spaces."""
@@ -255,7 +267,7 @@ class Detector:
         if long_number:
             numbers += [("id_number", *m.span(), None) for m in _SHAPED.finditer(body) if not named_otherwise(m)]
         streets = [m for kind, pattern in (("street", _STREET), ("english street", _ENGLISH_STREET)) if kind in kinds for m in pattern.finditer(body)]
-        numbers += [("address", *m.span(), None) for m in streets if any(w[0].isupper() for w in m.group(1).split()) or body[:80].islower()]
+        numbers += [("address", *m.span(), None) for m in streets if any(w[0].isupper() for w in m.group(1).split()) or _uncapitalised(body, m)]
         if long_number:
             numbers += [("phone", *m.span(), None) for m in _PHONE.finditer(body) if not named_otherwise(m)]
         for span in numbers:  # of overlapping ones the kind that is named first above stays
