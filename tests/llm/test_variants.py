@@ -82,3 +82,12 @@ def test_a_common_surname_is_no_mistyped_given_name():
     known = people.Lexicon({"silvia", "ana"}, {"silvia", "ana", "silva"}, {"silva"})
     assert known.parse("B. Silva") == people.Parsed("person", "b", "initial", ("silva",))
     assert known.parse("Ana Brandela Silva").rare == ("brandela", "silva")
+
+
+def test_more_common_tokens_than_may_be_sent_are_an_error(spark, monkeypatch):
+    common = spark.createDataFrame([("ana", True, False, 0), ("ines", True, False, 9), ("silva", False, True, 12)], "token string, is_given boolean, is_surname boolean, n long")
+    known = people.lexicon(common)
+    assert known.givens == {"ana", "ines"} and known.surnames == {"silva"}
+    monkeypatch.setattr(people, "LEXICON_ROWS", 2)
+    with pytest.raises(ValueError, match="common tokens"):
+        people.lexicon(common)

@@ -30,7 +30,7 @@ NICKNAMES = {
 }
 #: A token is common (a given name, a middle name, a word) if it stands beside so many different tokens at least.
 COMMON = 9
-#: The most common tokens that are sent to executors; beyond this many, only those beside most tokens are.
+#: The most common tokens that may be sent to executors; more are an error.
 LEXICON_ROWS = 50_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -209,7 +209,9 @@ def learn(names: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def lexicon(common: DataFrame) -> Lexicon:
-    """The common tokens on the driver, to be sent to executors: at most LEXICON_ROWS short strings, the most common first."""
-    rows = common.orderBy(F.col("n").desc(), "token").limit(LEXICON_ROWS).collect()
+    """The common tokens on the driver, to be sent to executors: short strings, an error if they are more than LEXICON_ROWS."""
+    rows = common.limit(LEXICON_ROWS + 1).collect()
+    if len(rows) > LEXICON_ROWS:
+        raise ValueError(f"more than {LEXICON_ROWS} common tokens in names; raise people.LEXICON_ROWS")
     givens = {r["token"] for r in rows if r["is_given"] and not is_business(r["token"]) and r["token"] not in TITLES | PLACEHOLDERS}
     return Lexicon(givens, {r["token"] for r in rows}, {r["token"] for r in rows if r["is_surname"]})
