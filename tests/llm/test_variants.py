@@ -91,3 +91,8 @@ def test_more_common_tokens_than_may_be_sent_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(people, "LEXICON_ROWS", 2)
     with pytest.raises(ValueError, match="common tokens"):
         people.lexicon(common)
+
+
+def test_long_chains_settle_at_one_root(spark):
+    tree = spark.createDataFrame([(f"n{i:02}", False, f"n{max(i - 1, 0):02}") for i in range(30)] + [("other", True, "other")], "node string, titled boolean, root string")
+    assert {r["node"]: r["root"] for r in variants.settled(tree).collect()} == {f"n{i:02}": "n00" for i in range(30)} | {"other": "other"}

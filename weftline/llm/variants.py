@@ -35,8 +35,6 @@ from weftline.sources.tables import table
 Q, SIMILARITY, RECALL, ROWS = 3, 0.3, 0.95, 3
 #: How well a name is written, best first.
 QUALITY = {"full": 5, "business": 5, "typed": 4, "short": 3, "initial": 2, "single": 1, "": 0}
-#: Rounds in which nodes follow the one they joined.
-ROUNDS = 3
 
 _PART = pa.struct([("token", pa.string()), ("given", pa.string()), ("written", pa.string())])
 PARSED = T.StructType([
@@ -162,6 +160,19 @@ def _monge_elkan(pairs: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.float64())
 
 
+def settled(tree: DataFrame) -> DataFrame:
+    """node, titled, root of a tree (node, titled, root: the node it joined, or itself), each node under the last root of its chain.
+
+    The way followed doubles each round, until no root changes. Chains end, as a node joins greater ones only.
+    """
+    tree = cut(tree)
+    while True:
+        above = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        tree = cut(tree.join(above, "root").select("node", "titled", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        if tree.where("moved").isEmpty():
+            return tree.drop("moved")
+
+
 def clusters(names: DataFrame) -> DataFrame:
     """name, entity of distinct `names` (name, n rows, titled: it stands only as a conversation's, single: as one mentioned).
 
@@ -191,10 +202,7 @@ def clusters(names: DataFrame) -> DataFrame:
     joined = met.join(top, "node").where(best == F.col("best"))
     # two different people that fit equally well: none of them
     sole = joined.groupBy("node").agg(F.max_by("other_node", "other_rank").alias("root"), F.count_distinct("other_given").alias("people")).where("people = 1").drop("people")
-    tree = cut(nodes.select("node", "titled").join(sole, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    for _ in range(ROUNDS):
-        above = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        tree = tree.join(above, "root", "left").select("node", "titled", F.coalesce("next", "root").alias("root"))
+    tree = settled(nodes.select("node", "titled").join(sole, "node", "left").withColumn("root", F.coalesce("root", "node")))
     real = tree.where("not titled").select("root").distinct()
     return named.select("name", "node").join(tree.join(real, "root", "left_semi"), "node").select("name", F.col("root").alias("entity"))
 
