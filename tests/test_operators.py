@@ -8,7 +8,8 @@ from datetime import UTC, date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import evidence, export, graph, ingest, mapping, metrics, people, timeline
+from weftline.functions import text as X
+from weftline.operators import evidence, export, filters, graph, ingest, mapping, metrics, people, search, timeline
 from weftline.plans import query as Q
 from weftline.sources import events as V
 from weftline.streaming.ingest import EventTable, ingest as load
@@ -186,3 +187,12 @@ def test_guards_only_remove():
     assert Q.guarded(Q.Plan(people=("Ana",), direction="received"), "o que recebi da Ana").direction == "received"
     asked = Q.plan("liste os commits de ontem", date(2026, 9, 26))
     assert asked.days and asked.scoped and asked.filter().source == "git"
+
+
+def test_shared_images_appear_and_show(spark):
+    rows = [("u1", "file", "O roteiro de carga novo", {"image_sha256": "a1", "path": "/x/a"}), ("u2", "teams", "nada", {"image_sha256": "a1"}), ("u3", "teams", "nada mais", {"image_sha256": "b2"}), ("u4", "teams", "sem imagem", {"image_sha256": " "}), ("u5", "teams", "um roteiro, de carga", {"attachment": "b.PNG"})]
+    events = spark.createDataFrame(rows, "uid string, source string, content string, metadata map<string,string>").withColumn("content_hash", X.content_hash(F.col("content")))
+    texts = filters.appearing(search.text_chunks(events), "roteiro de carga")
+    found = filters.with_appearing(events, texts, graph.shown_images(events, "uid"), "uid")
+    assert sorted(r["uid"] for r in found.collect()) == ["u1", "u2", "u5"]
+    assert sorted(r["uid"] for r in events.where(filters.shows_image()).collect()) == ["u1", "u2", "u3", "u5"]

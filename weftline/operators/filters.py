@@ -110,8 +110,8 @@ def gives_orders() -> Column:
 
 
 def shows_image() -> Column:
-    """Events with an image as attachment or file."""
-    return F.coalesce(meta("attachment"), meta("path"), F.lit("")).rlike(IMAGES)
+    """Events that show an image, or with one as attachment or file."""
+    return F.coalesce(meta("attachment"), meta("path"), F.lit("")).rlike(IMAGES) | filled(meta("image_sha256")).isNotNull()
 
 
 def appearing(chunks: DataFrame, name: str) -> DataFrame:
@@ -121,3 +121,14 @@ def appearing(chunks: DataFrame, name: str) -> DataFrame:
     for word in words:
         kept = kept & F.array_contains(X.word_tokens(F.col("text")), X.fold(F.lit(word)))
     return chunks.where(kept).select("source", "content_hash").distinct()
+
+
+def with_appearing(events: DataFrame, texts: DataFrame, shown: DataFrame, key: str = "record_id") -> DataFrame:
+    """Events (with content_hash) with one of the texts (see `appearing`), or showing an image that some event with one shows.
+
+    `shown` has key, entity_key of all images shown (see `graph.shown_images`).
+    """
+    own = events.join(texts, ["source", "content_hash"], "left_semi").select(key)
+    images = shown.join(own, key, "left_semi").select("entity_key").distinct()
+    found = own.unionByName(shown.join(images, "entity_key", "left_semi").select(key)).distinct()
+    return events.join(found, key, "left_semi")

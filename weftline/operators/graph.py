@@ -16,14 +16,18 @@ PERSON, FILE_ENTITY, IMAGE = "person", "file", "image"
 MOST_HOPS = 3
 
 
+def shown_images(events: DataFrame, key: str = "record_id") -> DataFrame:
+    """key, role, type, entity_key, name: the images that events show."""
+    return events.where(filled(meta("image_sha256")).isNotNull()).select(key, F.lit("shows").alias("role"), F.lit(IMAGE).alias("type"), meta("image_sha256").alias("entity_key"), X.basename(F.coalesce(meta("path"), F.lit(""))).alias("name"))
+
+
 def entity_links(events: DataFrame, key: str = "record_id") -> DataFrame:
     """key, role, type, entity_key, name: persons, changed files, the file itself, the image shown; once a role."""
     persons = people_index(events, key).where(F.col("role").isin(SENDER, AUTHOR, MENTIONED)).select(key, "role", F.lit(PERSON).alias("type"), F.col("name_key").alias("entity_key"), "name")
     changed = events.where(F.col("source") == GIT).select(key, F.concat_ws("/", filled(meta("repository")), F.lit("")).alias("repo"), F.explode(F.split(F.coalesce(meta("files"), F.lit("")), "\n")).alias("file")).where(F.col("file").rlike(r"\S"))
     changed = changed.select(key, F.lit("changed").alias("role"), F.lit(FILE_ENTITY).alias("type"), F.concat("repo", "file").alias("entity_key"), F.col("file").alias("name"))
     subject = events.where((F.col("source") == FILE) & filled(meta("path")).isNotNull()).select(key, F.lit("subject").alias("role"), F.lit(FILE_ENTITY).alias("type"), meta("path").alias("entity_key"), X.basename(meta("path")).alias("name"))
-    shown = events.where(filled(meta("image_sha256")).isNotNull()).select(key, F.lit("shows").alias("role"), F.lit(IMAGE).alias("type"), meta("image_sha256").alias("entity_key"), X.basename(F.coalesce(meta("path"), F.lit(""))).alias("name"))
-    return reduce(DataFrame.unionByName, (persons, changed, subject, shown)).dropDuplicates([key, "role", "type", "entity_key"])
+    return reduce(DataFrame.unionByName, (persons, changed, subject, shown_images(events, key))).dropDuplicates([key, "role", "type", "entity_key"])
 
 
 def entities(links: DataFrame, key: str = "record_id") -> DataFrame:

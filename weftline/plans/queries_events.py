@@ -77,7 +77,7 @@ def f9_resolve_person(spark, sf_dir):
 def f11_appearing(spark, sf_dir):
     events = records(spark, sf_dir)
     texts = E.appearing(R.text_chunks(events), "roteiro de carga")
-    return events.withColumn("content_hash", X.content_hash(F.col("content"))).join(texts, ["source", "content_hash"], "left_semi").select("record_id")
+    return E.with_appearing(events.withColumn("content_hash", X.content_hash(F.col("content"))), texts, graph.shown_images(events)).select("record_id")
 
 
 @query(f"SELECT record_id FROM records r WHERE regexp_matches(coalesce({S.meta('attachment')}, {S.meta('path')}, ''), '(?i)\\.(png|jpe?g|webp|pdf)$')")
