@@ -101,3 +101,20 @@ def test_nulls_blanks_and_empty(spark):
     found = survivors.survivors(df).collect()
     assert sorted(r["n_rows"] for r in found) == [1, 1, 1, 1, 3]
     assert survivors.survivors(df.limit(0)).count() == 0
+
+
+def test_learned_steps_lead_on(spark):
+    rows, n = [], 0
+    for group in range(6):  # a draft becomes a review, a review becomes final; no activity tells of all three
+        for step, state in enumerate(("draft", "review") if group % 2 else ("review", "final")):
+            n += 1
+            rows.append(row(n, f"u{group}", "file", {"path": f"p{group}", "state": state, "revision": str(step + 1)}))
+    rows += [row(100 + i, "x", "file", {"path": "x", "state": state}, at=False) for i, state in enumerate(("final", "draft", "draft"))]
+    found = survivors.survivors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert next(r["metadata"] for r in found if r["metadata"]["path"] == "x")["state"] == "final"
+
+
+def test_circles_of_learned_steps_are_no_order(spark):
+    steps = spark.createDataFrame([("f", "a", "b"), ("f", "b", "c"), ("f", "c", "a"), ("f", "c", "d"), ("g", "a", "d")], "field string, value string, next string")
+    closed = {tuple(r) for r in survivors.closed(steps).collect()}
+    assert closed == {("f", "a", "b"), ("f", "b", "c"), ("f", "c", "a"), ("f", "a", "d"), ("f", "b", "d"), ("f", "c", "d"), ("g", "a", "d")}

@@ -11,7 +11,7 @@ Best row: greatest numeric revision, then most filled metadata, then latest time
 
 Fusion, field by field, by currency: values dated by a revision or a time follow each other within their group; every
 such step of one value to another is counted over all groups, and a step seen more often than its reverse is a learned
-precedence. In a group, dated values are ordered by date and undated ones by the learned precedences only; of this partial
+precedence, and so is what such steps lead to. In a group, dated values are ordered by date and undated ones by the learned precedences only; of this partial
 order a maximal value survives (a value that no other value of its group follows).
 """
 
@@ -207,13 +207,26 @@ def learned_steps(values: DataFrame) -> DataFrame:
     return counts.join(back, ["field", "value", "next"], "left").where("n > coalesce(back, 0)").select("field", "value", "next")
 
 
+def closed(steps: DataFrame) -> DataFrame:
+    """field, value, next of the learned steps and of all that they lead to; values that lead to each other have no order but the steps'."""
+    steps = reach = cut(steps)
+    before, n = -1, reach.count()
+    while n > before:
+        further = reach.join(reach.select("field", F.col("value").alias("next"), F.col("next").alias("last")), ["field", "next"]).select("field", "value", F.col("last").alias("next"))
+        reach = cut(reach.unionByName(further).distinct())
+        before, n = n, reach.count()
+    back = reach.select("field", F.col("next").alias("value"), F.col("value").alias("next"))
+    return steps.unionByName(reach.join(back, ["field", "value", "next"], "left_anti")).distinct()
+
+
 def fused(told: DataFrame, records: DataFrame) -> DataFrame:
     """activity, metadata: the surviving value of every field."""
     values = cut(cells(told, records).groupBy("activity", "field", "value").agg(F.max("stamp").alias("stamp"), F.count("*").alias("n")))
     # only fields with an undated value among several need the learned precedences
     unsure = values.groupBy("activity", "field").agg(F.count("*").alias("values"), F.max(F.col("stamp").isNull()).alias("undated")).where("values > 1 and undated")
     unsure = cut(values.join(unsure.select("activity", "field"), ["activity", "field"], "left_semi"))
-    after = unsure.join(learned_steps(values), ["field", "value"]).select("activity", "field", "value", "stamp", "next")
+    steps = closed(learned_steps(values).join(unsure.select("field").distinct(), "field", "left_semi"))
+    after = unsure.join(steps, ["field", "value"]).select("activity", "field", "value", "stamp", "next")
     followed = after.join(unsure.select("activity", "field", F.col("value").alias("next"), F.col("stamp").alias("next_stamp")), ["activity", "field", "next"])
     followed = cut(followed.where("stamp is null or next_stamp is null").select("activity", "field", "value").distinct().withColumn("followed", F.lit(True)))
     order = F.struct(F.col("followed").isNull(), F.col("stamp"), F.col("n"), F.length("value"), F.col("value"))
