@@ -52,11 +52,13 @@ def test_pairs(df, rows):
 
 
 def test_coverage(df, rows):
-    shared, copies = spans.shared_spans(df)
-    found = {r["text_id"]: r["shared_chars"] for r in spans.coverage(shared, copies).collect()}
+    told, copies = spans.windows(df)
+    found = {r["text_id"]: r["shared_chars"] for r in spans.coverage(told).collect()}
     copied = {r["doc_id"] for r in copies.collect()}
     expected = {doc: n for doc, n in brute(rows)[1].items() if n and doc not in copied and doc not in (404, 405)}
     assert {doc: n for doc, n in found.items() if doc in expected} == expected
+    counted = {r["text_id"]: r["shared_chars"] for r in spans.coverage(told, most=1).collect()}  # by stretches, as in hot windows
+    assert {doc: n for doc, n in counted.items() if doc in expected} == expected
 
 
 def test_edges(spark, df):
@@ -88,3 +90,32 @@ def test_anchors_depend_on_the_stretch_alone():
             at = text.index(stretch)
             found.append({(s - at, h) for s, h in zip(start.tolist(), hashes.tolist()) if 0 <= s - at <= spans.LENGTH - spans.WINDOW})
         assert found[0] & found[1]
+
+
+@pytest.mark.parametrize(("most_cells", "block"), [(1 << 27, 1 << 16), (1 << 11, 1 << 9)])
+def test_the_prefilter_holds_whatever_the_input(spark, most_cells, block):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    piece = word(400)
+    rows = [(i, word(900) + piece[: 400 if i in (3, 77) else 0] + word(100)) for i in range(200)]
+    long = spark.createDataFrame(rows, "text_id long, text string").repartition(3)
+    every = [h for _, text in rows for h in spans.anchors([text])[2].tolist()]
+    cells, ranges = spans.sketch_size(len(every), most_cells, block)
+    assert (ranges > 1) == (cells < len(every)) and cells <= most_cells
+    kept = spans.repeated_places(long, most_cells=most_cells, block=block).collect()
+    repeated = {h for h in every if every.count(h) > 1}
+    windows = {r["window"] % 2**64 for r in kept}
+    assert repeated and repeated <= windows and len(windows - repeated) < 0.1 * len(set(every))
+
+
+def test_sketches_are_merged_in_a_tree(spark):
+    hashes = [i * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for i in range(3000)]
+    places = spark.createDataFrame([(h,) for h in hashes + hashes[:100]], "window long").repartition(9)
+    flat = spans.merged_sketch(places, 1 << 14, 1 << 10)
+    assert flat == spans.merged_sketch(places, 1 << 14, 1 << 10, fan_in=2) and any(flat)
+    seen = {}
+    for h in hashes + hashes[:100]:
+        for row in range(spans.ROWS):
+            cell = row * (1 << 14) + ((h % 2**64) >> (32 * row)) % (1 << 14)
+            seen[cell] = seen.get(cell, 0) + 1
+    assert {8 * i + j for i, b in enumerate(flat) for j in range(8) if b >> (7 - j) & 1} == {cell for cell, n in seen.items() if n > 1}

@@ -3,13 +3,17 @@
 1. Exact copies are one text: all work below is done once for each different text.
 2. Of the windows of `WINDOW` characters of a text, those with the least hash among `LENGTH - WINDOW + 1` neighbours are
    anchors. Any stretch of `LENGTH` characters contains an anchor that depends on its characters alone, so two texts that
-   share such a stretch share an anchor at the same place of it.
-3. Count-min prefilter: each partition counts its anchors in a small sketch of saturating counters (none, one, more);
-   the sketches are merged by adding. A merged count is never too low, so anchors estimated once are unique and go.
-4. A second pass reads the texts again and keeps only the places of anchors estimated repeated. These are grouped exactly,
-   and those in several texts get the characters around them that a stretch of `LENGTH` through them could cover.
-5. Within a group, the window's own characters are compared, then those to its left and right: they decide which texts
-   share how much. Spans through different anchors overlap, and their union is the whole shared stretch.
+   share such a stretch share an anchor at the same place of it. Anchors are written once, as narrow rows.
+3. Count-min prefilter: each partition counts its anchors in a sketch (cells seen, cells seen again), the sketches are merged
+   by adding, a few at a time in a tree. A merged count is never too low, so anchors estimated once are unique and go. The
+   cells are four times as many as the anchors, so about 5 % of the unique ones stay, whatever the input: where that would
+   be more than `MOST_CELLS`, the anchors are split by ranges of their hash, each with a sketch of its own.
+4. A second pass keeps only the places of anchors estimated repeated. These are grouped exactly, and those in several texts
+   get the characters around them that a stretch of `LENGTH` through them could cover.
+5. Pairs: within a group, the window's own characters are compared, then those to its left and right: they decide which
+   texts share how much. Spans through different anchors overlap, and their union is the whole shared stretch.
+6. Coverage needs no pairs: occurrences with the same surroundings are one class; a class of several texts is shared
+   whole, other classes of a window are compared with each other, and where they are many their stretches are counted.
 
 A hot window (boilerplate in a third of all texts) is never gathered in one task: occurrences are cut into blocks, blocks
 meet each other by a join.
@@ -18,6 +22,7 @@ meet each other by a join.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +37,16 @@ from weftline.plans.sizes import small_side
 from weftline.sources.tables import table
 
 LENGTH, WINDOW = 200, 120
-#: Cells of a row of the sketch (a power of two), its rows, and cells of a block that is shuffled on its own. The sketch
-#: is 2 bits a cell, 8 MB in all, whatever the input; with more input it lets more windows through, never fewer.
-CELLS, ROWS, BLOCK = 1 << 24, 2, 1 << 16
+#: Rows of the sketch, cells of a row for each anchor, and the most cells of a row: 32 MB are broadcast at most, whatever the input.
+ROWS, CELLS_PER_ANCHOR, MOST_CELLS = 2, 4, 1 << 27
+#: Cells of a block that is merged on its own, how many sketches of a block meet in one task, and anchors counted before a task passes its sketch on.
+BLOCK, FAN_IN, FLUSH = 1 << 16, 64, 1 << 22
 #: Characters hashed at once, to bound memory; a longer text is hashed alone.
 GROUP_CHARS = 1 << 20
 #: Texts of a block of one window's occurrences; a window in more texts is compared block against block.
 OCCURRENCES = 64
 
+_SAME = T.StructType([T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType())])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,51 +112,118 @@ def _grouped(texts: list[str | None], length: int, window: int) -> Iterator[tupl
             yield np.array(group)[owner], start, hashes
 
 
-def _cells(hashes: np.ndarray) -> list[np.ndarray]:
-    return [((hashes >> np.uint64(row * 32)) & np.uint64(CELLS - 1)).astype(np.int64) for row in range(ROWS)]
-
-
-def _sketch(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
-    """A partition's sketch as its blocks in use: one bit for 'seen' and one for 'seen again', eight cells a byte."""
-    seen, again = (np.zeros(ROWS * CELLS, dtype=bool) for _ in range(2))
-    used = False
+def _places(batches: Iterator[pa.RecordBatch], length: int, window: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """The anchors of texts: where they stand, their hash, its range, and whether the text has the window for the first time."""
+    for batch in batches:
+        ids = batch.column(0)
+        for owner, start, hashes in _grouped(batch.column(1).to_pylist(), length, window):
+            order = np.lexsort((start, hashes, owner))
+            again = (owner[order][1:] == owner[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
+            first = np.ones(len(owner), dtype=bool)
+            first[order[1:][again]] = False
+            bands = (_mixed(hashes) % np.uint64(ranges)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(start, type=pa.int32()), pa.array(hashes.view(np.int64)), pa.array(first), pa.array(bands)], names=["text_id", "start", "window", "first", "band"])
+
+
+def _cells(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
+    return [((hashes >> np.uint64(row * 32)) & np.uint64(cells - 1)).astype(np.int64) for row in range(ROWS)]
+
+
+def _packed(offsets: np.ndarray, block: int) -> bytes:
+    """Places in a block: a list while that is shorter than one bit each."""
+    if len(offsets) * 16 < block:
+        return offsets.astype(np.uint16).tobytes()
+    bits = np.zeros(block, dtype=bool)
+    bits[offsets] = True
+    return np.packbits(bits).tobytes()
+
+
+def _add(bits: np.ndarray, packed: bytes) -> None:
+    """Sets the places that `_packed` has."""
+    if len(packed) * 8 < len(bits):
+        bits[np.frombuffer(packed, np.uint16)] = True
+    else:
+        bits |= np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], cells: int, block: int) -> Iterator[pa.RecordBatch]:
+    """A partition's sketch, as the blocks in use: cells seen, and cells seen again. A window counts once a text."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        numbers, seen, again = [], [], []
+        for row, places in enumerate(_cells(np.concatenate(held), cells)):
+            used, counts = np.unique(places + row * cells, return_counts=True)
+            bounds = np.append(np.flatnonzero(np.diff(used // block, prepend=-1)), len(used))
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                offsets = used[start:end] % block
+                numbers.append(int(used[start] // block))
+                seen.append(_packed(offsets, block))
+                again.append(_packed(offsets[counts[start:end] > 1], block))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, type=pa.int64()), pa.array([part] * len(numbers), type=pa.int32()), pa.array(seen, type=pa.binary()), pa.array(again, type=pa.binary())], names=["block", "part", "seen", "again"])
+
+    held, size = [], 0
     for batch in batches:
-        for owner, _, hashes in _grouped(batch.column(0).to_pylist(), length, window):
-            order = np.lexsort((hashes, owner))  # a window counts once a text
-            owner, hashes = owner[order], hashes[order]
-            hashes = hashes[np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))]
-            used = True
-            for row, cells in enumerate(_cells(hashes)):
-                cells += row * CELLS
-                cells.sort()
-                again[cells[1:][cells[1:] == cells[:-1]]] = True
-                again[cells[seen[cells]]] = True
-                seen[cells] = True
-    if used:
-        for block in np.flatnonzero(seen.reshape(-1, BLOCK).any(axis=1)):
-            part = slice(block * BLOCK, (block + 1) * BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([int(block)]), pa.array([np.packbits(seen[part]).tobytes()]), pa.array([np.packbits(again[part]).tobytes()])], names=["block", "seen", "again"])
-
-
-def _merge(key: tuple, parts: pa.Table) -> pa.Table:
-    """A block of the merged sketch: cells seen twice or more, in one partition or in several."""
-    seen, again = (np.zeros(BLOCK // 8, dtype=np.uint8) for _ in range(2))
-    for one, more in zip(parts.column("seen").to_pylist(), parts.column("again").to_pylist()):
-        one, more = np.frombuffer(one, np.uint8), np.frombuffer(more, np.uint8)
-        again |= more | (seen & one)
+        hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        if len(hashes):
+            held.append(hashes)
+            size += len(hashes)
+        if size >= FLUSH:
+            yield counted(held)
+            held, size = [], 0
+    if held:
+        yield counted(held)
+
+
+def _merge(key: tuple, parts: pa.Table, block: int) -> pa.Table:
+    """Some sketches of a block added: cells seen, and those seen twice or more, in one of them or in several."""
+    seen, again, one = (np.zeros(block, dtype=bool) for _ in range(3))
+    for once, more in zip(parts.column("seen").to_pylist(), parts.column("again").to_pylist()):
+        one[:] = False
+        _add(one, once)
+        again |= seen & one
         seen |= one
-    return pa.table({"block": [key[0].as_py()], "again": [again.tobytes()]})
+        _add(again, more)
+    number, part = (k.as_py() for k in key)
+    return pa.table({"block": pa.array([number], pa.int64()), "part": pa.array([part], pa.int32()), "seen": pa.array([_packed(np.flatnonzero(seen), block)], pa.binary()), "again": pa.array([_packed(np.flatnonzero(again), block)], pa.binary())})
+
 
+def merged_sketch(places: DataFrame, cells: int, block: int = BLOCK, fan_in: int = FAN_IN) -> bytes:
+    """One bit a cell, row by row: whether it is estimated to be counted twice or more.
 
-def _repeated(batches: Iterator[pa.RecordBatch], sketch, length: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Where the anchors stand that the sketch counts more than once: narrow rows, whatever the texts."""
-    again = np.unpackbits(np.frombuffer(sketch.value, np.uint8)).view(bool)
+    `places` has window, one row for each text that has it. A block's sketches are added a few at a time, level by level, so no
+    task sees one entry a partition. What reaches the driver is the merged sketch, of a bounded size.
+    """
+    def merge(key: tuple, parts: pa.Table) -> pa.Table:
+        return _merge(key, parts, block)
+
+    blocks = places.select("window").mapInArrow(functools.partial(_sketch, cells=cells, block=block), _BLOCKS)
+    parts = places.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // fan_in)
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("block", "part").applyInArrow(merge, _BLOCKS)
+        if parts <= 1:
+            break
+    sketch = np.zeros(ROWS * cells // 8, dtype=np.uint8)
+    for row in blocks.select("block", "again").toLocalIterator():
+        bits = np.zeros(block, dtype=bool)
+        _add(bits, bytes(row["again"]))
+        sketch[row["block"] * block // 8 : (row["block"] + 1) * block // 8] = np.packbits(bits)
+    return sketch.tobytes()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], sketch, cells: int) -> Iterator[pa.RecordBatch]:
+    """Of the anchors, those that the sketch counts more than once."""
+    again = np.frombuffer(sketch.value, np.uint8)
     for batch in batches:
-        ids = batch.column(0)
-        for owner, start, hashes in _grouped(batch.column(1).to_pylist(), length, window):
-            keep = np.logical_and.reduce([again[cells + row * CELLS] for row, cells in enumerate(_cells(hashes))])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[keep])), pa.array(start[keep], type=pa.int32()), pa.array(hashes[keep].view(np.int64))], names=["text_id", "start", "window"])
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for row, places in enumerate(_cells(batch.column("window").to_numpy(zero_copy_only=False).view(np.uint64), cells)):
+            places += row * cells
+            keep &= (again[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
+        if keep.any():
+            yield batch.filter(pa.array(keep))
 
 
 def _common(a: str, b: str) -> int:
@@ -187,20 +261,41 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leng
     return long.join(several, "digest").select("doc_id", "text_id")
 
 
+_BLOCKS = "block long, part int, seen binary, again binary"
+
+
+def sketch_size(anchors: int, most: int = MOST_CELLS, least: int = BLOCK) -> tuple[int, int]:
+    """Cells of a row (a power of two) and ranges of the hash, so that each range has `CELLS_PER_ANCHOR` cells an anchor."""
+    wanted = max(least, CELLS_PER_ANCHOR * anchors)
+    return min(most, 1 << (wanted - 1).bit_length()), max(1, -(-wanted // most))
+
+
+def repeated_places(long: DataFrame, length: int = LENGTH, window: int = WINDOW, most_cells: int = MOST_CELLS, block: int = BLOCK) -> DataFrame:
+    """text_id, start, window of the anchors of texts (text_id, text) that are estimated to stand in several: none of those is lost."""
+    kind = dict(long.dtypes)["text_id"]
+    # of so many neighbours' least hash, two in each stretch of neighbours and one more are new
+    characters = long.agg(F.sum(F.length("text"))).first()[0] or 0
+    cells, ranges = sketch_size(2 * characters // (length - window + 2), most_cells, block)
+    every = cut(long.mapInArrow(functools.partial(_places, length=length, window=window, ranges=ranges), f"text_id {kind}, start int, window long, first boolean, band int"), *(("band",) if ranges > 1 else ()))
+    kept = None
+    for band in range(ranges):
+        places = every.where(F.col("band") == band) if ranges > 1 else every
+        shared = long.sparkSession.sparkContext.broadcast(merged_sketch(places.where("first"), cells, block))
+        found = places.select("text_id", "start", "window").mapInArrow(functools.partial(_repeated, sketch=shared, cells=cells), f"text_id {kind}, start int, window long")
+        found = cut(found)
+        shared.unpersist()
+        kept = found if kept is None else kept.unionByName(found)
+    return kept
+
+
 def occurrences(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """text_id, start, window, before, around, blocks: windows that stand in several rows, and what surrounds them.
 
-    The second pass over the texts gives places only; these are grouped exactly, and characters are fetched for those left.
-    So even where more windows pass the sketch than it can tell apart, what is shuffled for them is a few bytes each.
+    The places estimated repeated are grouped exactly, and characters are fetched for those left. So even where more windows
+    pass the sketch than it can tell apart, what is shuffled for them is a few bytes each.
     """
     long = docs.where(F.length(F.col(text)) >= length).select(F.col(id_column).alias("text_id"), F.col(text).alias("text"))
-    kind = dict(long.dtypes)["text_id"]
-    blocks = long.select("text").mapInArrow(functools.partial(_sketch, length=length, window=window), "block long, seen binary, again binary")
-    sketch = bytearray(ROWS * CELLS // 8)
-    for row in blocks.groupBy("block").applyInArrow(_merge, "block long, again binary").toLocalIterator():  # 4 MB, whatever the input
-        sketch[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = row["again"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(sketch))
-    places = cut(long.mapInArrow(functools.partial(_repeated, sketch=shared, length=length, window=window), f"text_id {kind}, start int, window long"))
+    places = repeated_places(long, length, window)
     several = places.groupBy("window").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most"), F.count("*").alias("n")).where("least <> most")
     several = cut(several.select("window", F.ceil(F.col("n") / OCCURRENCES).cast("int").alias("blocks")))
     places = cut(places.join(small_side(several), "window"))
@@ -211,6 +306,14 @@ def occurrences(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return long.join(wanted, "text_id", "left_semi").join(places, "text_id").select("text_id", "start", "window", before.alias("before"), around.alias("around"), "blocks")
 
 
+def windows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """`occurrences` among the different texts of some documents, and the membership of exact copies (`classes`)."""
+    docs = docs.where(F.col(id_column).isNotNull())
+    copies = cut(classes(docs, id_column, text, length))
+    others = copies.where("doc_id <> text_id").select(F.col("doc_id").alias(id_column))
+    return cut(occurrences(docs.select(id_column, text).join(small_side(others), id_column, "left_anti"), id_column, text, length, window)), copies
+
+
 def shared_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Spans shared by different texts, and the membership of exact copies (`classes`).
 
@@ -220,16 +323,13 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Null, empty and shorter texts share nothing. Rows with a null id are ignored. Repeated rows and copies are one text,
     named by its smallest id. Long texts are read whole. Empty tables give empty results; other columns are ignored.
     """
-    docs = docs.where(F.col(id_column).isNotNull())
-    copies = cut(classes(docs, id_column, text, length))
-    others = copies.where("doc_id <> text_id").select(F.col("doc_id").alias(id_column))
-    found = cut(occurrences(docs.select(id_column, text).join(small_side(others), id_column, "left_anti"), id_column, text, length, window))
+    found, copies = windows(docs, id_column, text, length, window)
     blocked = found.withColumn("block", F.pmod(F.xxhash64("text_id", "start"), F.col("blocks")).cast("int"))
     side = lambda name, i, j: blocked.select("window", i.alias("i"), j.alias("j"), *(F.col(c).alias(f"{c}_{name}") for c in ("text_id", "start", "before", "around")))
     left = side("a", F.col("block"), F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = side("b", F.explode(F.sequence(F.lit(0), F.col("block"))), F.col("block"))
     met = left.join(right, ["window", "i", "j"]).where(((F.col("i") < F.col("j")) & (F.col("text_id_a") != F.col("text_id_b"))) | ((F.col("i") == F.col("j")) & (F.col("text_id_a") < F.col("text_id_b"))))
-    same = arrow_column(functools.partial(_compare, window=window), T.StructType([T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType())]), F.struct("around_a", "before_a", "around_b", "before_b"))
+    same = arrow_column(functools.partial(_compare, window=window), _SAME, F.struct("around_a", "before_a", "around_b", "before_b"))
     met = met.withColumn("same", same).where((F.col("same.left") >= 0) & (F.col("same.left") + F.col("same.right") + window >= length))
     straight = F.col("text_id_a") < F.col("text_id_b")
     place = lambda own, other: F.when(straight, F.col(own)).otherwise(F.col(other))
@@ -259,10 +359,45 @@ def document_pairs(spans: DataFrame, copies: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b")
 
 
-def coverage(spans: DataFrame, copies: DataFrame) -> DataFrame:
-    """text_id, shared_chars: characters of a text that lie in spans shared with other texts (their union)."""
-    ranges = spans.select(F.col("text_id_a").alias("text_id"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("n_chars")).alias("end"))
-    ranges = ranges.unionByName(spans.select(F.col("text_id_b").alias("text_id"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("n_chars")).alias("end")))
+def _stretches(rows: pa.Array, length: int, window: int) -> pa.Array:
+    """Hashes of all stretches of `length` characters through a window, in order of their start."""
+    out = []
+    for around, before in zip(*(rows.field(i).to_pylist() for i in range(2))):
+        n = max(0, min(before + 1, len(around) - length + 1))
+        out.append([int.from_bytes(hashlib.blake2b(around[i : i + length].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for i in range(n)])
+    return pa.array(out, type=pa.list_(pa.int64()))
+
+
+def coverage(found: DataFrame, length: int = LENGTH, window: int = WINDOW, most: int = OCCURRENCES) -> DataFrame:
+    """text_id, shared_chars: characters of a text that lie in stretches shared with other texts (their union). `found`: see `windows`.
+
+    Occurrences of a window with the same surroundings are one class. A class of several texts is shared as far as its
+    surroundings go. Up to `most` classes of a window are compared with each other; where there are more, all stretches
+    through the window are counted instead. So the work grows with the occurrences, not with their pairs.
+    """
+    label = F.xxhash64("window", "before", "around")
+    told = found.select("text_id", "start", "window", "before", "around", label.alias("label"))
+    rows = told.groupBy("window", "label").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most"), F.any_value("before").alias("before"), F.any_value("around").alias("around"))
+    rows = cut(rows)
+    many = rows.groupBy("window").agg(F.count("*").alias("n"), F.min("least").alias("first"), F.max("most").alias("last"))
+    several = F.col("least") != F.col("most")
+    whole = rows.where(several).select("window", "label", F.col("before").alias("left"), (F.length("around") - F.col("before") - window).alias("right"))
+    sole = rows.where(~several).join(many.where("n > 1 and first <> last").select("window", "n"), "window")
+    # few classes: each single one against the others
+    other = rows.select("window", F.col("label").alias("other"), F.col("least").alias("other_least"), F.col("most").alias("other_most"), F.col("around").alias("around_b"), F.col("before").alias("before_b"))
+    few = sole.where(F.col("n") <= most).join(other, "window").where((F.col("label") != F.col("other")) & ((F.col("least") != F.col("other_least")) | (F.col("least") != F.col("other_most"))))
+    same = arrow_column(functools.partial(_compare, window=window), _SAME, F.struct(F.col("around").alias("around_a"), F.col("before").alias("before_a"), "around_b", "before_b"))
+    few = few.withColumn("same", same).where((F.col("same.left") >= 0) & (F.col("same.left") + F.col("same.right") + window >= length))
+    few = few.groupBy("window", "label").agg(F.max("same.left").alias("left"), F.max("same.right").alias("right"))
+    # many classes: stretches that stand in several texts
+    hot = many.where(F.col("n") > most).select("window")
+    keys = arrow_column(functools.partial(_stretches, length=length, window=window), T.ArrayType(T.LongType()), F.struct("around", "before"))
+    stretches = rows.join(hot, "window", "left_semi").select("window", "label", "least", "most", "before", F.posexplode(keys).alias("at", "stretch"))
+    common = stretches.groupBy("window", "stretch").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a <> b").select("window", "stretch")
+    met = stretches.where(~several).join(common, ["window", "stretch"], "left_semi")
+    met = met.groupBy("window", "label").agg(F.max(F.col("before") - F.col("at")).alias("left"), F.max(F.col("at") + length - window - F.col("before")).alias("right"))
+    reach = whole.unionByName(few).unionByName(met)
+    ranges = told.select("text_id", "start", "window", "label").join(reach, ["window", "label"]).select("text_id", (F.col("start") - F.col("left")).alias("start"), (F.col("start") + window + F.col("right")).alias("end"))
     ranges = ranges.groupBy("text_id", "start").agg(F.max("end").alias("end"))
     before = Window.partitionBy("text_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     added = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
@@ -280,8 +415,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's characters, how many of them stand elsewhere too, and the class of its text."""
     docs = _documents(spark, sf_dir)
-    spans, copies = shared_spans(docs)
+    found, copies = windows(docs)
     sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).join(copies, "doc_id", "left")
     own = sizes.select("doc_id", "n_chars", F.coalesce("text_id", "doc_id").alias("text_id"), F.col("text_id").isNotNull().alias("copied"))
     shared = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0))).cast("bigint")
-    return own.join(coverage(spans, copies), "text_id", "left").select("doc_id", "text_id", "n_chars", shared.alias("shared_chars"))
+    return own.join(coverage(found), "text_id", "left").select("doc_id", "text_id", "n_chars", shared.alias("shared_chars"))
