@@ -51,8 +51,10 @@ def test_pairs_are_ordered_and_empty_tables_give_none(spark, data):
 
 
 def test_collision_curve():
-    bands = variants.bands_for(0.3, 0.95, 3)
-    assert 1 - (1 - 0.3**3) ** bands >= 0.95 > 1 - (1 - 0.3**3) ** (bands - 1)
+    least = variants.least_similarity({1: 5, 2: 7}, 2)
+    assert least == pytest.approx(1 / 3)  # four of twelve grams are common to seven letters with two of them wrong
+    bands = variants.bands_for(least, 0.95, 4)
+    assert 1 - (1 - least**4) ** bands >= 0.95 > 1 - (1 - least**4) ** (bands - 1)
 
 
 @pytest.mark.parametrize(("a", "b", "errors"), [("gofifamo", "gofifamo", 0), ("gofifamo", "gofiamo", 1), ("gofifamo", "gofifaom", 1), ("gofifamo", "gxfifaom", 2), ("gofifamo", "nada", 3)])
@@ -93,6 +95,46 @@ def test_more_common_tokens_than_may_be_sent_are_an_error(spark, monkeypatch):
         people.lexicon(common)
 
 
-def test_long_chains_settle_at_one_root(spark):
-    tree = spark.createDataFrame([(f"n{i:02}", False, f"n{max(i - 1, 0):02}") for i in range(30)] + [("other", True, "other")], "node string, titled boolean, root string")
-    assert {r["node"]: r["root"] for r in variants.settled(tree).collect()} == {f"n{i:02}": "n00" for i in range(30)} | {"other": "other"}
+def test_satellites_never_pass_their_centre_on(spark):
+    chain = spark.createDataFrame([(f"n{i + 1:02}", f"n{i:02}") for i in range(29)], "node string, other string")
+    assert {r["node"] for r in variants.satellites(chain).collect()} == {f"n{i:02}" for i in range(1, 30, 2)}
+    star = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("e", "a")], "node string, other string")
+    assert {r["node"] for r in variants.satellites(star).collect()} == {"b", "c", "e"}  # d lies beside satellites only, so it is a centre
+    assert variants.satellites(star.limit(0)).count() == 0
+
+
+def test_a_chain_of_errors_is_no_one_person(spark):
+    names = ["Paulo Pigrozofla", "paulo pigrozofla", "PAULO PIGROZOFLA", "Paulo Pigrozofxx", "Paulo Pigrozxxxx"]
+    _, found = linked(spark, names)
+    assert found[names[0]] == found[names[1]] == found[names[3]] != found[names[4]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_that_may_match_share_a_way(seed):
+    import itertools
+    import random
+
+    rng = random.Random(seed)
+    givens = ["antonio", "ana", "roberto", "alberto", "marcela", "thiago", "francisco", "bo"]
+    full = lambda short: [g for g in givens if people.is_short_form(short, g)]
+    made = [(g, w) for g in givens for w in ("full", "typed", "joined")] + [(t, "short") for t in ("beto", "cela", "thi", "thia", "aninha", "fran", "tonio")] + [(c, w) for c in "abmtz" for w in ("initial", "login")]
+    made += [("".join(rng.choice("abtoni") for _ in range(rng.randrange(2, 6))), "nick") for _ in range(40)] + [("", ""), ("", "brand")]
+    for (a, x), (b, y) in itertools.product(made, made):
+        if variants._given_similarity(a, x, b, y) > 0 and (x, y) != ("short", "short"):  # two short forms meet by a name that both are short for
+            assert set(variants.ways(a, x, full)[0]) & set(variants.ways(b, y, full)[1]), (a, x, b, y)
+
+
+def test_similar_tokens_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    made = {"".join(rng.choice(("pi", "gro", "zo", "fla", "dre", "vi", "ta", "mu")) for _ in range(rng.randrange(2, 5))) for _ in range(60)}
+    for token in sorted(made)[:40]:
+        i = rng.randrange(1, len(token) - 1)
+        made.add(token[:i] + rng.choice("xyz") + token[i + 1 :])
+        made.add(token[:i] + token[i + 1] + token[i] + token[i + 2 :])
+    tokens = spark.createDataFrame([(t,) for t in sorted(made)], "token string")
+    wanted = {(a, b) for a in made for b in made if people.near(a, b) == 0 or (people.near(a, b) == 1 and max(len(a), len(b)) >= 5) or (people.near(a, b) == 2 and max(len(a), len(b)) >= 7)}
+    found = {(r["token"], r["other"]) for r in variants.similar_tokens(tokens).collect()}
+    assert found <= wanted and len(found) >= 0.95 * len(wanted)
+    assert found == {(r["token"], r["other"]) for r in variants.similar_tokens(tokens, bucket=2).collect()}

@@ -7,10 +7,12 @@ import re
 import unicodedata
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.arrow import arrow_column
 from weftline.plans.lineage import cut
 
 #: Names of nobody, titles, and words that make a name an organisation's (lines of business by their stems).
@@ -18,16 +20,6 @@ PLACEHOLDERS = {"eu", "voce", "desconhecido", "me", "you", "yo", "unknown", "des
 TITLES = {"dr", "dra", "eng", "enga", "prof", "profa", "sr", "sra", "mr", "mrs", "ms"}
 LEGAL = {"ltda", "ltd", "sa", "eireli", "me", "epp", "inc", "cia", "grupo", "group", "llc", "gmbh", "corp", "mei"}
 BUSINESS = ("alimentos", "comercio", "construtora", "consultoria", "engenharia", "industria", "logistica", "servicos", "sistemas", "solucoes", "tecnologia", "transportes")
-#: Usual short forms of given names that aren't their letters in order, or that could be those of too many.
-NICKNAMES = {
-    "bea": ("beatriz",), "bel": ("isabel", "isabela"), "beth": ("elizabeth",), "beto": ("roberto", "alberto"), "bia": ("beatriz",), "bill": ("william",), "bru": ("bruna", "bruno"),
-    "ceci": ("cecilia",), "cela": ("marcela",), "celo": ("marcelo",), "chico": ("francisco",), "dan": ("daniel",), "dani": ("daniel", "daniela"), "digo": ("rodrigo",), "dri": ("adriana", "adriano"), "drica": ("adriana",),
-    "du": ("eduardo",), "dudu": ("eduardo",), "edu": ("eduardo",), "fe": ("fernanda", "felipe"), "fer": ("fernanda", "fernando"), "gabi": ("gabriela",), "guida": ("margarida",), "isa": ("isabela", "isabel"),
-    "joca": ("joao",), "jon": ("jonathan",), "kate": ("katherine",), "kathy": ("katherine",), "kiko": ("francisco",), "lena": ("helena",), "leo": ("leonardo",), "liz": ("elizabeth",), "lu": ("luis", "lucia", "luciana"), "lula": ("luis",),
-    "mag": ("margarida",), "mike": ("michael",), "nanda": ("fernanda",), "nat": ("natalia",), "nati": ("natalia",), "ne": ("ines",), "pat": ("patricia",), "paty": ("patricia",), "rafa": ("rafael", "rafaela"),
-    "su": ("susana",), "susi": ("susana",), "suzi": ("susana",), "tavinho": ("otavio",), "tavo": ("otavio",), "thi": ("thiago",), "tom": ("antonio", "thomas"), "tonho": ("antonio",), "toni": ("antonio",), "tony": ("antonio",),
-    "vini": ("vinicius",), "will": ("william",), "yas": ("yasmin",),
-}
 #: A token is common (a given name, a middle name, a word) if it stands beside so many different tokens at least.
 COMMON = 9
 #: The most common tokens that may be sent to executors; more are an error.
@@ -101,8 +93,6 @@ def is_short_form(token: str, given: str) -> bool:
     """Whether a token is a diminutive of a given name, or some of its letters in order (Thi, Cela, Digo)."""
     if token == given or len(token) < 2:
         return False
-    if token in NICKNAMES:
-        return given in NICKNAMES[token]
     for ending in ("inho", "inha"):
         if token.endswith(ending):
             stem = token[: -len(ending)]
@@ -175,10 +165,17 @@ class Lexicon:
         return Parsed("person", given, "full", rest) if rest else None
 
 
+def _tokens(names: pa.Array) -> pa.Array:
+    return pa.array([words(n) if n else [] for n in names.to_pylist()], type=pa.list_(pa.string()))
+
+
+def _business(tokens: pa.Array) -> pa.Array:
+    return pa.array([is_business(t) for t in tokens.to_pylist()], type=pa.bool_())
+
+
 def name_tokens(names: DataFrame) -> DataFrame:
     """name, tokens of distinct strings in a column `name`."""
-    split = F.pandas_udf(lambda s: s.map(lambda x: words(x) if x else []), T.ArrayType(T.StringType()))
-    return names.select("name", split("name").alias("tokens"))
+    return names.select("name", arrow_column(_tokens, T.ArrayType(T.StringType()), "name").alias("tokens"))
 
 
 def learn(names: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,9 +197,9 @@ def learn(names: DataFrame, alone: DataFrame) -> tuple[DataFrame, DataFrame]:
     # written in full a given name stands beside about as many tokens as the others do; nicknames beside far fewer
     given = F.coalesce(F.col("alone"), (F.col("first") > 0.5) & (F.col("n") >= usual / 2))
     nickname = F.col("alone").isNull() & (F.col("first") > 0.5) & (F.col("n") < usual / 2)
-    business = F.pandas_udf(lambda s: s.map(is_business), T.BooleanType())
+    business = arrow_column(_business, T.BooleanType(), "token")
     inside = 1 - F.col("first") - F.col("last")
-    surname = F.col("alone").isNull() & (F.col("first") <= 0.5) & (F.col("last") > inside) & ~business("token")
+    surname = F.col("alone").isNull() & (F.col("first") <= 0.5) & (F.col("last") > inside) & ~business
     common = cut(facts.where(((F.col("n") >= least) & ~F.coalesce(nickname, F.lit(False))) | F.col("alone")).select("token", given.alias("is_given"), F.coalesce(surname, F.lit(False)).alias("is_surname"), "n"))
     rare = several.select("token").distinct().where(F.length("token") > 3).join(common.where("not is_surname").select("token"), "token", "left_anti")
     return common, rare

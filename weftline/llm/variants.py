@@ -3,13 +3,16 @@
 1. The distinct strings are taken apart (`people.Lexicon`): decoration, order, titles, middle names and lines of business
    are put aside; a given name (whole, mistyped, short or an initial) and a telling token (surname, brand) remain. Strings
    that come to the same parts are one node, however often they stand in the tables.
-2. Telling tokens are compared by MinHash banding over their padded q-grams, after folding what sounds alike. Rows a band
-   and the least similarity that still matters are parameters; the number of bands follows from the collision curve
-   1 - (1 - s^rows)^bands at the recall wanted.
-3. Candidates are verified by Monge-Elkan similarity: the best match of each token, where a given name may be met by its
-   short form or initial but never by another given name, and telling tokens by up to two typing errors.
-4. Star clustering: a node joins the best greater one (better written, more spellings, more frequent), so errors do not chain;
-   a node that fits two people equally (an initial before a surname that two people have) joins none.
+2. Telling tokens are compared by MinHash banding over their padded q-grams, after folding what sounds alike. The least
+   similarity that still matters is that of the most typing errors accepted (`least_similarity`); the number of bands
+   follows from the collision curve 1 - (1 - s^rows)^bands at the recall wanted. A crowded bucket meets itself in blocks.
+3. Names meet on a telling token and on what their given names could have in common (`ways`): a surname of ten thousand
+   people is no all-pairs problem. Candidates are verified by Monge-Elkan similarity: the best match of each token, where a
+   given name may be met by its short form or initial but never by another given name, and telling tokens by up to two
+   typing errors.
+4. Star clustering: in order of rank (better written, more spellings, more frequent) a node without a greater centre beside
+   it becomes a centre, the others are its satellites. Satellites join centres only, so errors do not chain; a node that
+   fits two people equally (an initial before a surname that two people have) joins none.
 
 A telling token met by several spellings is no typing error, so two such tokens that only look alike stay apart.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +35,33 @@ from weftline.llm.people import Lexicon, is_short_form, learn, lexicon, near, wo
 from weftline.plans.lineage import cut
 from weftline.sources.tables import table
 
-#: Least similarity of q-gram sets that must be found, with what recall, by bands of so many rows.
-Q, SIMILARITY, RECALL, ROWS = 3, 0.3, 0.95, 3
+#: Letters of a gram, the recall wanted of the least similarity, and rows of a band.
+Q, RECALL, ROWS = 2, 0.95, 4
+#: Typing errors accepted in tokens of so many letters at least.
+ACCEPTED = {1: 5, 2: 7}
+#: Tokens of a bucket, and of a block of it, that meet each other at once.
+BUCKET = 256
 #: How well a name is written, best first.
 QUALITY = {"full": 5, "business": 5, "typed": 4, "short": 3, "initial": 2, "single": 1, "": 0}
 
-_PART = pa.struct([("token", pa.string()), ("given", pa.string()), ("written", pa.string())])
+_PART = pa.struct([("token", pa.string()), ("given", pa.string()), ("written", pa.string()), ("sends", pa.list_(pa.string())), ("takes", pa.list_(pa.string()))])
 PARSED = T.StructType([
     T.StructField("node", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("quality", T.IntegerType()), T.StructField("spelling", T.StringType()),
-    T.StructField("parts", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("token", "given", "written")]))),
+    T.StructField("parts", T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("token", "given", "written")), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("sends", "takes"))]))),
 ])
 _PARSED = pa.struct([("node", pa.string()), ("kind", pa.string()), ("quality", pa.int32()), ("spelling", pa.string()), ("parts", pa.list_(_PART))])
 
 
-def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
+def least_similarity(accepted: dict[int, int] = ACCEPTED, q: int = Q) -> float:
+    """Jaccard similarity of the q-grams of two tokens as short as accepted with as many letters typed wrong."""
+    found = []
+    for errors, letters in accepted.items():
+        grams, lost = letters + q - 1, errors * q
+        found.append((grams - lost) / (grams + lost))
+    return min(found)
+
+
+def bands_for(similarity: float, recall: float = RECALL, rows: int = ROWS) -> int:
     """The fewest bands by which a pair of this similarity shares one with the probability wanted."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
@@ -56,8 +73,28 @@ def sound(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", token)
 
 
+def ways(given: str, written: str, full: Callable[[str], list[str]]) -> tuple[list[str], list[str]]:
+    """What a name sends to greater ones and takes from lesser ones: two names whose given names can stand for each other share one.
+
+    Whole names meet equal ones and, by the letters an unknown word must share with them, possible nicknames; short forms
+    meet what they are short for (`full`); initials meet first letters; a name without a given name meets all, as they are few.
+    """
+    if not given or written == "brand":
+        return (["none"], ["none"]) if written == "brand" else (["none", "to any"], ["none", "from any"])
+    if written in ("initial", "login"):
+        return [f"initial to {given[0]}", f"initials {given[0]}"], [f"initial from {given[0]}", f"initials {given[0]}"]
+    grams = {given[i : i + 2] for i in range(len(given) - 1)}
+    same = [f"is {g}" for g in dict.fromkeys([given, *(full(given) if written == "short" else ())])]
+    both = [[f"initial {way} {given[0]}", f"{any_way} any"] for way, any_way in (("from", "from"), ("to", "to"))]
+    if written == "nick":
+        return [*same, f"nick to {given[:2]}", f"nick end to {given[-2:]}", *both[0]], [*same, f"nick from {given[:2]}", f"nick end from {given[-2:]}", *both[1]]
+    return [*same, *(f"nick from {g}" for g in grams), f"nick end from {given[-2:]}", *both[0]], [*same, *(f"nick to {g}" for g in grams), f"nick end to {given[-2:]}", *both[1]]
+
+
 def _parse(names: pa.Array, known) -> pa.Array:
     known: Lexicon = known.value
+    full = functools.lru_cache(maxsize=None)(lambda short: [g for g in known.givens if is_short_form(short, g)])
+    meet = functools.lru_cache(maxsize=None)(lambda given, written: ways(given, written, full))
     out = []
     for name in names.to_pylist():
         parsed = known.parse(name) if name else None
@@ -79,17 +116,18 @@ def _parse(names: pa.Array, known) -> pa.Array:
                 parts = [(sound(a), b, "nick") for a, b in (rare, rare[::-1])]
             quality = QUALITY["business" if kind == "business" else written]
             node = f"{kind}|{written if written in ('short', 'initial', '') else 'full'}|{given}|{' '.join(sorted({p[0] for p in parts}))}"
-        out.append({"node": node, "kind": kind, "quality": quality, "spelling": spelling, "parts": [dict(zip(("token", "given", "written"), p)) for p in parts]})
+        out.append({"node": node, "kind": kind, "quality": quality, "spelling": spelling, "parts": [dict(zip(("token", "given", "written", "sends", "takes"), (*p, *meet(p[1], p[2])))) for p in parts]})
     return pa.array(out, type=_PARSED)
 
 
 def _signatures(tokens: pa.Array, bands: int, rows: int, q: int) -> pa.Array:
-    """Band keys of every token: MinHash over its q-grams, padded so that both ends count."""
+    """A key for every band of every token: MinHash over its q-grams, padded so that both ends count."""
     from zlib import crc32
 
     rng = np.random.default_rng(20)
     a = rng.integers(1, 1 << 61, bands * rows, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 61, bands * rows, dtype=np.uint64)
+    seeds = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40)
     keys = np.zeros((len(tokens), bands), dtype=np.int64)
     with np.errstate(over="ignore"):
         for i, token in enumerate(tokens.to_pylist()):
@@ -97,7 +135,7 @@ def _signatures(tokens: pa.Array, bands: int, rows: int, q: int) -> pa.Array:
             grams = np.array(sorted({crc32(padded[k : k + q].encode()) for k in range(len(padded) - q + 1)}), dtype=np.uint64)
             hashes = grams[:, None] * a + b
             least = (hashes ^ (hashes >> np.uint64(29))).min(axis=0).reshape(bands, rows)
-            mixed = np.zeros(bands, dtype=np.uint64)
+            mixed = seeds.copy()
             for row in range(rows):
                 mixed = (mixed ^ least[:, row]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(32)
@@ -106,19 +144,29 @@ def _signatures(tokens: pa.Array, bands: int, rows: int, q: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
 
 
-def similar_tokens(tokens: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+def similar_tokens(tokens: DataFrame, similarity: float | None = None, recall: float = RECALL, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """token, other, errors: distinct tokens up to two typing errors apart, both ways; each with itself.
 
-    Buckets hold distinct tokens only, so a token of a third of all rows is one entry.
+    Buckets hold distinct tokens only, so a token of a third of all rows is one entry; a bucket of many is cut into blocks
+    that meet each other in tasks of their own.
     """
-    signature = arrow_column(functools.partial(_signatures, bands=bands_for(similarity, recall, rows), rows=rows, q=Q), T.ArrayType(T.LongType()), "token")
-    banded = cut(tokens.select("token", F.posexplode(signature).alias("band", "key")))
-    close = (F.col("token") != F.col("other")) & (F.levenshtein("token", "other", 4) >= 0) & (F.levenshtein("token", "other", 4) <= 4)
-    met = banded.join(banded.withColumnRenamed("token", "other"), ["band", "key"]).where(close).select("token", "other").distinct()
+    bands = bands_for(similarity or least_similarity(), recall, rows)
+    signature = arrow_column(functools.partial(_signatures, bands=bands, rows=rows, q=Q), T.ArrayType(T.LongType()), "token")
+    # the band is part of the key's hash
+    banded = cut(tokens.where(F.length("token") >= min(ACCEPTED.values()) - 1).select("token", F.explode(signature).alias("key")))
+    crowded = banded.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = cut(banded.join(crowded, "key").withColumn("block", F.pmod(F.xxhash64("token"), F.col("blocks")).cast("int")))
+    left = placed.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "token")
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("token").alias("other"))
+    near = F.abs(F.length("token") - F.length("other")) <= max(ACCEPTED)
+    close = near & ((F.col("i") < F.col("j")) | (F.col("token") < F.col("other"))) & (F.levenshtein("token", "other", 2 * max(ACCEPTED)) >= 0)
+    met = left.join(right, ["key", "i", "j"]).where(close).select(F.least("token", "other").alias("token"), F.greatest("token", "other").alias("other")).distinct()
     errors = arrow_column(_errors, T.IntegerType(), F.struct("token", "other"))
     longer = F.greatest(F.length("token"), F.length("other"))
-    met = met.withColumn("errors", errors).where((F.col("errors") == 1) & (longer >= 5) | (F.col("errors") == 2) & (longer >= 7))
-    return met.unionByName(tokens.select("token", F.col("token").alias("other"), F.lit(0).alias("errors")))
+    accepted = functools.reduce(lambda a, b: a | b, ((F.col("errors") == n) & (longer >= letters) for n, letters in ACCEPTED.items()))
+    met = cut(met.withColumn("errors", errors).where(accepted))
+    both = met.unionByName(met.select(F.col("other").alias("token"), F.col("token").alias("other"), "errors"))
+    return both.unionByName(tokens.select("token", F.col("token").alias("other"), F.lit(0).alias("errors")))
 
 
 def _errors(pairs: pa.Array) -> pa.Array:
@@ -160,17 +208,19 @@ def _monge_elkan(pairs: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.float64())
 
 
-def settled(tree: DataFrame) -> DataFrame:
-    """node, titled, root of a tree (node, titled, root: the node it joined, or itself), each node under the last root of its chain.
+def satellites(edges: DataFrame) -> DataFrame:
+    """node: those of the nodes of `edges` (node, other: a greater node beside it) that are no centre of a star.
 
-    The way followed doubles each round, until no root changes. Chains end, as a node joins greater ones only.
+    Nodes are judged from the greatest down, all at once whose greater neighbours are judged: beside a centre a node is a
+    satellite, and what lies beside satellites only is a centre. Each round judges every node at the top of what is left.
     """
-    tree = cut(tree)
-    while True:
-        above = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        tree = cut(tree.join(above, "root").select("node", "titled", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        if tree.where("moved").isEmpty():
-            return tree.drop("moved")
+    left, found = cut(edges.select("node", "other").distinct()), None
+    while not left.isEmpty():
+        tops = left.select("other").distinct().join(left.select(F.col("node").alias("other")).distinct(), "other", "left_anti")
+        now = cut(left.join(tops, "other", "left_semi").select("node").distinct())
+        found = now if found is None else found.unionByName(now)
+        left = cut(left.join(now, "node", "left_anti").join(now.select(F.col("node").alias("other")), "other", "left_anti"))
+    return edges.select("node").limit(0) if found is None else found
 
 
 def clusters(names: DataFrame) -> DataFrame:
@@ -190,19 +240,24 @@ def clusters(names: DataFrame) -> DataFrame:
     parts = named.select("node", F.explode("parts").alias("part")).distinct().select("node", "part.*")
     tokens = parts.select("token").distinct()
     full = cut(nodes.withColumn("rank", rank).join(parts, "node"))
-    other = full.select(*(F.col(c).alias(f"other_{c}") for c in full.columns))
-    links = similar_tokens(tokens)
-    met = full.join(links, "token").join(other, F.col("other") == F.col("other_token")).where((F.col("other_rank") > F.col("rank")) & ((F.col("errors") == 0) | (F.least("spellings", "other_spellings") == 1)))
+    lower = full.drop("takes").join(similar_tokens(tokens), "token").withColumn("way", F.explode("sends")).drop("sends")
+    greater = full.drop("sends").withColumn("way", F.explode("takes")).drop("takes")
+    greater = greater.select("way", *(F.col(c).alias(f"other_{c}") for c in greater.columns if c != "way"))
+    met = lower.join(greater, (F.col("other") == F.col("other_token")) & (lower["way"] == greater["way"])).where((F.col("other_rank") > F.col("rank")) & ((F.col("errors") == 0) | (F.least("spellings", "other_spellings") == 1)))
     kinds = (F.col("kind") == F.col("other_kind")) | (F.col("kind") == "single") | (F.col("other_kind") == "single")
     brand = (F.col("written") == "brand") == ((F.col("other_kind") == "business") | (F.col("other_written") == "brand"))
     score = arrow_column(_monge_elkan, T.DoubleType(), F.struct("given", "written", "other_given", "other_written", "token", "errors"))
     met = met.where(kinds & (brand | (F.col("kind") != "single"))).withColumn("score", score).where("score > 0")
+    met = cut(met.select("node", "other_node", "other_rank", "other_given", "score", "errors", "other_quality"))
+    around = cut(satellites(met.select("node", F.col("other_node").alias("other"))))
+    # a satellite joins the centre that it fits best
+    met = met.join(around.select(F.col("node").alias("other_node")), "other_node", "left_anti")
     best = F.struct(F.col("score"), -F.col("errors"), F.col("other_quality"))
     top = met.groupBy("node").agg(F.max(best).alias("best"))
     joined = met.join(top, "node").where(best == F.col("best"))
     # two different people that fit equally well: none of them
-    sole = joined.groupBy("node").agg(F.max_by("other_node", "other_rank").alias("root"), F.count_distinct("other_given").alias("people")).where("people = 1").drop("people")
-    tree = settled(nodes.select("node", "titled").join(sole, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sole = joined.join(around, "node", "left_semi").groupBy("node").agg(F.max_by("other_node", "other_rank").alias("root"), F.count_distinct("other_given").alias("people")).where("people = 1").drop("people")
+    tree = cut(nodes.select("node", "titled").join(sole, "node", "left").withColumn("root", F.coalesce("root", "node")))
     real = tree.where("not titled").select("root").distinct()
     return named.select("name", "node").join(tree.join(real, "root", "left_semi"), "node").select("name", F.col("root").alias("entity"))
 
