@@ -82,7 +82,7 @@ def ways(given: str, written: str, full: Callable[[str], list[str]]) -> tuple[li
     if not given or written == "brand":
         return (["none"], ["none"]) if written == "brand" else (["none", "to any"], ["none", "from any"])
     if written in ("initial", "login"):
-        return [f"initial to {given[0]}", f"initials {given[0]}"], [f"initial from {given[0]}", f"initials {given[0]}"]
+        return [f"initial to {given[0]}", f"initials {given[0]}", "from any"], [f"initial from {given[0]}", f"initials {given[0]}", "to any"]
     grams = {given[i : i + 2] for i in range(len(given) - 1)}
     same = [f"is {g}" for g in dict.fromkeys([given, *(full(given) if written == "short" else ())])]
     both = [[f"initial {way} {given[0]}", f"{any_way} any"] for way, any_way in (("from", "from"), ("to", "to"))]
