@@ -46,7 +46,29 @@ def test_identities(told):
 @pytest.mark.parametrize("seconds", [0.0, 0.4, 45.0, -80.0, 10800.0, -10800.0, -10755.0])
 def test_message_without_id_is_found_by_its_words(told, seconds):
     body = "A medição deu 14 ms em lab-7 e isso é aceitável, vamos seguir."
-    assert told(row(1, "a", "teams", said("m1"), body), row(2, "b", "teams", said(), "Ana: a medicao deu 14 ms em lab-7 e isso e aceitavel, vamos…\nConversa: chat Sala\nRecebida por você", seconds)) == [[1, 2]]
+    cut_short = "Ana: a medicao deu 14 ms em lab-7 e isso e aceitavel, vamos…\nConversa: chat Sala\nRecebida por você"
+    pair = [row(1, "a", "teams", said("m1"), body), row(2, "b", "teams", said(), cut_short, seconds)]
+    whole_hours = round(seconds / 3600) * 3600
+    taught = [row(3, "c", "discord", said("m2"), "uma frase dita uma vez"), row(4, "d", "discord", said(), "Uma frase, dita uma vez", whole_hours)]
+    assert told(*pair, *taught) == [[1, 2], [3, 4]]
+
+
+@pytest.mark.parametrize("hours", [-4, -2, 1, 5.5])
+def test_zones_are_learned(told, spark, hours):
+    rows = [row(2 * i + j, f"{i}{j}", "teams", said(f"m{i}") if not j else said(), f"a frase de numero {'abcdefgh'[i]} em diante", 7 * i + j * 3600 * hours) for i in range(8) for j in (0, 1)]
+    assert told(*rows) == [[2 * i, 2 * i + 1] for i in range(8)]
+
+
+def test_an_equal_revision_bridges_any_time(told):
+    body = "ok, sem pressa por aqui"
+    assert told(row(1, "a", "teams", said("m1", revision="1772366400123"), body), row(2, "b", "teams", said(revision="1772366400123"), body, 86_400 * 9 + 500), row(3, "c", "teams", said(), body, 86_400 * 20 + 500)) == [[1, 2], [3]]
+
+
+def test_undated_messages_meet_the_only_one_with_their_words(told):
+    body = "palavras que bastam para comparar"
+    again = [row(10 + i, f"x{i}", "teams", said() | {"conversation": "Outra"}, body, at=False) for i in range(3)]
+    assert told(row(1, "a", "teams", said("m1"), body), row(2, "b", "teams", said(), body, at=False), *again) == [[1, 2], [10], [11], [12]]
+    assert told(*again[:2]) == [[10, 11]]
 
 
 def test_equal_words_sent_twice_stay_two(told):

@@ -4,8 +4,8 @@ Grouping. A record is identified by what its source names it by: the message id,
 completed by the full hash it begins), the path (slashes normalised) or the page and the microsecond of its visit. Records
 under one uid are one activity. A message exported without any id joins the message of the same conversation whose
 words are the same (but for typing errors, accents, case and a cut end) and whose revision is the same or else whose time
-is nearest: equal, or cut to seconds, or a time zone off, or within the skew of two clocks. Equal words sent twice stay two
-messages: one of them is taken.
+is nearest: equal, or cut to seconds, or a time zone off, or within the skew of two clocks. By how much zones are off is
+learned from the messages themselves (`clock_offsets`). Equal words sent twice stay two messages: one of them is taken.
 
 Best row: greatest numeric revision, then most filled metadata, then latest time, then smallest id.
 
@@ -30,8 +30,12 @@ from weftline.plans.lineage import cut
 from weftline.plans.sizes import small_side
 from weftline.sources.tables import table
 
-#: Seconds that clocks of two exports may differ, the offset of a wrong time zone, and shares of common 4-grams that make words the same.
-SKEW_S, ZONE_S, SAME = 91, 10800, 0.6
+#: Parameters: seconds that clocks of two exports may differ, the share of common 4-grams that makes words the same, and letters below which words say too little.
+SKEW_S, SAME, LEAST_LETTERS = 120, 0.6, 12
+#: Zones differ by whole quarters of an hour, up to so many either way; an offset counts if seen at least so often as this share of the most frequent one.
+QUARTER_S, MOST_QUARTERS, OFFSET_SHARE = 900, 56, 0.1
+#: What the layout of an exported message begins a line with, below the words themselves.
+CONVERSATION_LINE = "Conversa: "
 #: Sources whose activities are messages.
 CHATS = ("teams", "whatsapp", "discord", "chatgpt")
 #: Times before this are no times (the epoch and its neighbourhood).
@@ -74,7 +78,7 @@ def _bodies(rows: pa.Array) -> pa.Array:
     """A message's own words: without sender, conversation and direction lines, folded to letters and digits."""
     out = []
     for content, sender in zip(*(rows.field(i).to_pylist() for i in range(2))):
-        words = _letters(re.split(r"\n+Conversa: ", content or "")[0])
+        words = _letters(re.split(rf"\n+{CONVERSATION_LINE}", content or "")[0])
         name = _letters(sender or "")
         out.append(words[len(name) :] if name and words.startswith(name) and len(words) > len(name) else words)
     return pa.array(out, type=pa.string())
@@ -109,11 +113,14 @@ def _uid() -> Column:
     return _digest(F.coalesce("uid", F.concat(F.lit("row|"), F.col("record_id").cast("string"))))
 
 
+def _own_words() -> Column:
+    return arrow_column(_bodies, T.StringType(), F.struct("content", F.coalesce(_meta("sender"), F.lit("")).alias("sender")))
+
+
 def _said(records: DataFrame, ids: DataFrame) -> DataFrame:
     """id, words: the messages' own words of some records; only these contents travel."""
-    words = arrow_column(_bodies, T.StringType(), F.struct("content", F.coalesce(_meta("sender"), F.lit("")).alias("sender")))
     wanted = records.join(small_side(ids.withColumnRenamed("id", "record_id")), "record_id", "left_semi")
-    return wanted.select(F.col("record_id").alias("id"), words.alias("words"))
+    return wanted.select(F.col("record_id").alias("id"), _own_words().alias("words"))
 
 
 def _telling_revision() -> Column:
@@ -122,36 +129,52 @@ def _telling_revision() -> Column:
     return F.when(revision.rlike(r"\A[0-9]{10,}\z"), revision)
 
 
+def clock_offsets(chats: DataFrame) -> list[int]:
+    """Seconds by which messages without an id are off the message they repeat: 0 and the zones that the data show.
+
+    Learned from messages whose words stand in one message with an id of their conversation: how often each whole quarter of
+    an hour lies between the two. What comes to the driver is a histogram of at most 2 * MOST_QUARTERS + 1 bins.
+    """
+    dated = chats.where(F.col("ms").isNotNull() & (F.col("letters") >= LEAST_LETTERS))
+    named = dated.where(F.col("key").isNotNull()).groupBy("room", "words").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("ms").alias("there")).where("first = last")
+    off = dated.where(F.col("key").isNull()).join(named, ["room", "words"]).select(((F.col("ms") - F.col("there")) / 1000).alias("s"))
+    quarter = F.round(F.col("s") / QUARTER_S).cast("int")
+    seen = off.select("s", quarter.alias("q")).where((F.abs("q") <= MOST_QUARTERS) & (F.abs(F.col("s") - F.col("q") * QUARTER_S) <= SKEW_S)).groupBy("q").count()
+    bins = {r["q"]: r["count"] for r in seen.collect() if r["q"]}
+    return [0, *sorted(q * QUARTER_S for q, n in bins.items() if n >= OFFSET_SHARE * max(bins.values()))]
+
+
 def _adopted(records: DataFrame, keyed: DataFrame) -> DataFrame:
     """(u, adopted) for the uids of messages without an id: what the activity they repeat is called."""
     said = F.get(F.filter("people", lambda p: p["role"] == "conversation"), F.lit(0))["name"]
-    room = F.lower(F.trim(F.coalesce(_meta("conversation"), _filled(said), _filled(F.regexp_extract("content", r"\nConversa: \S+ ([^\n]*)", 1)))))
+    room = F.lower(F.trim(F.coalesce(_meta("conversation"), _filled(said), _filled(F.regexp_extract("content", rf"\n{CONVERSATION_LINE}\S+ ([^\n]*)", 1)))))
     chats = records.where(F.col("source").isin(*CHATS) | _meta("message_id").isNotNull() | _meta("conversation").isNotNull())
-    chats = chats.select(F.col("record_id").alias("id"), _uid().alias("u"), _digest(F.concat_ws("|", "source", room)).alias("room"), F.unix_millis(_time()).alias("ms"), _telling_revision().alias("revision"), room.isNotNull().alias("roomed"))
-    chats = cut(chats.where("roomed").drop("roomed").join(keyed.select("u", _digest(F.col("key")).alias("key")), "u", "left"))
+    chats = chats.select(F.col("record_id").alias("id"), _uid().alias("u"), _digest(F.concat_ws("|", "source", room)).alias("room"), F.unix_millis(_time()).alias("ms"), _telling_revision().alias("revision"), room.isNotNull().alias("roomed"), _own_words().alias("own"))
+    chats = chats.where("roomed").select("id", "u", "room", "ms", "revision", _digest(F.col("own")).alias("words"), F.length("own").alias("letters"))
+    chats = cut(chats.join(keyed.select("u", _digest(F.col("key")).alias("key")), "u", "left"))
+    offsets = clock_offsets(chats)
     width = 2 * SKEW_S * 1000
-    lost = chats.where(F.col("key").isNull() & F.col("ms").isNotNull())
-    probes = F.array_distinct(F.array(*(F.floor((F.col("ms") + (zone + skew) * 1000) / width) for zone in (0, ZONE_S, -ZONE_S) for skew in (-SKEW_S, SKEW_S))))
-    left = lost.select("id", "u", "room", "ms", "revision", F.explode(probes).alias("slot"))
-    right = chats.where(F.col("ms").isNotNull()).select(F.col("id").alias("other_id"), F.col("u").alias("other"), F.col("key").alias("other_key"), "room", F.col("ms").alias("other_ms"), F.col("revision").alias("other_revision"), F.floor(F.col("ms") / width).alias("slot"))
-    apart = F.abs(F.col("ms") - F.col("other_ms"))
-    zoned = F.abs(apart - ZONE_S * 1000)
-    met = left.join(right, ["room", "slot"]).where((F.col("u") != F.col("other")) & ((apart <= SKEW_S * 1000) | (zoned <= SKEW_S * 1000)))
-    met = cut(met.select("id", "u", "other_id", "other", "other_key", F.least(apart, zoned + 1000).alias("apart"), (F.col("revision") == F.col("other_revision")).alias("same_revision")))
+    lost = chats.where(F.col("key").isNull()).select("id", "u", "room", "ms", "revision")
+    other = chats.select(F.col("id").alias("other_id"), F.col("u").alias("other"), F.col("key").alias("other_key"), "room", F.col("ms").alias("other_ms"), F.col("revision").alias("other_revision"))
+    probes = F.array_distinct(F.array(*(F.floor((F.col("ms") - (zone + skew) * 1000) / width) for zone in offsets for skew in (-SKEW_S, SKEW_S))))
+    beside = lost.where("ms is not null").withColumn("slot", F.explode(probes)).join(other.where("other_ms is not null").withColumn("slot", F.floor(F.col("other_ms") / width)), ["room", "slot"]).drop("slot")
+    revised = lost.where("revision is not null").join(other.where("other_revision is not null").withColumn("revision", F.col("other_revision")), ["room", "revision"])
+    # how far the times are from a known offset; an offset of 0 is the likeliest
+    apart = F.least(*(F.abs(F.col("ms") - F.col("other_ms") - zone * 1000) + (1000 if zone else 0) for zone in offsets), F.lit(1 << 60))
+    met = beside.unionByName(revised.select(beside.columns)).where(F.col("u") != F.col("other")).withColumn("apart", apart).withColumn("same_revision", F.coalesce(F.col("revision") == F.col("other_revision"), F.lit(False)))
+    met = cut(met.where(F.col("same_revision") | (F.col("apart") <= SKEW_S * 1000 + 1000)).select("id", "u", "other_id", "other", "other_key", "apart", "same_revision").distinct())
     said = cut(_said(records, met.select("id").unionByName(met.select(F.col("other_id").alias("id"))).distinct()))
     met = met.join(said, "id").join(said.select(F.col("id").alias("other_id"), F.col("words").alias("other_words")), "other_id")
     met = met.withColumn("alike", arrow_column(_alike, T.DoubleType(), F.struct("words", "other_words"))).where(F.col("alike") >= SAME)
-    rank = F.struct(F.col("other_key").isNull(), ~F.coalesce("same_revision", F.lit(False)), F.col("apart"), -F.col("alike"), F.coalesce("other_key", "other"))
+    rank = F.struct(F.col("other_key").isNull(), ~F.col("same_revision"), F.col("apart"), -F.col("alike"), F.coalesce("other_key", "other"))
     # two uids without an id meet under the smaller one
     best = met.groupBy("u").agg(F.min_by(F.coalesce("other_key", F.least("u", "other")), rank).alias("adopted"))
-    # undated ones: the only message of their conversation with the same words
-    undated = chats.where(F.col("key").isNull() & F.col("ms").isNull())
-    there = cut(chats.join(undated.select("room").distinct(), "room", "left_semi"))
-    same = there.join(_said(records, there.select("id")), "id").where(F.length("words") >= 12).select("u", "key", "ms", "room", _digest(F.col("words")).alias("words"))
-    lone = same.where("key is null and ms is null").select("u", "room", "words")
-    only = lone.join(same.select(F.col("u").alias("other"), F.coalesce("key", "u").alias("other_key"), "room", "words"), ["room", "words"]).where("u <> other")
-    only = only.groupBy("u").agg(F.min("other_key").alias("adopted"), F.max("other_key").alias("last")).where("adopted = last").drop("last")
-    return best.unionByName(only).groupBy("u").agg(F.min("adopted").alias("adopted"))
+    # undated ones: the only other message of their conversation with the same words; counted once for all that say them
+    undated = chats.where("key is null and ms is null").select("room", "words").distinct()
+    same = chats.where(F.col("letters") >= LEAST_LETTERS).join(undated, ["room", "words"], "left_semi").groupBy("room", "words", F.coalesce("key", "u").alias("name")).agg(F.max(F.col("key").isNotNull()).alias("named"))
+    only = same.groupBy("room", "words").agg(F.count("*").alias("names"), F.min_by("name", F.struct(~F.col("named"), F.col("name"))).alias("adopted")).where("names = 2")
+    lone = chats.where(F.col("key").isNull() & F.col("ms").isNull()).select("u", "room", "words").distinct().join(only, ["room", "words"]).select("u", "adopted")
+    return best.unionByName(lone).groupBy("u").agg(F.min("adopted").alias("adopted"))
 
 
 def _revision() -> Column:
