@@ -91,3 +91,28 @@ def test_disguises_of_mail_in_any_case_and_bracket(text, expected):
 ])
 def test_streets_without_capitals_are_judged_by_the_words_around_them(text, expected):
     assert [t for kind, t in found(text) if kind == "address"] == expected
+
+
+def test_no_place_depends_on_how_far_away_something_stands():
+    domain = "sub-" * 40 + "empresa"
+    assert found(f"joao@{domain} ponto com, ok") == [("email", f"joao@{domain} ponto com")]
+    surname = "gegapagre"
+    assert found(f"{surname.upper()}, {' ' * 60}Ana e fim") == [("name", f"{surname.upper()}, {' ' * 60}Ana")]
+    assert found("nota fiscal" + " " * 50 + "313.397.889-00") == []
+    for before in ("", "Oi, ", "Ok. " * 40, "x" * 500 + ". "):
+        assert [k for k, _ in found(f"{before}enviar para rua das flores, 120 hoje")] == ["address"]
+
+
+def test_many_places_take_no_quadratic_time():
+    import time
+
+    text = "; ".join(f"a{i}@x.example, (20)3068-{6000 + i % 4000}, Rua Verde, {i % 900 + 1}, Paulo Gegapagre" for i in range(8000))
+    began = time.time()
+    places = DETECTOR.find(text, [{"name": "Paulo Gegapagre", "role": "author"}])
+    assert len(places) == 4 * 8000 and time.time() - began < 20
+
+
+def test_a_repeated_record_id_is_redacted_row_by_row(spark):
+    rows = [(1, "fale com rh@a.example", None), (1, "sem nada", None), (1, "fale com rh@a.example", None), (None, "(20)3068-6009", None)]
+    df = spark.createDataFrame(rows, "record_id long, content string, people array<struct<role:string,name:string>>")
+    assert sorted((r["content"], r["n_places"]) for r in personal.redact(df).collect()) == [("[phone]", 1), ("fale com [email]", 1), ("fale com [email]", 1), ("sem nada", 0)]

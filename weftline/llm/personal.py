@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import functools
 import html
+import itertools
 import re
 import unicodedata
 
@@ -48,8 +49,8 @@ _AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba)\s*[\])}>]\s*|(?<=[\w+-])\s+@\s+(?=
 _MAY_AT = re.compile(r"@|arroba|[\s\[({<]at[\s\])}>]")
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|ponto|punto)\s*[\])}>]\s*", re.I)
 _SPOKEN_DOT = re.compile(r"(?<=\w)\s+(?:dot|ponto|punto)\s+(?=\w)", re.I)
-_DOMAIN = re.compile(r"@\w[\w-]*(?:\s+(?:dot|ponto|punto)\s+\w+|\.\w+)*$", re.I)
-_PLAIN_DOMAIN = re.compile(r"\w@\w[\w-]*(?:\s+(?:dot|ponto|punto)\s+\w+)*$", re.I)
+_DOMAIN = re.compile(r"(?<=.)@\w[\w-]*(?:\s+(?:dot|ponto|punto)\s+\w+|\.\w+)*", re.I | re.S)
+_PLAIN_DOMAIN = re.compile(r"(?<=\w)@\w[\w-]*(?:\s+(?:dot|ponto|punto)\s+\w+)*", re.I)
 _RUN = re.compile(r"\b(?:(?:" + "|".join(SPELLED) + r")[\s,.-]+){5,}(?:" + "|".join(SPELLED) + r")\b", re.I)
 
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+%-]*\w)?@(?>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![\w@])(?!:[^\s:]*/)", re.A)
@@ -58,7 +59,9 @@ _PHONE = re.compile(
     _FREE + r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,3}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,3}|\(\d{2,3}\) ?9?\d{4}[ -]?\d{4}|0\d{2} 9 \d{4} \d{4}|0\d{4} \d{6}|\d{2}[ .]9\d{4}[ .-]?\d{4}|\d{2}[ .]\d{4}-\d{4}|\d{3}-\d{4})(?![\w-]|[.,]\d)"
 )
 _SHAPED = re.compile(_FREE + r"(?:\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3} \d{3} \d{3} \d{2}|\d{2}\.\d{3}\.\d{3}-[\dXx]|\d{9}-\d{2}|\d{3}-\d{2}-\d{4})(?![\w-]|[.,]\d)")
-_OTHER = re.compile(r"(?:nota fiscal|pedido|protocolo|chamado|build|timestamp|host|invoice|order|factura)\s*[#:nº°.]*\s*$", re.I)
+#: Words before a number that number something else than a person.
+OTHER_NUMBERS = ("nota fiscal", "pedido", "protocolo", "chamado", "build", "timestamp", "host", "invoice", "order", "factura")
+_LONGEST_OTHER = max(map(len, OTHER_NUMBERS))
 #: Words before the name of a street, words behind it, and words that name a number.
 STREETS = ("rua", "r.", "avenida", "av.", "travessa", "tv.", "praça", "praca", "alameda", "al.", "rodovia", "estrada", "largo", "calle", "plaza")
 ENGLISH_STREETS = ("rd", "road", "st", "street", "lane", "ln", "avenue", "ave", "drive", "way", "court", "close", "boulevard", "blvd", "terrace", "square")
@@ -68,13 +71,27 @@ NUMBER_WORDS = ("cpf", "rg", "ssn", "doc", "documento", "identidade", "identidad
 _TOLD = re.compile(rf"(?:\b(?:{'|'.join(NUMBER_WORDS)})\b)[\s:#]*(?:(?:n[º°o.]+|ºn|number|n[úu]mero)\s*)?[\s:]*((?:[A-Z]{{1,3}}\d{{6,9}}|\d{{7,11}}-?[\dXx]?))(?![\w-])", re.I)
 _STREET = re.compile(rf"(?<![\w.])(?:{'|'.join(map(re.escape, STREETS))})\s+((?:[^\W\d_]+\.?\s+){{0,4}}[^\W\d_]+)\s*,?\s+(?:n[º°o]?\.?\s*)?\d{{1,5}}(?!\w)", re.I)
 _ENGLISH_STREET = re.compile(rf"(?<![\w./-])\d{{1,5}}\s+((?:[^\W\d_]+\s+){{1,3}})(?:{'|'.join(ENGLISH_STREETS)})(?!\w)", re.I)
-_CLAUSE_END = re.compile(r"[.!?:;,()\n]")
+#: Words either way that a clause is looked through for capitals.
+CLAUSE_WORDS = 12
+_CLAUSE_ENDS = frozenset(".!?:;,()\n")
 _LONG_NUMBER = re.compile(r"\d[\d .()-]{6,}[\dXx]")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("check", T.StringType())])
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("check", pa.string())])
 
 
+class _Domains:
+    """A dot for each spoken dot that continues the domain behind the last @ before it. Asked from left to right."""
+
+    def __init__(self, text: str, domain: re.Pattern):
+        self.text, self.domain, self.at, self.seen = text, domain, -1, 0
+
+    def __call__(self, m: re.Match) -> str:
+        last = self.text.rfind("@", self.seen, m.start())
+        self.at, self.seen = last if last >= 0 else self.at, m.start()
+        return "." if self.at >= 0 and self.domain.fullmatch(self.text, self.at, m.start()) else m.group()
+
+
 class Plain:
     """A text without its disguises, and for each place where they differ what it came from."""
 
@@ -90,8 +107,7 @@ class Plain:
             self._replace(_AT, lambda m: "@")
             self._replace(_DOT, lambda m: ".")
             if "@" in self.text:  # where nothing is disguised, words behind a domain with a plain dot are none of it
-                domain = _DOMAIN if self.text != before else _PLAIN_DOMAIN
-                self._replace(_SPOKEN_DOT, lambda m: "." if domain.search(self.text, max(0, m.start() - 80), m.start()) else m.group())
+                self._replace(_SPOKEN_DOT, _Domains(self.text, _DOMAIN if self.text != before else _PLAIN_DOMAIN))
 
     def spell(self) -> None:
         """Runs of spelled digits become digits."""
@@ -121,13 +137,53 @@ class Plain:
         return at
 
 
+def _clause(body: str, start: int, end: int) -> tuple[int, int]:
+    """The clause around a place, as far as CLAUSE_WORDS words either way."""
+    words, low = 0, start
+    while low and body[low - 1] not in _CLAUSE_ENDS and words <= CLAUSE_WORDS:
+        low -= 1
+        words += body[low].isspace() and not body[low - 1 : low].isspace()
+    words, high = 0, end
+    while high < len(body) and body[high] not in _CLAUSE_ENDS and words <= CLAUSE_WORDS:
+        words += body[high].isspace() and not body[high - 1].isspace()
+        high += 1
+    return low, high
+
+
 def _uncapitalised(body: str, street: re.Match) -> bool:
     """Whether a street name has no capital because the clause around it has none."""
-    start, end = street.span()
     if any(w.lower() in PHRASE_WORDS for w in street.group(1).split()):
         return False
-    before = _CLAUSE_END.split(body[max(0, start - 80) : start])[-1]
-    return not any(c.isupper() for c in before + body[start:end] + _CLAUSE_END.split(body[end : end + 80], maxsplit=1)[0])
+    start, end = _clause(body, *street.span())
+    return not any(c.isupper() for c in body[start:end])
+
+
+def _named_otherwise(body: str, at: int) -> bool:
+    """Whether a word right before a number says that it numbers something else."""
+    while at and body[at - 1].isspace():
+        at -= 1
+    while at and body[at - 1] in "#:nNº°.":
+        at -= 1
+    while at and body[at - 1].isspace():
+        at -= 1
+    return body[max(0, at - _LONGEST_OTHER) : at].lower().endswith(OTHER_NUMBERS)
+
+
+class Taken:
+    """Places held so far, none over another; asks and adds in the logarithm of their number."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -155,7 +211,6 @@ class _Accents(dict):
 
 _ACCENTS = _Accents()
 _NEXT = re.compile(r"[ \t\xa0]+((?:[^\W\d_]\.|[^\W\d_]{2,}))")
-_LAST = re.compile(r"([^\W\d_]{3,}),?[ \t\xa0]+$")
 
 
 class Detector:
@@ -215,8 +270,11 @@ class Detector:
             for m in pattern.finditer(folded) if pattern else ():
                 taken.append(m.span())
                 spans.append(("name", m.start(), m.end(), check or None))
+        taken.sort()
+        reach = list(itertools.accumulate((b for _, b in taken), max))  # how far those that begin up to here go
         for start, end in givens:
-            if not any(a <= start and end <= b for a, b in taken):
+            i = bisect.bisect_right(taken, (start, len(plain)))
+            if not (i and end <= reach[i - 1]):
                 found = self._beside(plain, folded, start, end)
                 if found:
                     spans.append(("name", *found))
@@ -238,11 +296,16 @@ class Detector:
                 at = m.end()  # a middle name, if a surname follows
                 continue
             return start, m.end(), token
-        m = _LAST.search(plain, max(0, start - 40), start)
-        if m and "," in m.group():
-            token = _folded(m.group(1))
-            if token not in self.known.common:
-                return m.start(), end, token
+        at = start
+        while at and plain[at - 1] in " \t\xa0":
+            at -= 1
+        if at < start and at and plain[at - 1] == ",":
+            stop = at = at - 1
+            while at and plain[at - 1].isalpha():
+                at -= 1
+            token = _folded(plain[at:stop])
+            if stop - at >= 3 and token not in self.known.common:
+                return at, end, token
         return None
 
     def find(self, text: str, people: list[dict] | None) -> list[tuple[str, int, int, str | None]]:
@@ -254,32 +317,33 @@ class Detector:
             folded = _folded(plain.text)
             kinds, givens = self.cues(folded)
         body = plain.text
-        spans: list[tuple[str, int, int, str | None]] = []
-        if "@" in body:
-            spans += [("email", m.start(), m.end(), None) for m in _EMAIL.finditer(body)]
-        mails = [(a, b) for _, a, b, _ in spans]
-        free = lambda a, b: not any(x < b and a < y for x, y in mails)
-        named_otherwise = lambda m: bool(_OTHER.search(body, max(0, m.start() - 24), m.start()))
+        mails = [m.span() for m in _EMAIL.finditer(body)] if "@" in body else []
+        spans: list[tuple[str, int, int, str | None]] = [("email", a, b, None) for a, b in mails]
+        taken, held = Taken(), Taken()
+        for a, b in mails:
+            taken.add(a, b)
+            held.add(a, b)
         numbers: list[tuple[str, int, int, str | None]] = []
         long_number = bool(_LONG_NUMBER.search(body))
         if "number" in kinds:
             numbers += [("id_number", *m.span(1), None) for m in _TOLD.finditer(body)]
         if long_number:
-            numbers += [("id_number", *m.span(), None) for m in _SHAPED.finditer(body) if not named_otherwise(m)]
+            numbers += [("id_number", *m.span(), None) for m in _SHAPED.finditer(body) if not _named_otherwise(body, m.start())]
         streets = [m for kind, pattern in (("street", _STREET), ("english street", _ENGLISH_STREET)) if kind in kinds for m in pattern.finditer(body)]
         numbers += [("address", *m.span(), None) for m in streets if any(w[0].isupper() for w in m.group(1).split()) or _uncapitalised(body, m)]
         if long_number:
-            numbers += [("phone", *m.span(), None) for m in _PHONE.finditer(body) if not named_otherwise(m)]
+            numbers += [("phone", *m.span(), None) for m in _PHONE.finditer(body) if not _named_otherwise(body, m.start())]
         for span in numbers:  # of overlapping ones the kind that is named first above stays
-            if free(span[1], span[2]) and not any(s[1] < span[2] and span[1] < s[2] for s in spans):
+            if taken.free(span[1], span[2]):
+                taken.add(span[1], span[2])
                 spans.append(span)
         named: list[tuple[str, int, int, str | None]] = []
         self.names(body, folded, people or [], givens, named)
-        held: list[tuple[str, int, int, str | None]] = []
         for span in sorted(named, key=lambda s: (s[1], s[1] - s[2], s[3] is not None)):
-            if free(span[1], span[2]) and not any(s[1] < span[2] and span[1] < s[2] for s in held):
-                held.append(span)
-        return sorted((kind, plain.source(a), plain.source(b - 1) + 1, check) for kind, a, b, check in spans + held)
+            if held.free(span[1], span[2]):
+                held.add(span[1], span[2])
+                spans.append(span)
+        return sorted((kind, plain.source(a), plain.source(b - 1) + 1, check) for kind, a, b, check in spans)
 
 
 @functools.lru_cache(maxsize=2)
@@ -324,7 +388,9 @@ def spans(records: DataFrame) -> DataFrame:
     context = records.sparkSession.sparkContext
     lists = _Lists(context.broadcast(known), f"{context.applicationId}/{id(known)}/{len(known.common)}")
     places = arrow_column(functools.partial(_found, lists=lists), T.ArrayType(SPAN), F.struct("content", "people"))
-    found = cut(records.where(F.length("content") > 0).select("record_id", F.explode(places).alias("s")).select("record_id", "s.kind", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.check"))
+    keys = [c for c in ("record_id", "_row") if c in records.columns]
+    found = records.where(F.length("content") > 0).select(*keys, F.explode(places).alias("s"))
+    found = cut(found.select(*keys, "s.kind", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.check"))
     sure = found.where("check is null").drop("check")
     told = found.where("check is not null").join(small_side(cut(rare.select(F.col("token").alias("check")))), "check", "left_semi").drop("check")
     return sure.unionByName(told)
@@ -345,11 +411,13 @@ def _redacted(rows: pa.Array) -> pa.Array:
 def redact(records: DataFrame) -> DataFrame:
     """`records` with `content` made readable without personal information, and `n_places` replaced in it.
 
-    record_id must be unique; other columns stay. Contents without places, null and empty ones are unchanged.
+    A row is known by its record_id, content and people, so a repeated record_id does no harm; other columns stay. Contents
+    without places, null and empty ones are unchanged.
     """
-    by_row = spans(records).groupBy("record_id").agg(F.collect_list(F.struct("kind", "start_at", "end_at")).alias("_places"))
-    joined = records.join(by_row, "record_id", "left")
-    return joined.withColumn("content", arrow_column(_redacted, T.StringType(), F.struct("content", "_places"))).withColumn("n_places", F.coalesce(F.size("_places"), F.lit(0))).drop("_places")
+    marked = records.withColumn("_row", F.xxhash64("record_id", "content", F.to_json("people")))
+    by_row = spans(marked.select("record_id", "content", "people", "_row")).groupBy("_row").agg(F.collect_set(F.struct("kind", "start_at", "end_at")).alias("_places"))
+    joined = marked.join(by_row, "_row", "left")
+    return joined.withColumn("content", arrow_column(_redacted, T.StringType(), F.struct("content", "_places"))).withColumn("n_places", F.coalesce(F.size("_places"), F.lit(0))).drop("_places", "_row")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
