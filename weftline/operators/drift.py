@@ -1,12 +1,17 @@
 """Schemas that drift between files (problem 3): what changed from file to file, and one table of all files.
 
-Bodies are compared as trees. Children of an object are told apart by their keys, so the edit script of least cost is found
-object by object: keys in both are compared further down, and of the keys gone and new those with equal subtrees are
-paired as renames (cost 1) before the rest is removed and added (cost: size of the subtree). Subtrees removed from one
-object and added equal in another are moves, which the script lists besides.
+Bodies are compared as trees by a keyed edit distance: children of an object are told apart by their keys, and the same key
+in both is the same child. What is left over in an object is paired at least cost: a key gone and a key come with equal
+values are a rename, and so are two with objects that keep a key, if that costs less than removing one and adding the other. Subtrees removed
+from one object and added equal in another are moved. Costs: a node added or removed 1, a rename 1, a move 1 (2 with
+another key), a change of kind 1 and the nodes below. A value changed below a renamed key counts 1 in choosing pairs, as
+it makes the rename less likely, but is no change of shape. Elements of arrays are not compared, only their kinds.
 
-The scripts of all files are compiled into one projection: renames and moves link paths, every path gets the most common
-path it is linked with, and each file's values are read under those paths.
+The report of changes (`p3_found`) is a projection of the script: it knows renames of equal subtrees only, so others, and
+moves, are `removed` and `added` there.
+
+The scripts of a series are compiled into a projection of its files: renames and moves link paths, and linked paths get
+the one of them that most files of the same schema name have. Values whose kind differs between files get a common one.
 
 Files of one series follow each other by `saved_at`. The files are sorted over all partitions by series and time, each
 partition compares neighbours, and only the first and last file of each partition meet again. So a series that is a third
@@ -15,23 +20,20 @@ of all rows is spread like any other.
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.arrow import arrow_column
 from weftline.plans.lineage import cut
+from weftline.plans.sizes import small_side
 from weftline.sources.tables import table
 
-#: Paths that the projection may rename; it is sent to executors. More than these are an error, not a silent loss.
-MOST_RENAMED = 100_000
-
 _INVALID = object()
 
 
@@ -80,55 +82,206 @@ def _likeness(a: str, b: str) -> int:
     return min(front + back, len(a), len(b))
 
 
-def edit_script(old: Any, new: Any) -> list[tuple[str, str, str | None, int]]:
-    """(path, change, new path, cost) of least cost from one value to another.
-
-    `renamed`, `removed`, `added` and `retyped` as the report has them; `moved` in place of none of them, besides.
-    """
-    script: list[tuple[str, str, str | None, int]] = []
-    gone_values: dict[Any, list[tuple[str, Any]]] = {}
-    new_values: list[tuple[str, Any]] = []
-
-    def compare(a: Any, b: Any, path: str) -> None:
+def best_pairs(gains: dict[tuple[str, str], int]) -> dict[str, str]:
+    """Pairs of two sides, each used once, of the greatest total gain: found by augmenting paths of greatest gain."""
+    beside: dict[str, list[str]] = {}
+    for left, right in gains:
+        beside.setdefault(left, []).append(right)
+    of: dict[str, str] = {}  # right: its left
+    while True:
+        held = set(of.values())
+        best = {left: (0, None) for left in beside if left not in held}
+        reached: dict[str, tuple[int, str]] = {}
+        queue = list(best)
+        while queue:
+            left = queue.pop(0)
+            for right in beside[left]:
+                gain = best[left][0] + gains[left, right]
+                if of.get(right) != left and (right not in reached or gain > reached[right][0]):
+                    reached[right] = (gain, left)
+                    back = of.get(right)
+                    if back is not None and (back not in best or gain - gains[back, right] > best[back][0]):
+                        best[back] = (gain - gains[back, right], right)
+                        queue.append(back)
+        ends = [(gain, right) for right, (gain, _) in reached.items() if right not in of]
+        gain, right = max(ends, key=lambda e: e[0], default=(0, None))
+        if gain <= 0:
+            return {left: right for right, left in of.items()}
+        while right is not None:
+            left = reached[right][1]
+            before = best[left][1]
+            of[right] = left
+            right = before
+
+
+class Comparison:
+    """Two JSON values compared: the edit script of least cost, and the report of changes."""
+
+    def __init__(self, old: Any, new: Any):
+        self.canon: dict[int, Any] = {}
+        self.sizes: dict[int, int] = {}
+        self.distances: dict[tuple[int, int], int] = {}
+        self.script: list[list] = []
+        self.report: list[tuple[str, str]] = []
+        self.gone: list[tuple[str, Any, list]] = []
+        self.come: list[tuple[str, Any, list]] = []
+        self.compare(old, new, "", "", True)
+        self.move()
+
+    def form(self, value: Any) -> Any:
+        if id(value) not in self.canon:
+            self.canon[id(value)] = canonical(value)
+        return self.canon[id(value)]
+
+    def size(self, value: Any) -> int:
+        if id(value) not in self.sizes:
+            self.sizes[id(value)] = size(value)
+        return self.sizes[id(value)]
+
+    def distance(self, a: Any, b: Any) -> int:
+        """Cost of making one value of the other, changed values included."""
+        known = self.distances.get((id(a), id(b)))
+        if known is None:
+            known = self.distances[id(a), id(b)] = self._distance(a, b)
+        return known
+
+    def _distance(self, a: Any, b: Any) -> int:
         if kind(a) != kind(b):
-            script.append((path, "retyped", None, 1))
+            return self.size(a) + self.size(b) - 1
+        if not isinstance(a, dict):
+            return int(self.form(a) != self.form(b))
+        a, b = _keyed(a), _keyed(b)
+        gone, come = [k for k in a if k not in b], [k for k in b if k not in a]
+        pairs = self.pairs(a, b, gone, come)
+        cost = sum(self.distance(a[k], b[k]) for k in a if k in b) + sum(1 + self.distance(a[g], b[c]) for g, c in pairs.items())
+        return cost + sum(self.size(a[k]) for k in gone if k not in pairs) + sum(self.size(b[k]) for k in set(come) - set(pairs.values()))
+
+    def pairs(self, a: dict, b: dict, gone: list[str], come: list[str]) -> dict[str, str]:
+        """Keys gone and come of one object that are a rename."""
+        if not gone or not come:
+            return {}
+        pairs: dict[str, str] = {}
+        same: dict[Any, tuple[list[str], list[str]]] = {}
+        for i, (keys, values) in enumerate(((gone, a), (come, b))):
+            for key in keys:
+                same.setdefault(self.form(values[key]), ([], []))[i].append(key)
+        for left, right in same.values():
+            taken: set[str] = set()
+            for *_, g, c in sorted((-_likeness(g, c), i, j, g, c) for i, g in enumerate(left) for j, c in enumerate(right)):
+                if g not in pairs and c not in taken:
+                    pairs[g] = c
+                    taken.add(c)
+        taken = set(pairs.values())
+        # an object that keeps a key may be the same under another name
+        by_key: dict[str, list[str]] = {}
+        for c in come:
+            if c not in taken and isinstance(b[c], dict):
+                for key in _keyed(b[c]):
+                    by_key.setdefault(key, []).append(c)
+        gains: dict[tuple[str, str], int] = {}
+        for g in gone:
+            if g not in pairs and isinstance(a[g], dict):
+                for c in dict.fromkeys(c for key in _keyed(a[g]) for c in by_key.get(key, ())):
+                    gain = self.size(a[g]) + self.size(b[c]) - 1 - self.distance(a[g], b[c])
+                    if gain > 0:
+                        gains[g, c] = gain
+        return pairs | best_pairs(gains)
+
+    def compare(self, a: Any, b: Any, path: str, new_path: str, listed: bool) -> None:
+        """One value that is the same child in both; `listed`: no key above it was renamed with changes below."""
+        if kind(a) != kind(b):
+            self.script.append([path, "retyped", new_path if new_path != path else None, self.size(a) + self.size(b) - 1])
+            if listed:
+                self.report.append((path, "retyped"))
         elif isinstance(a, dict):
-            compare_objects(a, b, path)
+            self.objects(_keyed(a), _keyed(b), f"{path}." if path else "", f"{new_path}." if new_path else "", listed)
         elif isinstance(a, list):
             kinds = [{kind(v) for v in x if v is not None} for x in (a, b)]
             if all(kinds) and kinds[0] != kinds[1]:
-                script.append((f"{path}[]", "retyped", None, 1))
+                self.script.append([f"{path}[]", "retyped", f"{new_path}[]" if new_path != path else None, 1])
+                if listed:
+                    self.report.append((f"{path}[]", "retyped"))
 
-    def compare_objects(a: dict, b: dict, path: str) -> None:
-        under = f"{path}." if path else ""
-        a, b = ({k: v for k, v in x.items() if v is not None} for x in (a, b))
+    def objects(self, a: dict, b: dict, under: str, new_under: str, listed: bool) -> None:
         gone, come = [k for k in a if k not in b], [k for k in b if k not in a]
-        pairs: dict[str, str] = {}
-        if gone and come:
-            values = {k: canonical(b[k]) for k in come}
-            equal = sorted((-_likeness(g, c), gone.index(g), come.index(c), g, c) for g in gone for c in come if canonical(a[g]) == values[c])
-            for *_, g, c in equal:
-                if g not in pairs and c not in pairs.values():
-                    pairs[g] = c
+        pairs = self.pairs(a, b, gone, come)
+        exact = {g for g, c in pairs.items() if self.form(a[g]) == self.form(b[c])}
         for key in a:
+            path = under + key
             if key in b:
-                compare(a[key], b[key], under + key)
+                self.compare(a[key], b[key], path, new_under + key, listed)
             elif key in pairs:
-                script.append((under + key, "renamed", under + pairs[key], 1))
+                self.script.append([path, "renamed", new_under + pairs[key], 1])
+                if key not in exact:
+                    self.compare(a[key], b[pairs[key]], path, new_under + pairs[key], False)
+                if listed:
+                    self.report += [(path, "renamed")] if key in exact else [(path, "removed"), (under + pairs[key], "added")]
             else:
-                script.append((under + key, "removed", None, size(a[key])))
-                gone_values.setdefault(canonical(a[key]), []).append((under + key, a[key]))
+                self.script.append([path, "removed", None, self.size(a[key])])
+                self.gone.append((path, a[key], self.script[-1]))
+                if listed:
+                    self.report.append((path, "removed"))
+        renamed = set(pairs.values())
         for key in come:
-            if key not in pairs.values():
-                script.append((under + key, "added", None, size(b[key])))
-                new_values.append((under + key, b[key]))
+            if key not in renamed:
+                path = new_under + key
+                self.script.append([path, "added", None, self.size(b[key])])
+                self.come.append((path, b[key], self.script[-1]))
+                if listed:
+                    self.report.append((path, "added"))
+
+    def move(self) -> None:
+        """Subtrees removed here and added equal there become moves, the largest first."""
+        if not self.gone or not self.come:
+            return
+        places: dict[Any, tuple[list, list]] = {}
+        for i, side in enumerate((self.gone, self.come)):
+            for path, value, entry in side:
+                self._places(path, value, entry, i, (), places)
+        both = [x for x in places.items() if x[1][0] and x[1][1]]
+        used: tuple[set[str], set[str]] = (set(), set())
+        for _, (old, new) in sorted(both, key=lambda x: -x[1][0][0][2]):
+            steps = ((_last(o[0]) != _last(n[0]), -_likeness(o[0], n[0]), o, n) for o in old for n in new)
+            for other_key, _, o, n in sorted(steps, key=lambda s: s[:2] + (s[2][0], s[3][0])):
+                cost = 1 + other_key
+                if cost < 2 * o[2] and not any({x[0], *x[3]} & used[i] for i, x in enumerate((o, n))):
+                    for i, x in enumerate((o, n)):
+                        used[i].add(x[0])
+                        x[1][3] -= x[2]
+                    self.script.append([o[0], "moved", n[0], cost])
+        self.script = [entry for entry in self.script if entry[3] > 0]
+
+    def _places(self, path: str, value: Any, entry: list, side: int, above: tuple[str, ...], out: dict) -> None:
+        if isinstance(value, (dict, list)) and value:
+            out.setdefault(self.form(value), ([], []))[side].append((path, entry, self.size(value), above))
+        if isinstance(value, dict):
+            for key, inner in _keyed(value).items():
+                self._places(f"{path}.{key}", inner, entry, side, (*above, path), out)
+
+
+def _keyed(value: dict) -> dict:
+    """An object without its null values."""
+    return {k: v for k, v in value.items() if v is not None}
+
+
+def _last(path: str) -> str:
+    return path.rpartition(".")[2]
+
+
+def edit_script(old: Any, new: Any) -> list[tuple[str, str, str | None, int]]:
+    """(path, change, new path, cost) of least total cost from one value to another: renamed, removed, added, retyped, moved."""
+    return [tuple(entry) for entry in Comparison(old, new).script]
+
 
-    compare(old, new, "")
-    for path, value in new_values:
-        sources = gone_values.get(canonical(value))
-        if sources and isinstance(value, (dict, list)) and value:
-            script.append((sources.pop(0)[0], "moved", path, 1))
-    return script
+def reported(old: Any, new: Any) -> list[tuple[str, str]]:
+    """(path, change) as the report has them."""
+    return Comparison(old, new).report
+
+
+def _entries(old: Any, new: Any) -> list[tuple[str, str, str | None, int | None]]:
+    """The script, and the report as entries without a cost."""
+    found = Comparison(old, new)
+    return [*map(tuple, found.script), *((path, change, None, None) for path, change in found.report)]
 
 
 CHANGES = "series string, file_id long, path string, change string, new_path string, cost int"
@@ -138,20 +291,33 @@ _SCRIPT = pa.list_(pa.struct([("path", pa.string()), ("change", pa.string()), ("
 def _script_of(pairs: pa.Array) -> pa.Array:
     out = []
     for old, new in zip(*(pairs.field(i).to_pylist() for i in range(2))):
-        script = edit_script(parse(old), parse(new))
-        out.append([dict(zip(("path", "change", "new_path", "cost"), c)) for c in script])
+        out.append([dict(zip(("path", "change", "new_path", "cost"), c)) for c in _entries(parse(old), parse(new))])
     return pa.array(out, type=_SCRIPT)
 
 
+def series() -> Column:
+    """The series of a file: its profile and schema name."""
+    return F.to_json(F.struct(F.col("profile"), F.col("schema_name")), {"ignoreNullFields": "false"})
+
+
 def scripts(files: DataFrame) -> DataFrame:
-    """series, file_id, path, change, new_path, cost: the edit script from the file before in its series to each file.
+    """series, file_id, path, change, new_path, cost: the edit script from the file before in its series to each file. See `compared`."""
+    return compared(files).where("cost is not null")
+
+
+def changes(files: DataFrame) -> DataFrame:
+    """file_id, path, change: the report of changes between each file and the one before in its series. See `compared`."""
+    return compared(files).where("cost is null").select("file_id", "path", "change")
+
+
+def compared(files: DataFrame) -> DataFrame:
+    """series, file_id, path, change, new_path, cost: scripts, and the report of changes as rows without a cost.
 
     `files` has file_id, profile, schema_name, saved_at, body. Bodies that are null, empty or no JSON are skipped as if not
     saved. A null profile or schema name is a value of its own. Files saved at the same time follow by file_id; a null time
     comes first. A file saved again unchanged has no change. Very long bodies are parsed whole. An empty table gives no rows.
     """
-    series = F.to_json(F.struct(F.col("profile"), F.col("schema_name")), {"ignoreNullFields": "false"})
-    keyed = files.select(series.alias("series"), F.col("saved_at").cast("timestamp").alias("saved_at"), "file_id", "body").where(F.length("body") > 0)
+    keyed = files.select(series().alias("series"), F.col("saved_at").cast("timestamp").alias("saved_at"), "file_id", "body").where(F.length("body") > 0)
     ordered = keyed.repartitionByRange("series", F.col("saved_at").asc_nulls_first(), "file_id").sortWithinPartitions("series", F.col("saved_at").asc_nulls_first(), "file_id")
     both = cut(ordered.mapInArrow(_tagged, f"{CHANGES}, saved_at timestamp, side int, body string"))
     inner = both.where("side is null").select("series", "file_id", "path", "change", "new_path", "cost")
@@ -181,7 +347,7 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if first is None:
                 first = (series, file_id, None, None, None, None, at, 0, body)
             elif series == last[0]:
-                out += [(series, file_id, *change, None, None, None) for change in edit_script(last[1], value)]
+                out += [(series, file_id, *change, None, None, None) for change in _entries(last[1], value)]
             last = (series, value, at, file_id, body)
         if out:
             yield rows(out)
@@ -189,19 +355,30 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([first, (last[0], last[3], None, None, None, None, last[2], 1, last[4])])
 
 
-def canonical_paths(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """path, common: renamed or moved paths with the path, of those they were ever linked with, that most files have."""
-    linked = changes.where("new_path is not null").select(F.col("path").alias("a"), F.col("new_path").alias("b")).distinct()
-    both = cut(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+def canonical_paths(files: DataFrame, script: DataFrame) -> DataFrame:
+    """series, path, common: paths that a series renamed or moved, with the path that stands for all those linked with it.
+
+    That is the one that most files of the same schema name have, of whatever profile: so series that drifted apart agree.
+    """
+    linked = script.where("new_path is not null and change in ('renamed', 'moved')").select("series", F.col("path").alias("a"), F.col("new_path").alias("b")).distinct()
+    both = cut(linked.unionByName(linked.select("series", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     held = arrow_column(_paths, T.ArrayType(T.StringType()), "body")
-    counts = files.where(F.length("body") > 0).select(F.explode(held).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    ranked = cut(both.select(F.col("a").alias("path")).distinct().join(counts, "path", "left").select("path", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "path").alias("rank")))
-    near = both.join(ranked.withColumnRenamed("path", "b").withColumnRenamed("rank", "there"), "b").groupBy("a").agg(F.max("there").alias("there"))
-    tree = cut(ranked.join(near, ranked["path"] == near["a"]).select("path", F.when(F.col("there") > F.col("rank"), F.col("there")["path"]).otherwise(F.col("path")).alias("common")))
-    for _ in range(4):  # renames of renames: each round doubles how far a path looks
-        up = tree.select(F.col("path").alias("common"), F.col("common").alias("next"))
-        tree = cut(tree.join(up, "common", "left").select("path", F.coalesce("next", "common").alias("common")))
-    return tree.where("path <> common")
+    counts = files.where(F.length("body") > 0).select("schema_name", F.explode(held).alias("path")).groupBy("schema_name", "path").agg(F.count("*").alias("n"))
+    named = files.select(series().alias("series"), "schema_name").distinct()
+    paths = both.select("series", F.col("a").alias("path")).distinct().join(named, "series")
+    met = paths.join(counts.withColumnRenamed("schema_name", "_name"), (paths["path"] == counts["path"]) & paths["schema_name"].eqNullSafe(F.col("_name")), "left")
+    ranked = cut(met.select("series", paths["path"], F.struct(F.coalesce("n", F.lit(0)).alias("n"), paths["path"].alias("path")).alias("rank")))
+    # the greatest rank among all that are linked: each round looks one link further for those that still grow
+    while True:
+        near = both.join(ranked.select("series", F.col("path").alias("b"), F.col("rank").alias("there")), ["series", "b"]).groupBy("series", F.col("a").alias("path")).agg(F.max("there").alias("there"))
+        grown = ranked.join(near, ["series", "path"]).select("series", "path", F.greatest("rank", "there").alias("rank"), (F.col("there") > F.col("rank")).alias("grew"))
+        # a jump besides: what the path named now already knows
+        known = grown.select("series", F.col("path").alias("named"), F.col("rank").alias("further"))
+        ahead = grown.withColumn("named", F.col("rank.path")).join(known, ["series", "named"], "left")
+        ranked = cut(ahead.select("series", "path", F.greatest("rank", F.coalesce("further", "rank")).alias("rank"), (F.col("grew") | (F.coalesce("further", "rank") > F.col("rank"))).alias("grew")))
+        if ranked.where("grew").isEmpty():
+            return ranked.select("series", "path", F.col("rank.path").alias("common")).where("path <> common")
+        ranked = ranked.drop("grew")
 
 
 def _inner_paths(value: Any, path: str, out: list[str]) -> None:
@@ -222,50 +399,79 @@ def _paths(bodies: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.list_(pa.string()))
 
 
-def _project(value: Any, mapping: dict[str, str]) -> dict[str, str]:
-    """Leaf values (and arrays) of an object as JSON text under their common paths; a taken path keeps its own value."""
-    flat: list[tuple[bool, str, str]] = []
+def _common(path: str, mapping: dict[str, str], known: dict[str, str]) -> str:
+    """The common name of a path: that of the path itself below the common name of what holds it."""
+    if path not in known:
+        known[path] = path  # paths that were moved into each other end here
+        named = mapping.get(path, path)
+        head, dot, last = named.rpartition(".")
+        named = f"{_common(head, mapping, known)}.{last}" if dot else named
+        known[path] = mapping.get(named, named)
+    return known[path]
 
-    def walk(node: dict, raw: str, common: str) -> None:
+
+def _flat(value: Any, mapping: dict[str, str], known: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(common path, kind, JSON text) of the leaves and arrays of an object; a path's own value comes before one renamed to it."""
+    flat: list[tuple[str, str, str, str]] = []
+
+    def walk(node: dict, under: str) -> None:
         for key, inner in node.items():
-            if inner is None:
-                continue
-            here = f"{raw}{key}"
-            named = mapping.get(here, here)
-            if named.startswith(raw) and raw != common:  # renamed in place, below a renamed parent
-                named = common + named[len(raw) :]
-            target = mapping.get(named, named)
             if isinstance(inner, dict) and inner:
-                walk(inner, f"{here}.", f"{target}.")
-            else:
-                flat.append((target != here, target, here, json.dumps(inner, ensure_ascii=False, sort_keys=True)))
+                walk(inner, f"{under}{key}.")
+            elif inner is not None:
+                flat.append((_common(under + key, mapping, known), under + key, kind(inner), json.dumps(inner, ensure_ascii=False, sort_keys=True)))
 
-    walk(value, "", "")
-    out: dict[str, str] = {}
-    for renamed, target, here, text in sorted(flat, key=lambda f: f[0]):
-        out[here if target in out else target] = text
-    return out
+    walk(value, "")
+    out: dict[str, tuple[str, str]] = {}
+    for target, here, of_kind, text in sorted(flat, key=lambda f: f[0] != f[1]):
+        out[here if target in out else target] = (of_kind, text)
+    return [(path, *found) for path, found in out.items()]
 
 
-def _projected(bodies: pa.Array, mapping) -> pa.Array:
-    out = []
-    for body in bodies.to_pylist():
+_LEAF = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("text", pa.string())]))
+
+
+def _leaves(bodies: pa.Array, renames: pa.Array) -> pa.Array:
+    out: list[list[dict] | None] = []
+    tables: dict[tuple, tuple[dict[str, str], dict[str, str]]] = {}
+    for body, renamed in zip(bodies.to_pylist(), renames.to_pylist()):
         value = parse(body)
-        out.append(list(_project(value, mapping.value).items()) if isinstance(value, dict) else None)
-    return pa.array(out, type=pa.map_(pa.string(), pa.string()))
+        if not isinstance(value, dict):
+            out.append(None)
+            continue
+        mapping, known = tables.setdefault(tuple(renamed or ()), (dict(renamed or ()), {}))
+        out.append([dict(zip(("path", "kind", "text"), leaf)) for leaf in _flat(value, mapping, known)])
+    return pa.array(out, type=_LEAF)
+
+
+def common_kind(kinds: Column) -> Column:
+    """The kind that all of several can be written as: an array of what isn't one, else a string; `json` with objects, which stay as they are."""
+    has = lambda name: F.array_contains(kinds, F.lit(name))
+    return F.when(F.size(kinds) == 1, kinds[0]).when(has("object"), "json").when(has("array"), "array").otherwise("string")
 
 
-def consistent(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """Every file with `fields`, its values as JSON text under paths that mean the same in all files.
+def consistent(files: DataFrame, script: DataFrame) -> DataFrame:
+    """Every file with `fields`, its values as JSON text under paths, and of kinds, that are the same in all files of a schema name.
 
-    Invalid bodies have null fields; the row stays. Two values that claim one path keep the path's own and the other's old one.
+    Renames and moves of a series hold for its own files alone. Invalid bodies have null fields; the row stays. Two values
+    that claim one path keep the path's own and the other's old one. Where the kinds of a path differ between files, scalars
+    become strings, and single values arrays of one; objects stay as they are.
     """
-    rows = canonical_paths(files, changes).limit(MOST_RENAMED + 1).collect()
-    if len(rows) > MOST_RENAMED:
-        raise ValueError(f"more than {MOST_RENAMED} renamed paths")
-    mapping = files.sparkSession.sparkContext.broadcast({r["path"]: r["common"] for r in rows})
-    fields = arrow_column(functools.partial(_projected, mapping=mapping), T.MapType(T.StringType(), T.StringType()), "body")
-    return files.withColumn("fields", fields).drop("body")
+    renamed = canonical_paths(files, script).groupBy("series").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "common")))).alias("_renames"))
+    leaf = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "kind", "text")])
+    keyed = files.withColumn("_series", series()).join(small_side(cut(renamed.withColumnRenamed("series", "_series"))), "_series", "left")
+    flat = cut(keyed.withColumn("_leaves", arrow_column(_leaves, T.ArrayType(leaf), "body", "_renames")).drop("body", "_renames", "_series"))
+    kinds = flat.select("schema_name", F.explode("_leaves").alias("l")).groupBy("schema_name", "l.path").agg(F.array_sort(F.collect_set("l.kind")).alias("kinds")).where(F.size("kinds") > 1)
+    # only paths of several kinds are looked up: few, and none of them is a row of the files
+    mixed = kinds.select("schema_name", F.struct("path", common_kind(F.col("kinds")).alias("kind")).alias("e")).groupBy(F.col("schema_name").alias("_name")).agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("_kinds"))
+    mixed = small_side(cut(mixed))
+    wanted = lambda l: F.try_element_at("_kinds", l["path"])
+    text = lambda l: (
+        F.when((wanted(l) == "array") & (l["kind"] != "array"), F.concat(F.lit("["), l["text"], F.lit("]")))
+        .when((wanted(l) == "string") & (l["kind"] != "string"), F.concat(F.lit('"'), l["text"], F.lit('"'))).otherwise(l["text"])
+    )
+    met = flat.join(mixed, flat["schema_name"].eqNullSafe(mixed["_name"]), "left")
+    return met.withColumn("fields", F.map_from_entries(F.transform("_leaves", lambda l: F.struct(l["path"], text(l))))).drop("_leaves", "_kinds", "_name")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +479,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts(_files(spark, sf_dir)).where("change <> 'moved'").select("file_id", "path", "change")
+    return changes(_files(spark, sf_dir))
 
 
 def p3_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
