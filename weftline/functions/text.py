@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,12 @@ CREDENTIALS = (
 BREAKS, NO_TEXT = r"(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", r"(?is)<(style|script)[^>]*>.*?</(style|script)>"
 QUOTE, QUOTE_AUTHOR = r"(?is)<blockquote[^>]*>(.*?)</blockquote>", r"""(?is)<strong[^>]*itemprop="mri"[^>]*>(.*?)</strong>"""
 MENTION = r"""(?is)<span[^>]*itemtype="[^"]*Mention[^"]*"[^>]*>(.*?)</span>"""
+#: Links in a text, and the parts of a store's name that are data, with what stands for them.
+URL = r"""(https?://[^\s<>"'\])]+)"""
+GUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+NAME_PARTS = ((GUID, "<guid>"), (r"[^\s@:]+@[^\s@:]+", "<email>"), (r"\d{6,}", "<n>"))
+#: The shape of a private key, and how text from markup is tidied.
+BLANKS, BEFORE_MARK, BLANK_LINES = "[ \t\u00a0]+", r" +([,.;:!?])", r"\n\s*\n+"
 PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
 
 
@@ -102,19 +111,17 @@ def strip_url(url: Column) -> Column:
 
 
 def redact_credentials(text: Column) -> Column:
-    """Credentials replaced by what they are; a private key over several pages keeps its page breaks."""
+    """Credentials replaced by what they are; each private key over several pages keeps its own page breaks."""
     for pattern, label in CREDENTIALS:
         text = F.regexp_replace(text, pattern, f"[redacted:{label}]")
-    key = F.regexp_extract(text, PRIVATE_KEY, 0)
-    breaks = F.regexp_replace(key, "[^\f]", "")
-    # one key at a time keeps its own page breaks; further keys without page breaks go in the second pass
-    once = F.when(breaks != "", F.replace(text, key, F.concat(F.lit("[redacted:private-key]"), breaks))).otherwise(text)
-    return F.regexp_replace(once, PRIVATE_KEY, "[redacted:private-key]")
+    marks = F.transform(F.regexp_extract_all(text, F.lit(PRIVATE_KEY), F.lit(0)), lambda key: F.concat(F.lit("[redacted:private-key]"), F.regexp_replace(key, "[^\f]", "")))
+    around = F.zip_with(F.split(text, PRIVATE_KEY, -1), marks, lambda piece, mark: F.concat(F.coalesce(piece, F.lit("")), F.coalesce(mark, F.lit(""))))
+    return F.when(text.rlike(PRIVATE_KEY), F.array_join(around, "")).otherwise(text)
 
 
 def url_tokens(text: Column) -> Column:
     """Array of the URLs in a text."""
-    return F.regexp_extract_all(text, F.lit(r"""(https?://[^\s<>"'\])]+)"""), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(URL), F.lit(1))
 
 
 def mentions(text: Column) -> Column:
@@ -122,20 +129,42 @@ def mentions(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"@(\p{L}+)"), F.lit(1)), fold)
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; those of no character become U+FFFD, the control range is read as Western text."""
+    western = {str(n): bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    known = F.try_element_at(F.from_json(F.lit(json.dumps({k: v for k, v in western.items() if v})), "map<string,string>"), code.cast("string"))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.coalesce(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise("\ufffd")
+
+
 def unescape_entities(text: Column) -> Column:
-    """The named entities of markup that messages use."""
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """Entities of markup decoded: by number, and by all names that the standard library lists, old ones without semicolon too."""
+    named = F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    bare = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)
+    old = F.from_json(F.lit(json.dumps({k: html5[k] for k in bare})), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        number = F.regexp_extract(piece, "^#([0-9]{1,9});?", 1)
+        hexed = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,7});?", 1)
+        whole = F.try_element_at(named, F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0))
+        start = F.regexp_extract(piece, f"^(?:{'|'.join(bare)})", 0)
+        return (
+            F.when(number != "", F.concat(_character(number.try_cast("bigint")), F.regexp_replace(piece, "^#[0-9]{1,9};?", "")))
+            .when(hexed != "", F.concat(_character(F.conv(hexed, 16, 10).try_cast("bigint")), F.regexp_replace(piece, "^#[xX][0-9a-fA-F]{1,7};?", "")))
+            .when(whole.isNotNull(), F.concat(whole, F.regexp_replace(piece, "^[A-Za-z][A-Za-z0-9]*;", "")))
+            .when(start != "", F.concat(F.try_element_at(old, start), F.substring(piece, F.length(start) + 1, F.length(piece))))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")).otherwise(text)
 
 
 def _plain(fragment: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(fragment, NO_TEXT, ""), BREAKS, "\n")
     text = unescape_entities(F.regexp_replace(text, r"<[^>]*>", ""))
-    text = F.regexp_replace(text, "[ \t ]+", " ")
-    text = F.regexp_replace(text, r" +([,.;:!?])", "$1")
-    text = F.regexp_replace(text, r"\n\s*\n+", "\n")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), BEFORE_MARK, "$1")
+    return F.regexp_replace(F.regexp_replace(text, BLANK_LINES, "\n"), r"^\s+|\s+$", "")
 
 
 def html_to_text(body: Column) -> Column:
@@ -151,16 +180,27 @@ def html_to_text(body: Column) -> Column:
 
 def mask_key(key: Column) -> Column:
     """A field name as it is; keys that are data as <text> or <id>."""
-    guid = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    data = key.rlike(r"^\d+$") | key.rlike(r"^[0-9a-fA-F]{16,}$") | key.rlike(guid) | key.rlike("[@:/]") | (F.octet_length(key) > 32)
+    data = key.rlike(r"^\d+$") | key.rlike(r"^[0-9a-fA-F]{16,}$") | key.rlike(GUID) | key.rlike("[@:/]") | (F.octet_length(key) > 32)
     return F.when(key.rlike("[ \t\n]"), "<text>").when(data, "<id>").otherwise(key)
 
 
+def mask_name(name: Column) -> Column:
+    """The name of a database or store without identifiers, addresses and long numbers."""
+    for pattern, mask in NAME_PARTS:
+        name = F.regexp_replace(name, pattern, mask)
+    return name
+
+
+def stable_prefix(name: Column) -> Column:
+    """A name up to the first part that `mask_name` hides: what all users and sessions share."""
+    at = F.least(*(F.nullif(F.regexp_instr(name, F.lit(pattern)), F.lit(0)) for pattern, _ in NAME_PARTS))
+    return F.when(at.isNull(), name).otherwise(F.substring(name, F.lit(1), at - 1))
+
+
 def page_of(text: Column, offset: Column) -> Column:
     """The page, from 1, that a byte offset lies on; pages end with a form feed."""
-    before = F.substring(F.encode(text, "UTF-8"), F.lit(1), offset)
-    hexed = F.regexp_extract_all(F.hex(before), F.lit("(..)"), F.lit(1))
-    return F.lit(1) + F.size(F.filter(hexed, lambda b: b == "0C"))
+    before = F.substring(F.encode(text, "UTF-8"), F.lit(1), offset).cast("string")
+    return F.lit(1) + F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\f"), F.lit("")))
 
 
 def path_under(path: Column, folder: str) -> Column:

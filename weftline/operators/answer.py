@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -128,7 +127,7 @@ def rank_for(question: str, chunks: DataFrame, vector: list[float], top_k: int,
     wanted = F.array(*(F.lit(float(x)) for x in vector))
     measured = chunks.withColumn("distance", R.V.cosine_distance(F.col("embedding"), wanted))
     if asked or mode != "vector":
-        index, lengths = R.postings(chunks, key, terms=terms)
+        index, corpus = R.postings(chunks, key, terms=terms)
         if asked:
             found = None
             for words in asked:
@@ -136,7 +135,7 @@ def rank_for(question: str, chunks: DataFrame, vector: list[float], top_k: int,
                 found = hit if found is None else found.unionByName(hit)
             hits = measured.join(found.distinct(), key, "left_semi").orderBy("distance", key).limit(top_k)
             return R.ranked(hits, 0, F.col("distance"), F.col(key)).select(key, "rank", "distance")
-        words = R.bm25(index, lengths, terms, key).orderBy(F.desc("score"), key).limit(R.LEXICAL_HEADROOM * top_k)
+        words = R.bm25(index, corpus, terms, key).orderBy(F.desc("score"), key).limit(R.LEXICAL_HEADROOM * top_k)
         lexical = R.ranked(words, 1, F.desc("score"), F.col(key)).where(F.col("rank") <= top_k).select(key, "list_no", "rank")
         if mode == "lexical":
             return lexical.join(measured.select(key, "distance"), key).select(key, "rank", "distance")
@@ -150,12 +149,18 @@ def rank_for(question: str, chunks: DataFrame, vector: list[float], top_k: int,
 
 def prompt(question: str, notes: list[str]) -> str:
     """What a model is asked: the question below its numbered evidence."""
-    return "\n".join([*notes, "", "Responda só com base nas notas acima, citando [n].", question])
+    return "\n".join([*notes, "", f"Responda só com base nas notas acima, citando [n]; se não respondem, diga {NOT_FOUND}.", question])
+
+
+#: What a model is told to reply where the notes do not answer.
+NOT_FOUND = "NÃO ENCONTRADO"
 
 
 def answer(question: str, hits: DataFrame, generate: Generator | None = None) -> tuple[str, list[int], list[str]]:
     """Reply, valid citations and the notes shown. Without a model, or without evidence, the notes stand for themselves.
 
+    A reply that begins with the marker of nothing found is empty and cites nothing.
+
     `hits` are at most top_k events in rank order, so they are read to the driver.
     """
     rows = hits.orderBy("rank").select("rank", E.note(F.col("rank")).alias("note")).collect()
@@ -163,6 +168,8 @@ def answer(question: str, hits: DataFrame, generate: Generator | None = None) ->
     if generate is None or not notes:
         return "", [], notes
     reply = generate(prompt(question, notes))
+    if reply.strip().upper().startswith(NOT_FOUND):
+        return "", [], notes
     cited = sorted({int(n) for n in re.findall(r"\[(\d+)\]", reply)})
     return reply, [n for n in cited if 1 <= n <= len(notes)], notes
 
@@ -191,5 +198,3 @@ def retrieve(question: str, chunks: DataFrame, events: DataFrame, vector: list[f
     more = events.join(near.select(key, (F.col("rank") + top_k).alias("rank")), key)
     return best.unionByName(more, allowMissingColumns=True)
 
-
-Model = Callable[[str], str]

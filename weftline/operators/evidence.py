@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import filters as E
+from weftline.operators.timeline import in_bins
 
 #: Distances above which no hit counts, and above which the best hit means that nothing was found.
 MAX_DISTANCE, MAX_BEST = 0.72, 0.61
@@ -35,24 +36,34 @@ def collapse_repeats(hits: DataFrame, key: Column, *order: str, at: str = "occur
 
 
 def gates(hits: DataFrame, max_distance: float = MAX_DISTANCE, max_best: float = MAX_BEST, per: tuple[str, ...] = ()) -> DataFrame:
-    """Hits near enough; none of a question's if even its nearest is too far."""
-    least = F.min("distance").over(Window.partitionBy(*per) if per else Window.partitionBy(F.lit(1)))
-    return hits.withColumn("_least", least).where((F.col("_least") <= max_best) & (F.col("distance") <= max_distance)).drop("_least")
+    """Hits near enough; none of a question's if even its nearest is too far. The nearest is one row a question, looked up."""
+    if not per:
+        least = hits.agg(F.min("distance").alias("_least")).where(F.col("_least") <= max_best)
+        return hits.where(F.col("distance") <= max_distance).join(F.broadcast(least.select(F.lit(True).alias("_open"))), how="left_semi")
+    least = hits.groupBy(*per).agg(F.min("distance").alias("_least")).where(F.col("_least") <= max_best)
+    return hits.where(F.col("distance") <= max_distance).join(least, list(per), "left_semi")
 
 
 def neighbours(anchors: DataFrame, events: DataFrame, minutes: int = NEIGHBOUR_MINUTES, most: int = NEIGHBOURS, key: str = "record_id", at: str = "occurred_at") -> DataFrame:
     """anchor, key, gap_us, rank: the nearest events around every anchor, within the time; the anchors themselves left out.
 
-    Both sides meet in bins as wide as the window: an anchor looks into three bins, not at all events.
+    Events are numbered by time inside wide bins, and every anchor counts those before it: it then looks up the few numbers on
+    either side. No pairs of anchors and events are formed, however busy a time is.
     """
     width = minutes * 60 * 1_000_000
-    a = anchors.select(F.col(key).alias("anchor"), F.unix_micros(at).alias("anchor_us")).where("anchor_us is not null")
-    left = a.select("anchor", "anchor_us", F.explode(F.sequence(F.floor(F.col("anchor_us") / width) - 1, F.floor(F.col("anchor_us") / width) + 1)).alias("bin"))
-    right = events.select(key, F.unix_micros(at).alias("us")).where("us is not null").withColumn("bin", F.floor(F.col("us") / width))
-    gap = F.abs(F.col("us") - F.col("anchor_us"))
-    near = left.join(right, "bin").where((F.col("us") >= F.col("anchor_us") - width) & (F.col("us") < F.col("anchor_us") + width) & (F.col("anchor") != F.col(key)))
+    a = anchors.select(F.col(key).alias("anchor"), F.unix_micros(at).alias("us")).where("us is not null").withColumn("bin", F.floor(F.col("us") / (16 * width)))
+    e = in_bins(events.select(key, F.unix_micros(at).alias("us")).where("us is not null"), "us", 16 * width, width, width).select("bin", "us", key)
+    # earlier ones by their number from the front, where the smallest key stands last; later ones where it stands first
+    numbered = e.withColumn("no", F.row_number().over(Window.partitionBy("bin").orderBy("us", F.col(key).desc()))).withColumn("then", F.row_number().over(Window.partitionBy("bin").orderBy("us", key)))
+    both = e.select("bin", "us", F.lit(None).cast(dict(anchors.dtypes)[key]).alias("anchor"), F.lit(1).alias("event")).unionByName(a.select("bin", "us", "anchor", F.lit(0).alias("event")))
+    before = F.coalesce(F.sum("event").over(Window.partitionBy("bin").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = both.withColumn("before", before).where("event = 0").select("bin", "anchor", F.col("us").alias("anchor_us"), "before")
+    earlier = placed.withColumn("no", F.explode(F.sequence(F.col("before") - most + 1, F.col("before")))).join(numbered.select("bin", "no", key, "us"), ["bin", "no"])
+    later = placed.withColumn("then", F.explode(F.sequence(F.col("before") + 1, F.col("before") + most + 1))).join(numbered.select("bin", "then", key, "us"), ["bin", "then"])
+    columns = ["anchor", "anchor_us", key, "us"]
+    near = earlier.select(columns).unionByName(later.select(columns)).where((F.col("us") >= F.col("anchor_us") - width) & (F.col("us") < F.col("anchor_us") + width) & (F.col("anchor") != F.col(key)))
     order = Window.partitionBy("anchor").orderBy("gap_us", key)
-    return near.select("anchor", key, gap.alias("gap_us")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return near.select("anchor", key, F.abs(F.col("us") - F.col("anchor_us")).alias("gap_us")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def fold_images(hits: DataFrame, image: str, event: str, *order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -39,6 +40,9 @@ class EventFilter:
     folder: str = ""
     text: str = ""
     terms: tuple[str, ...] = ()
+    modality: str = ""
+    entities: tuple[str, ...] = ()
+    appearing: tuple[str, ...] = ()
 
 
 def in_period(start: datetime | None, end: datetime | None, at: str = "occurred_at") -> Column:
@@ -73,8 +77,11 @@ def all_terms(terms: tuple[str, ...]) -> Column:
     return kept
 
 
-def apply_filter(events: DataFrame, wanted: EventFilter, key: str = "record_id") -> DataFrame:
-    """Events that meet all parts of a filter. Predicates first, so that semi-joins see little."""
+def apply_filter(events: DataFrame, wanted: EventFilter, key: str = "record_id", links: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Events that meet all parts of a filter. Predicates first, so that semi-joins see little.
+
+    Entities need `links` (see `graph.entity_links`), names that appear in events `links` and `chunks` (see `search.text_chunks`).
+    """
     kept = events.where(in_period(wanted.start, wanted.end) & of_source(wanted.source) & P.of_direction(wanted.direction))
     if wanted.folder:
         kept = kept.where(in_folder(wanted.folder))
@@ -82,6 +89,14 @@ def apply_filter(events: DataFrame, wanted: EventFilter, key: str = "record_id")
         kept = kept.where(contains_text(wanted.text))
     if wanted.terms:
         kept = kept.where(all_terms(wanted.terms))
+    if wanted.modality:
+        kept = kept.where(shows_image() if wanted.modality == "image" else F.col("source") == wanted.modality)
+    if wanted.entities:
+        kept = kept.join(links.where(F.col("entity_key").isin(*wanted.entities)).select(key), key, "left_semi")
+    shown = links.where(F.col("role") == "shows").select(key, "entity_key") if wanted.appearing else None
+    for name in wanted.appearing:
+        hashed = kept if "content_hash" in kept.columns else kept.withColumn("content_hash", X.content_hash(F.col("content")))
+        kept = with_appearing(hashed, appearing(chunks, name), shown, key).select(kept.columns)
     return P.by_people(kept, list(wanted.people), wanted.direction, key) if wanted.people else kept
 
 
@@ -116,7 +131,7 @@ def shows_image() -> Column:
 
 def appearing(chunks: DataFrame, name: str) -> DataFrame:
     """Distinct texts (source, content_hash) of which one chunk has all words of a name that count (three letters or more)."""
-    words = [w for w in __import__("re").findall(r"\w+", name.lower()) if len(w) >= 3]
+    words = [w for w in re.findall(r"\w+", name.lower()) if len(w) >= 3]
     kept = F.lit(True)
     for word in words:
         kept = kept & F.array_contains(X.word_tokens(F.col("text")), X.fold(F.lit(word)))

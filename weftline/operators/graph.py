@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.operators.people import AUTHOR, MENTIONED, SENDER, people_index
 from weftline.plans.lineage import cut
+from weftline.plans.sizes import small_side
 from weftline.sources.events import FILE, GIT, filled, meta
 
 PERSON, FILE_ENTITY, IMAGE = "person", "file", "image"
@@ -50,18 +51,25 @@ def orphans(all_entities: DataFrame, links: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
     """node, hops: nodes within a few hops of the start nodes, over edges (a, b) in both directions.
 
-    One join a hop over the frontier alone; nodes known already are left out, so hot nodes are entered once.
+    One join a hop over the frontier alone; nodes known already are left out, so hot nodes are entered once. Each frontier is
+    written, so no hop is computed again for the next one, and a small one is sent to the edges instead of moving them.
     """
-    both = cut(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
-    known = start.select(F.col("node"), F.lit(0).alias("hops")).distinct()
-    frontier = known
+    edges = cut(edges.select("a", "b").distinct())
+    known = frontier = cut(start.select(F.col("node"), F.lit(0).alias("hops")).distinct())
     for hop in range(1, min(hops, MOST_HOPS) + 1):
-        step = frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct()
-        frontier = step.join(known, "node", "left_anti").withColumn("hops", F.lit(hop))
+        there = small_side(frontier.select("node"))
+        ahead = edges.join(there.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node"))
+        back = edges.join(there.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node"))
+        frontier = cut(ahead.unionByName(back).distinct().join(small_side(known.select("node")), "node", "left_anti").withColumn("hops", F.lit(hop)))
         known = known.unionByName(frontier)
     return known
 
 
+def in_reach_order(found: DataFrame, named: DataFrame) -> DataFrame:
+    """hops, type, entity_key, name of reachable entities, nearest first, then by type and key."""
+    return found.join(named, found["node"] == named["entity_key"]).select("hops", "type", "entity_key", "name").orderBy("hops", "type", "entity_key")
+
+
 def attachment_links(events: DataFrame, key: str = "record_id") -> DataFrame:
     """key, path: messages whose attachment is the end of a file's path. Joined on the base name, then checked."""
     sent = events.where(filled(meta("attachment")).isNotNull()).select(key, meta("attachment").alias("attachment")).withColumn("base", X.basename(F.col("attachment")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.sources.events import BROWSER, FILE, GIT, filled
+from weftline.functions import vectors as V
+from weftline.operators import filters as E
+from weftline.operators import people as P
+from weftline.plans.lineage import cut
+from weftline.sources.events import BROWSER, FILE, TEAMS, filled, message_content
 
 
 def meta_of(alias: str, name: str) -> Column:
@@ -41,11 +45,14 @@ def replaces(incoming: str = "i", stored: str = "s") -> Column:
 
 
 def winners(incoming: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """One row a uid: the greatest revision, the first to arrive among equals. An aggregation, not a sort of a uid's rows."""
+    """One row a uid: the greatest revision, the first to arrive among equals. `arrival` is unique.
+
+    The winner's arrival is found over narrow rows, combined before the shuffle; then its row is fetched.
+    """
     rev = F.try_element_at("metadata", F.lit("revision")).try_cast("decimal(38,0)")
     order = F.struct(rev.alias("revision"), (-F.col(arrival)).alias("first"))
-    row = F.struct(*incoming.columns)
-    return incoming.groupBy("uid").agg(F.max_by(row, order).alias("row")).select("row.*")
+    best = incoming.groupBy("uid").agg(F.max_by(arrival, order).alias(arrival))
+    return incoming.join(best, ["uid", arrival], "left_semi")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, forgotten: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -66,6 +73,106 @@ def load_report(merged: DataFrame, collected: DataFrame) -> DataFrame:
     return collected.agg(F.count("*").alias("collected")).join(counts).withColumn("already", F.col("collected") - F.col("inserted") - F.col("updated"))
 
 
+def deleted(events: DataFrame, uids: DataFrame, tables: dict[str, DataFrame] | None = None, key: str = "record_id") -> dict[str, DataFrame]:
+    """Everything that knows of some events (uid), without them: `events`, the `forgotten` uids to remember, and of `tables`
+
+    `people` and `links` (by `key`), `chunks` (source, content_hash: those of a text that no event has any more), `entities`
+    (those without a link) and `file_history` (path: of files that are gone).
+    """
+    gone = events.join(uids.select("uid").distinct(), "uid", "left_semi")
+    kept = events.join(uids.select("uid").distinct(), "uid", "left_anti")
+    out = {"events": kept, "forgotten": gone.select("uid").distinct()}
+    tables = tables or {}
+    for name in ("people", "links"):
+        if name in tables:
+            out[name] = tables[name].join(gone.select(key), key, "left_anti")
+    if "chunks" in tables:
+        out["chunks"] = released(tables["chunks"], kept)
+    if "entities" in tables and "links" in out:
+        out["entities"] = tables["entities"].join(out["links"], ["type", "entity_key"], "left_semi")
+    if "file_history" in tables:
+        out["file_history"] = tables["file_history"].join(gone.where(F.col("source") == FILE).select(F.try_element_at("metadata", F.lit("path")).alias("path")), "path", "left_anti")
+    return out
+
+
+def containing(events: DataFrame, text: str, source: str = "", start=None, end=None) -> DataFrame:
+    """uid of events that hold a text, of a source and a period."""
+    return events.where(E.contains_text(text) & E.of_source(source) & E.in_period(start, end)).select("uid")
+
+
+def before(events: DataFrame, source: str, when) -> DataFrame:
+    """uid of a source's events before a time."""
+    return events.where((F.col("source") == source) & (F.col("occurred_at") < F.lit(when))).select("uid")
+
+
+def of_person(events: DataFrame, person: str, key: str = "record_id") -> DataFrame:
+    """uid of all that a person wrote, is called in or said to the user alone."""
+    return P.events_of_person(events, person, key).select("uid")
+
+
+def without_source(events: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """The events of other sources, and no uid to remember: a source that is read again starts anew."""
+    return events.where(F.col("source") != source), events.select("uid").limit(0)
+
+
+def released(chunks: DataFrame, events: DataFrame) -> DataFrame:
+    """Chunks of texts that some event still has: shared ones stay until the last event goes."""
+    held = events.where(F.length("content") > 0).select("source", X.content_hash(F.col("content")).alias("content_hash"))
+    return chunks.join(held.distinct(), ["source", "content_hash"], "left_semi")
+
+
+def reindexed(events: DataFrame, chunks: DataFrame, split) -> DataFrame:
+    """Chunks of all texts: those there are, and new ones for the texts without any. Run again after a loss, it goes on where it was."""
+    return released(chunks, events).unionByName(split(without_chunks(events, chunks).drop("content_hash")).select(chunks.columns))
+
+
+def compacted(vectors: DataFrame, live: DataFrame, slots: int = 1024, key: str = "chunk_id") -> DataFrame:
+    """Vectors of live chunks alone, each with its `block` and `slot` in blocks that are full but for the last.
+
+    Numbers follow the key's order over all partitions; how many stand before a partition is one row each.
+    """
+    kept = vectors.join(live.select(key).distinct(), key, "left_semi").repartitionByRange(key).sortWithinPartitions(key)
+    placed = cut(kept.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    start = parts.withColumn("_start", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")
+    number = F.col("_start") + F.col("_at")
+    return placed.join(F.broadcast(start), "_part").withColumn("block", F.floor(number / slots)).withColumn("slot", number % slots).drop("_part", "_at", "_start")
+
+
+def collapsed_versions(events: DataFrame, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """Migration: files kept once a version become one event a path, under the path's own uid, and a history (path, modified_ms, size)."""
+    files = events.where((F.col("source") == FILE) & F.try_element_at("metadata", F.lit("path")).isNotNull())
+    path = F.try_element_at("metadata", F.lit("path"))
+    history = files.select(path.alias("path"), F.unix_millis("occurred_at").alias("modified_ms"), F.try_element_at("metadata", F.lit("size")).try_cast("bigint").alias("size")).groupBy("path", "modified_ms").agg(F.min("size").alias("size"))
+    last = files.groupBy(path.alias("_path")).agg(F.max_by(key, F.struct("occurred_at", key)).alias(key)).select(key)
+    stamp = F.create_map(F.lit("revision"), (F.unix_millis("occurred_at") * 1_000_000).cast("string"))
+    kept = files.join(last, key, "left_semi").withColumn("uid", X.stable_id(F.lit(FILE), path)).withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _: k != "revision"), F.map_filter(stamp, lambda _, v: v.isNotNull())))
+    return events.where(~((F.col("source") == FILE) & path.isNotNull())).unionByName(kept), history
+
+
+def shared_chunks(chunks: DataFrame, events: DataFrame, key: str = "record_id") -> DataFrame:
+    """Migration: chunks kept once an event become one set a text: those of the first event that has the text."""
+    texts = events.select(key, "source", X.content_hash(F.col("content")).alias("content_hash"))
+    met = chunks.join(texts, key)
+    first = met.groupBy("source", "content_hash").agg(F.min(key).alias(key))
+    return met.join(first, ["source", "content_hash", key], "left_semi").drop(key)
+
+
+def with_own_text(events: DataFrame) -> DataFrame:
+    """Migration: messages get their own words as metadata `text`, where content is laid out exactly as it is today."""
+    sender, told = F.try_element_at("metadata", F.lit("sender")), F.try_element_at("metadata", F.lit("text"))
+    body = F.substring_index("content", "\n", -2)
+    words = F.substring("content", F.length(sender) + 3, F.length("content") - F.length(body) - F.length(sender) - 3)
+    laid_out = message_content(sender, words, F.try_element_at("metadata", F.lit("conversation")), F.try_element_at("metadata", F.lit("conversation_kind")), F.try_element_at("metadata", F.lit("sent_by_me")) == "true")
+    recovered = (F.col("source") == TEAMS) & told.isNull() & (laid_out == F.col("content"))
+    return events.withColumn("metadata", F.when(recovered, F.map_concat("metadata", F.create_map(F.lit("text"), words))).otherwise(F.col("metadata")))
+
+
+def redacted_store(events: DataFrame) -> DataFrame:
+    """Migration: what is stored already, without credentials."""
+    return cleaned(events)
+
+
 def forget(events: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:
     """The events that stay, and the tombstones of those that go."""
     gone = F.coalesce(which, F.lit(False))
@@ -111,4 +218,8 @@ def latest_representations(rows: DataFrame) -> DataFrame:
     return last.select("entity", "modality", "kind", "r.content", F.when(F.col("v.content") == F.col("r.content"), F.col("v.vector")).alias("vector"))
 
 
-SOURCES_WITH_REVISIONS = (GIT, FILE)
+def nearest_representations(rows: DataFrame, vector: list[float], kind: str, k: int) -> DataFrame:
+    """The k representations of a kind nearest to a vector; those without a vector are left out. The kind is filtered first."""
+    wanted = F.array(*(F.lit(float(x)) for x in vector))
+    held = rows.where((F.col("kind") == kind) & F.col("vector").isNotNull())
+    return held.withColumn("distance", V.cosine_distance(F.col("vector"), wanted)).orderBy("distance", "entity", "modality").limit(k)

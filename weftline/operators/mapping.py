@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,6 +21,10 @@ FIELDS = ("message_id", "conversation_id", "conversation", "sender", "sender_id"
 REQUIRED = ("message_id", "conversation_id", "sent_at")
 TEXT_TRANSFORMS, TIME_TRANSFORMS = ("", "html_text", "trim"), ("", "unix_ms", "unix_s", "iso8601")
 DEPTH = 6
+#: Fixed value: one step of a path: a masked key, a key up to the next step, or all items, values or members.
+STEP = r"\.<[^<>]+>|\.(?:(?!\[\]|\{\}|<>)[^.<])+|\[\]|\{\}|<>"
+#: Fixed value: times as text.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 #: Old names of version 1 schemas.
 RENAMED_V1 = {"storage": "kind", "database_prefix": "namespace_prefix", "store": "container"}
 
@@ -79,90 +85,153 @@ def load_schema(body: dict[str, Any]) -> Schema:
 
 
 def parse_path(path: str) -> list[tuple[str, str]]:
-    """Steps of a path behind `$` (the item) or `^` (the record): ('key', name), ('items', ''), ('values', '') or ('masked', '<id>')."""
-    m = re.fullmatch(r"[$^]((?:\.[^.\[\]{}]+|\[\]|\{\}|<>)*)", path)
+    """Steps of a path behind `$` (the item) or `^` (the record): ('key', name), ('items', ''), ('values', ''), ('members', '') or ('masked', '<id>')."""
+    m = re.fullmatch(rf"[$^]((?:{STEP})*)", path)
     if not m:
         raise ValueError(f"bad path {path!r}")
     steps = []
-    for step in re.findall(r"\.[^.\[\]{}]+|\[\]|\{\}|<>", m[1]):
+    for step in re.findall(STEP, m[1]):
         if step[0] == ".":
-            steps.append(("masked" if step[1:] in ("<id>", "<text>") else "key", step[1:]))
+            steps.append(("masked" if step[1] == "<" else "key", step[1:]))
         else:
-            steps.append({"[]": ("items", ""), "{}": ("values", ""), "<>": ("values", "")}[step])
+            steps.append({"[]": ("items", ""), "{}": ("values", ""), "<>": ("members", "")}[step])
     return steps
 
 
-def variant_path(path: str) -> str:
-    """The part of a path before the first wildcard, as Spark's variant functions write it."""
-    out = "$"
-    for kind, name in parse_path(path):
-        if kind != "key":
-            break
-        out += "." + name if re.fullmatch(r"\w+", name) else f"['{name}']"
-    return out
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """A function of a column whose expression is evaluated, and compiled, once however often the function names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def expand(records: DataFrame, path: str, value: str = "value", item: str = "item") -> DataFrame:
-    """One row an item that `each` points at, the record beside it. Wildcards become variant_explode; nothing is inferred."""
+def child(value: Column, name: str, to: str = "variant") -> Column:
+    """A property of an object; null where there is none."""
+    quoted = f"['{name}']" if "'" not in name else f'["{name}"]'
+    return F.try_variant_get(value, f"${quoted}", to)
+
+
+def tagged(value: Column, kind: str, to: str = "variant") -> Column:
+    """What a value that JSON has no shape for holds: {"$date": ms}, {"$bigint": text}, {"$map": [[key, value]]}, {"$set": [values]}."""
+    return child(value, f"${kind}", to)
+
+
+def _children(value: Column, kind: str, name: str) -> Column:
+    """ARRAY of the values one step below a value, in order."""
+    none = F.array().cast("array<variant>")
+    if kind == "key":
+        return F.array(child(value, name))
+    if kind == "items":
+        return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), none)
+    if kind == "members":
+        return F.coalesce(tagged(value, "set", "array<variant>"), none)
+    held = F.try_variant_get(value, "$", "map<string,variant>")
+    if kind == "masked":
+        return F.coalesce(F.map_values(F.map_filter(held, lambda k, _: X.mask_key(k) == name)), none)
+    entries = F.transform(tagged(value, "map", "array<variant>"), lambda e: F.try_variant_get(e, "$[1]", "variant"))
+    return F.coalesce(entries, F.map_values(held), none)  # where JSON has objects only, an object is a map
+
+
+def reached(value: Column, path: str) -> Column:
+    """ARRAY of the values that a path reaches, in order, missing ones left out: one evaluator for all steps."""
+    def below(found: Column, step: tuple[str, str]) -> Column:
+        return F.filter(F.flatten(F.transform(found, lambda v: _children(v, *step))), lambda v: v.isNotNull())
+
+    return functools.reduce(below, parse_path(path), F.array(value))
+
+
+def first_at(value: Column, path: str) -> Column:
+    """The first value that a path reaches."""
     steps = parse_path(path)
-    rows = records.withColumn(item, F.col(value))
-    while steps:
-        plain = "$"
-        while steps and steps[0][0] == "key":
-            plain += f"['{steps.pop(0)[1]}']"
-        if plain != "$":
-            rows = rows.withColumn(item, F.try_variant_get(item, plain, "variant"))
-        if steps:
-            kind, name = steps.pop(0)
-            rows.createOrReplaceTempView("_expanding")
-            inner = rows.sparkSession.sql(f"SELECT r.*, e.key AS _key, e.value AS _value FROM _expanding r, LATERAL variant_explode(r.`{item}`) e")
-            if kind == "masked":
-                inner = inner.where(X.mask_key(F.col("_key")) == name)
-            elif kind == "items":
-                inner = inner.where("_key is null")
-            rows = inner.withColumn(item, F.col("_value")).drop("_key", "_value")
-    return rows.where(F.col(item).isNotNull())
+    if any(kind != "key" or "'" in name for kind, name in steps):
+        return F.get(reached(value, path), F.lit(0))
+    return F.try_variant_get(value, "$" + "".join(f"['{name}']" for _, name in steps), "variant")
+
+
+def expand(records: DataFrame, path: str, value: str = "value", item: str = "item") -> DataFrame:
+    """One row an item that `each` points at, the record beside it."""
+    if all(kind == "key" for kind, _ in parse_path(path)):
+        return records.withColumn(item, first_at(F.col(value), path)).where(F.col(item).isNotNull())
+    return records.withColumn(item, F.explode(reached(F.col(value), path)))
+
+
+def plain_number(number: Column) -> Column:
+    """A number as text, in as few digits as tell it apart and without an exponent, as scripts in browsers write it."""
+    def written(text: Column) -> Column:
+        part = F.regexp_extract_all(text, F.lit(r"-?\d+"), F.lit(0))  # digit, digits behind the point, exponent
+        return F.when(F.contains(text, F.lit("E")), let(part, lambda p: wide(text, p))).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+    def wide(text: Column, part: Column) -> Column:
+        bare = F.struct(F.regexp_replace(F.concat(F.ltrim(part[0], F.lit("-")), part[1]), "0+$", "").alias("digits"), part[2].cast("int").alias("power"), F.when(text.startswith("-"), "-").otherwise("").alias("sign"))
+        return let(bare, lambda b: F.concat(b["sign"], spread(b["digits"], b["power"])))
+
+    def spread(digits: Column, power: Column) -> Column:
+        whole = F.when(power + 1 >= F.length(digits), F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+        return F.when(power >= 0, whole).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+
+    return let(number.cast("string"), written)
+
+
+def text_of(value: Column) -> Column:
+    """A value's text: strings, big integers, and numbers; an empty string for anything else."""
+    def told(v: Column) -> Column:
+        number = plain_number(F.try_variant_get(v, "$", "double"))
+        return let(F.schema_of_variant(v), lambda kind: F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), number).when(kind.startswith("OBJECT"), tagged(v, "bigint", "string")))
+
+    return F.coalesce(let(value, told), F.lit(""))
 
 
 def scalar(value: Column, path: str) -> Column:
-    """A path's text: strings, and numbers as JavaScript writes them; an empty string for anything else.
+    """The text of the first value that a path reaches."""
+    return text_of(first_at(value, path))
 
-    A `[]` inside the path takes the texts of all items, joined by line.
-    """
-    steps = parse_path(path)
-    at = variant_path(path)
-    if all(kind == "key" for kind, _ in steps):
-        text = F.try_variant_get(value, at, "string")
-        number = F.try_variant_get(value, at, "double")
-        kind = F.schema_of_variant(F.try_variant_get(value, at, "variant"))
-        plain = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
-        return F.coalesce(F.when(kind == "STRING", text).when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain), F.lit(""))
-    rest = "".join(f"['{name}']" for kind, name in steps[[k for k, _ in steps].index("items") + 1 :] if kind == "key")
-    items = F.coalesce(F.try_variant_get(value, at, "array<variant>"), F.array().cast("array<variant>"))
-    texts = F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$" + rest, "string"), F.lit("")))
-    return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
-
-
-def _ruled(rule: FieldRule, item: Column, record: Column, shape: str) -> Column:
-    found = []
+
+def _segment(text: Column, rule: FieldRule) -> Column:
+    return F.coalesce(F.get(F.split(text, re.escape(rule.split[0])), F.lit(rule.split[1])), F.lit("")) if rule.split else text
+
+
+def _ruled(rule: FieldRule, item: Column, record: Column) -> Column:
+    """The first path's text that isn't empty once it is cut and transformed; else null."""
+    found = [F.lit(None).cast("string")]
     for path in rule.paths:
-        text = scalar(record if path[0] == "^" else item, path)
-        if rule.split:
-            text = F.coalesce(F.get(F.split(text, re.escape(rule.split[0])), F.lit(rule.split[1])), F.lit(""))
+        text = _segment(scalar(record if path[0] == "^" else item, path), rule)
         if rule.transform == "html_text":
             text = X.html_to_text(text)
         elif rule.transform == "trim":
             text = F.trim(text)
         found.append(F.nullif(text, F.lit("")))
-    return F.coalesce(*found, F.lit(rule.default)) if shape == "text" else F.coalesce(*found)
+    return F.coalesce(*found)
+
+
+def read_time(value: Column, transform: str) -> Column:
+    """A time from a date, or by transform from epoch seconds, milliseconds or ISO 8601; null where it is none or not after 1970."""
+    after_1970 = lambda millis: let(millis, lambda ms: F.when(ms > 0, F.timestamp_millis(F.floor(ms))))
+
+    def told(v: Column) -> Column:
+        if transform == "iso8601":
+            return let(text_of(v), lambda t: F.when(t.rlike(ISO_TIME), F.try_to_timestamp(t)))
+        return after_1970(text_of(v).try_cast("double") * (1000 if transform == "unix_s" else 1)) if transform else F.lit(None).cast("timestamp")
+
+    return let(value, lambda v: F.coalesce(after_1970(tagged(v, "date", "double")), told(v)))
+
+
+def read_flag(value: Column, rule: FieldRule) -> Column:
+    """True for a true boolean, and for a cut segment that reads `true`; the text `true` alone is none."""
+    def said(v: Column) -> Column:
+        flag = F.coalesce(F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")), F.lit(False))
+        return flag | (_segment(text_of(v), rule) == "true") if rule.split else flag
+
+    return let(value, said)
+
 
+def kind_of(value: Column) -> Column:
+    """The kind of a value: object, array, string, bool, number, null, date, bigint, map, set; undefined where there is none."""
+    def named(v: Column, kind: Column) -> Column:
+        tag = functools.reduce(lambda found, name: found.when(tagged(v, name).isNotNull(), name), ("bigint", "map", "set"), F.when(tagged(v, "date").isNotNull(), "date")).otherwise("object")
+        return (
+            F.when(kind.isNull(), "undefined").when(kind.startswith("OBJECT"), tag).when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string")
+            .when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null").otherwise("number")
+        )
 
-def read_time(text: Column, transform: str) -> Column:
-    """A time from epoch seconds, milliseconds or ISO 8601; null where it is none or not after 1970."""
-    if transform == "iso8601":
-        return F.try_to_timestamp(text)
-    millis = text.try_cast("double") * (1000 if transform == "unix_s" else 1)
-    return F.when(millis > 0, F.timestamp_millis(F.floor(millis)))
+    return let(value, lambda v: let(F.schema_of_variant(v), lambda kind: named(v, kind)))
 
 
 def condition(value: Column, rule: dict[str, Any]) -> Column:
@@ -174,10 +243,8 @@ def condition(value: Column, rule: dict[str, Any]) -> Column:
     if "not_in" in rule:
         kept = kept & ~text.isin(*map(str, rule["not_in"]))
     if "kind_not" in rule:
-        kind = F.coalesce(F.schema_of_variant(F.try_variant_get(value, variant_path(rule["path"]), "variant")), F.lit("undefined"))
-        name = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null").when(kind == "undefined", "undefined").otherwise("number")
         unwanted = rule["kind_not"] if isinstance(rule["kind_not"], list) else [rule["kind_not"]]
-        kept = kept & ~name.isin(*unwanted)
+        kept = kept & ~kind_of(first_at(value, rule["path"])).isin(*unwanted)
     return kept
 
 
@@ -192,8 +259,10 @@ def lookup_table(records: DataFrame, rule: dict[str, Any]) -> DataFrame:
 def apply_schema(records: DataFrame, schema: Schema) -> DataFrame:
     """Messages of the records (kind, namespace, container, seq, value VARIANT) that a schema selects; `kept` tells which are whole.
 
-    Items that fail a condition or lack a required field stay with kept = false, so `tally` can count them.
+    Records with a `decode_err`, where there is such a column, are left out.     Items that fail a condition or lack a required field stay with kept = false, so `tally` can count them.
     """
+    if "decode_err" in records.columns:
+        records = records.where("decode_err is null")
     chosen = records.where((F.col("kind") == schema.kind) & (F.col("container") == schema.container) & F.col("namespace").startswith(schema.namespace_prefix))
     items = expand(chosen, schema.each)
     kept = F.lit(True)
@@ -202,18 +271,19 @@ def apply_schema(records: DataFrame, schema: Schema) -> DataFrame:
     out = items.withColumn("kept", kept)
     for name, rule in schema.fields.items():
         shape = {"sent_at": "time", "sent_by_me": "flag"}.get(name, "text")
-        text = _ruled(rule, F.col("item"), F.col("value"), shape)
-        if rule.lookup:
-            wanted = scalar(F.col("item"), rule.lookup["key_path"]) if "key_path" in rule.lookup else F.col(rule.lookup["key_field"])
-            out = out.withColumn("_match", wanted).join(lookup_table(records, rule.lookup).withColumnRenamed("match", "_match"), "_match", "left")
-            out = out.withColumn(name, F.coalesce(F.nullif(text, F.lit(rule.default)), "found", F.lit(rule.default))).drop("found", "_match")
-        elif shape == "time":
-            out = out.withColumn(name, read_time(text, rule.transform))
+        told = [first_at(F.col("value") if p[0] == "^" else F.col("item"), p) for p in rule.paths]
+        if shape == "time":
+            out = out.withColumn(name, F.coalesce(*(read_time(v, rule.transform) for v in told), F.lit(None).cast("timestamp")))
         elif shape == "flag":
-            flags = [F.try_variant_get(F.col("value") if p[0] == "^" else F.col("item"), variant_path(p), "boolean") for p in rule.paths]
-            out = out.withColumn(name, F.coalesce(*flags, text == "true", F.lit(False)))
+            out = out.withColumn(name, functools.reduce(lambda a, b: a | b, (read_flag(v, rule) for v in told), F.lit(False)))
         else:
-            out = out.withColumn(name, text)
+            text = _ruled(rule, F.col("item"), F.col("value"))
+            if rule.lookup:
+                wanted = scalar(F.col("item"), rule.lookup["key_path"]) if "key_path" in rule.lookup else F.col(rule.lookup["key_field"])
+                out = out.withColumn("_match", wanted).join(lookup_table(records, rule.lookup).withColumnRenamed("match", "_match"), "_match", "left")
+                out = out.withColumn(name, F.coalesce(text, "found", F.lit(rule.default))).drop("found", "_match")
+            else:
+                out = out.withColumn(name, F.coalesce(text, F.lit(rule.default)))
         if rule.required or name in REQUIRED:
             blank = F.col(name).isNull() if shape == "time" else (F.coalesce(F.col(name), F.lit("")) == "")
             out = out.withColumn("kept", F.col("kept") & ~blank)
@@ -237,6 +307,12 @@ def _paths(bodies: pa.Array) -> pa.Array:
 
     def walk(value: Any, path: str, depth: int, out: set[tuple[str, str]]) -> None:
         kind = {dict: "object", list: "array", str: "string", bool: "bool", int: "number", float: "number"}.get(type(value), "null")
+        tag = next(iter(value), "") if isinstance(value, dict) and len(value) == 1 else ""
+        if tag in ("$date", "$bigint", "$map", "$set"):
+            out.add((path, tag[1:]))
+            for inner in value[tag] if depth < DEPTH and tag in ("$map", "$set") and isinstance(value[tag], list) else ():
+                walk(inner[1] if tag == "$map" and isinstance(inner, list) and len(inner) > 1 else inner, path + ("{}" if tag == "$map" else "<>"), depth + 1, out)
+            return
         out.add((path, kind))
         if depth < DEPTH and isinstance(value, dict):
             for key, inner in value.items():

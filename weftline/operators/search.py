@@ -8,13 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.functions import vectors as V
 from weftline.functions.chunking import chunk_spans
-from weftline.plans.lineage import cut
 
 #: The constant of reciprocal rank fusion, and the parameters of BM25.
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
@@ -55,7 +54,7 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str
     """query_id, key, distance, rank: the k nearest rows of every query vector.
 
     A stated set of queries against all rows, in blocks: QUERY_BLOCK queries at a time are sent to the executors, each Arrow
-    batch of rows is multiplied with them, and only k candidates a query leave a batch. More queries make more rounds over
+    batch of rows is multiplied with them, and only k candidates a query leave a partition. More queries make more rounds over
     the rows, never a larger broadcast.
     """
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key]
@@ -72,7 +71,9 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str
 
 
 def _nearest_in_batches(batches: Iterator[pa.RecordBatch], shared, k: int, key: str) -> Iterator[pa.RecordBatch]:
+    """The k nearest of a whole partition for every query: a running list each, passed on once."""
     ids, matrix = shared.value
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         if not ids or not batch.num_rows:
             continue
@@ -80,17 +81,27 @@ def _nearest_in_batches(batches: Iterator[pa.RecordBatch], shared, k: int, key:
         names = batch.column(0).to_numpy(zero_copy_only=False)
         for at in range(0, len(ids), 256):
             for i, line in enumerate(1.0 - matrix[at : at + 256] @ rows.T):
-                best = np.lexsort((names, line))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[at + i]] * len(best)), pa.array(names[best]), pa.array(line[best])], names=["query_id", key, "distance"])
+                # ties with the k-th stay until names decide
+                near = np.flatnonzero(line <= np.partition(line, k - 1)[k - 1]) if len(line) > k else np.arange(len(line))
+                known = held.get(at + i)
+                named, far = (names[near], line[near]) if known is None else (np.concatenate([known[0], names[near]]), np.concatenate([known[1], line[near]]))
+                best = np.lexsort((named, far))[:k]
+                held[at + i] = named[best], far[best]
+    for at in range(0, len(held), 1024):
+        part = [(ids[i], *held[i]) for i in range(at, min(at + 1024, len(held)))]
+        counts = [len(names) for _, names, _ in part]
+        asked = pa.array([q for q, _, _ in part]).take(pa.array(np.repeat(np.arange(len(part)), counts)))
+        yield pa.RecordBatch.from_arrays([asked, pa.array(np.concatenate([n for _, n, _ in part])), pa.array(np.concatenate([d for *_, d in part]))], names=["query_id", key, "distance"])
 
 
 def postings(texts: DataFrame, key: str, text: str = "text", terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf, positions) of every word, and (key, length) of every text; with `terms`, words that none of them means are left out.
+    """(term, key, tf, positions, length of the text) of every word, and one row (n, mean) of how many texts there are and how long.
 
-    A term ending in * means every word it begins. The words are cut down inside their arrays, before anything is exploded,
-    and every text is taken apart once.
+    With `terms`, words that none of them means are left out. A term ending in * means every word it begins. The words are cut
+    down inside their arrays, before anything is exploded, and combined inside their text before the shuffle.
     """
     words = texts.select(key, X.word_tokens(F.col(text)).alias("words"))
+    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
     placed = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("at")))
     if terms is not None:
         whole = [t for t in terms if not t.endswith("*")]
@@ -102,9 +113,43 @@ def postings(texts: DataFrame, key: str, text: str = "text", terms: list[str] |
             return found
 
         placed = F.filter(placed, meant)
-    taken = cut(words.select(key, F.size("words").alias("length"), placed.alias("spots")))
-    spots = taken.select(key, F.explode("spots").alias("s")).select(key, "s.term", "s.at")
-    return spots.groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")), taken.select(key, "length")
+    spots = words.select(key, F.size("words").alias("length"), F.explode(placed).alias("s")).select(key, "length", "s.term", "s.at")
+    return spots.groupBy("term", key, "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")), corpus
+
+
+#: Folders of a stored index: a search reads those of its own terms alone.
+INDEX_FOLDERS = 64
+
+
+class KeywordIndex:
+    """Postings kept as a table, one folder for each share of the terms, sorted by term: a search reads its terms and no more."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path, key
+
+    @classmethod
+    def build(cls, texts: DataFrame, path: str, key: str, text: str = "text") -> KeywordIndex:
+        """An index of all words of some texts, written once."""
+        index, corpus = postings(texts, key, text)
+        folder = F.pmod(F.xxhash64("term"), F.lit(INDEX_FOLDERS)).cast("int")
+        # a hot term's postings are spread over several files of its folder
+        spread = index.withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("folder", "term")
+        spread.write.mode("overwrite").partitionBy("folder").option("compression", "zstd").parquet(f"{path}/postings")
+        corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        return cls(texts.sparkSession, path, key)
+
+    def corpus(self) -> DataFrame:
+        """One row: n, mean."""
+        return self.spark.read.parquet(f"{self.path}/corpus")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """Postings of the terms; a term that ends in * may stand in any folder."""
+        held = self.spark.read.parquet(f"{self.path}/postings")
+        wanted = functools.reduce(lambda a, b: a | b, (F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t for t in terms), F.lit(False))
+        if not any(t.endswith("*") for t in terms):
+            folders = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(INDEX_FOLDERS)).cast("int") for t in terms)).first() if terms else ()
+            held = held.where(F.col("folder").isin(*set(folders)))
+        return held.where(wanted).drop("folder")
 
 
 def content_words(question: str) -> list[str]:
@@ -115,25 +160,44 @@ def content_words(question: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if len(w.encode()) >= 3 and w not in STOPWORDS))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], key: str) -> DataFrame:
-    """key, score of texts with any of the terms, higher is better. Postings are cut to the terms before anything moves."""
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+def bm25(index: DataFrame, corpus: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """key, score of texts with any of the terms, higher is better. Every posting knows its text's length, so nothing but counts is joined."""
     hits = index.where(F.col("term").isin(*terms))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(lengths, key).join(F.broadcast(corpus))  # one row a term, and one row
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(corpus))  # one row a term, and one row
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
     return scored.groupBy(key).agg(F.sum(part).alias("score"))
 
 
 def phrase(index: DataFrame, words: list[str], key: str) -> DataFrame:
-    """Keys of texts where the words follow each other; a last word ending in * is a prefix."""
-    found = None
-    for i, word in enumerate(words):
-        match = F.col("term").startswith(word[:-1]) if word.endswith("*") else F.col("term") == word
-        spots = index.where(match).select(key, F.explode("positions").alias("at")).select(key, (F.col("at") - i).alias("start")).distinct()
-        found = spots if found is None else found.join(spots, [key, "start"], "left_semi")
-    return found.select(key).distinct()
+    """Keys of texts where the words follow each other; a last word ending in * is a prefix.
+
+    The postings of the words alone come together, text by text; whether they follow each other is seen inside their arrays.
+    """
+    match = [F.col("term").startswith(w[:-1]) if w.endswith("*") else F.col("term") == w for w in words]
+    starts = [F.when(m, _shifted(i)) for i, m in enumerate(match)]
+    kept = index.where(functools.reduce(lambda a, b: a | b, match))
+    gathered = kept.groupBy(key).agg(*(F.flatten(F.collect_list(s)).alias(f"_{i}") for i, s in enumerate(starts)))
+    common = functools.reduce(F.array_intersect, (F.col(f"_{i}") for i in range(len(words))))
+    return gathered.where(F.size(common) > 0).select(key)
+
+
+def _shifted(by: int) -> Column:
+    """Where a phrase begins whose word number `by` stands at each position."""
+    return F.transform("positions", lambda at: at - by)
+
+
+def identifiers(events: DataFrame, key: str = "record_id") -> DataFrame:
+    """key, text: what an event is found by besides its text: a commit's hash, a file's path."""
+    found = F.when(F.col("source") == "git", F.try_element_at("metadata", F.lit("hash"))).when(F.col("source") == "file", F.try_element_at("metadata", F.lit("path")))
+    return events.select(key, found.alias("text")).where(F.col("text").rlike(r"\S"))
+
+
+def lexical(indexes: list[tuple[DataFrame, DataFrame]], terms: list[str], key: str, most: int) -> DataFrame:
+    """key, score of the best hits of several indexes: each is ranked by its own corpus, then hits are merged by score, each key once."""
+    scored = functools.reduce(DataFrame.unionByName, (bm25(index, corpus, terms, key) for index, corpus in indexes))
+    return scored.groupBy(key).agg(F.max("score").alias("score")).orderBy(F.desc("score"), key).limit(most)
 
 
 def identifier_terms(question: str) -> list[list[str]]:

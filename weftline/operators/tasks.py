@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators.timeline import nearest_cited
+from weftline.operators.filters import in_period, own_commits
+from weftline.operators.people import by_people, of_direction, resolved_names
+from weftline.operators.timeline import as_of, nearest_cited
 from weftline.plans.lineage import cut
 from weftline.plans.sizes import small_side
 from weftline.sources.events import BROWSER, GIT, TEAMS, filled, meta
 
-INHERIT_MINUTES, CREATE_MINUTES, PROBABLE_MINUTES = 20, 15, 120
+INHERIT_MINUTES, CREATE_MINUTES, PROBABLE_MINUTES, HISTORY_DAYS = 20, 15, 120, 90
 #: Links of common trackers; all groups of a pattern together are the task's key, the last one its identifier.
 TASK_PATTERNS = (
     (r"atlassian\.net/browse/([A-Z][A-Z0-9]+-\d+)", 1),
@@ -42,7 +45,7 @@ HOSTS = (
 
 
 def link_text() -> Column:
-    """Where an event's links are: a visit's address, the text of anything else."""
+    """The text of an event that links are read from."""
     return F.coalesce(F.when(F.col("source") == BROWSER, meta("url")).otherwise(F.col("content")), F.lit(""))
 
 
@@ -57,29 +60,31 @@ def task_refs(text: Column, patterns=TASK_PATTERNS) -> Column:
 
 
 def pr_refs(text: Column, hosts=HOSTS) -> Column:
-    """ARRAY of (repo, number) of the pull requests a text links to."""
-    urls = X.url_tokens(text)
-    found = [
-        F.transform(F.filter(urls, lambda u: u.rlike(host.page)), lambda u: F.struct(F.regexp_extract(u, host.page, 1).alias("repo"), F.regexp_extract(u, host.page, 2).cast("int").alias("number")))
-        for host in hosts
-    ]
-    return F.concat(*found)
+    """ARRAY of (repo, number) of the pull requests a text links to, in the order of its links."""
+    def read(link: Column) -> Column:
+        return F.coalesce(*(F.when(link.rlike(host.page), F.struct(F.regexp_extract(link, host.page, 1).alias("repo"), F.regexp_extract(link, host.page, 2).cast("int").alias("number"))) for host in hosts))
+
+    return F.filter(F.transform(X.url_tokens(text), read), lambda pr: pr.isNotNull())
 
 
 def created_in(url: Column, hosts=HOSTS) -> Column:
-    """The repository whose page for opening pull requests this is; null for other pages."""
+    """Which repository a visited form for a new pull request belongs to, if the page is one."""
     return F.coalesce(*(F.nullif(F.regexp_extract(url, host.create, 1), F.lit("")) for host in hosts))
 
 
+#: What code hosts put before and behind the title of a pull request.
+TITLE_PARTS = (r"^Pull Request \d+:\s*", r"\s+by\s+\S+\s+·.*$", r"\s+(·|\(!\d+\)|-\s+Repos).*$")
+
+
 def pr_title(title: Column) -> Column:
-    """A page title without what the host adds to it."""
-    bare = F.regexp_replace(title, r"^Pull Request \d+:\s*", "")
-    bare = F.regexp_replace(bare, r"\s+by\s+\S+\s+·.*$", "")
-    return F.trim(F.regexp_replace(bare, r"\s+(·|\(!\d+\)|-\s+Repos).*$", ""))
+    """What somebody named a pull request, read from the title of its page."""
+    for part in TITLE_PARTS:
+        title = F.regexp_replace(title, part, "")
+    return F.trim(title)
 
 
 def cites(title: Column, identifier: Column) -> Column:
-    """Whether a title holds an identifier as a whole token."""
+    """True where an identifier stands in a title and neither letter nor digit touches it."""
     escaped = F.regexp_replace(identifier, r"([^\p{L}\p{N}])", r"\\$1")
     return F.regexp_like(title, F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])"), escaped, F.lit(r"($|[^\p{L}\p{N}])")))
 
@@ -116,7 +121,7 @@ def linked_pull_requests(prs: DataFrame, period: DataFrame, patterns=TASK_PATTER
     titled = prs.where("task_key is null and title <> ''").select("repo", "number", "title", F.explode(F.array_distinct(X.word_tokens(F.col("title")))).alias("token"))
     named = tasks.withColumn("token", F.element_at(X.word_tokens(F.col("id")), -1))
     met = titled.join(named, "token").where(cites(F.col("title"), F.col("id"))).groupBy("repo", "number").agg(F.min("key").alias("cited"), F.count_distinct("key").alias("n")).where("n = 1")
-    return prs.join(met.select("repo", "number", "cited"), ["repo", "number"], "left").withColumn("task_key", F.coalesce("task_key", "cited")).drop("cited")
+    return cut(prs.join(met.select("repo", "number", "cited"), ["repo", "number"], "left").withColumn("task_key", F.coalesce("task_key", "cited")).drop("cited"))
 
 
 def assigned(period: DataFrame, linked: DataFrame, patterns=TASK_PATTERNS, hosts=HOSTS, key: str = "record_id") -> DataFrame:
@@ -127,11 +132,21 @@ def assigned(period: DataFrame, linked: DataFrame, patterns=TASK_PATTERNS, hosts
     return nearest_cited(direct, F.col("direct"), INHERIT_MINUTES, at="us", key=key).withColumnRenamed("near", "task")
 
 
+def touched(period: DataFrame, linked: DataFrame, patterns=TASK_PATTERNS, hosts=HOSTS, key: str = "record_id") -> DataFrame:
+    """Events of tasks, once for each task (`one`) that they belong to or cite."""
+    told = assigned(period, linked, patterns, hosts, key).where("task is not null")
+    return told.withColumn("one", F.explode(F.array_distinct(F.concat(F.array("task"), "cited"))))
+
+
+def history_of(events: DataFrame, period_end, days: int = HISTORY_DAYS) -> DataFrame:
+    """The past that pull requests of a period are looked for in: so many days, without other people's commits."""
+    return events.where(in_period(period_end - timedelta(days=days), period_end) & own_commits())
+
+
 def report(period: DataFrame, history: DataFrame, period_end, patterns=TASK_PATTERNS, hosts=HOSTS, key: str = "record_id") -> DataFrame:
     """task, title, first_at, n_events, n_prs, status, involvement, in order of first touch."""
-    linked = cut(linked_pull_requests(pull_requests(history, patterns, hosts, key), period, patterns))
-    told = assigned(period, linked, patterns, hosts, key).where("task is not null")
-    every = cut(told.withColumn("one", F.explode(F.array_distinct(F.concat(F.array("task"), "cited")))).select(key, "source", "occurred_at", "us", "metadata", "cited", "one"))
+    linked = linked_pull_requests(pull_requests(history, patterns, hosts, key), period, patterns)
+    every = cut(touched(period, linked, patterns, hosts, key).select(key, "source", "occurred_at", "us", "metadata", "cited", "one"))
     direct = F.array_contains("cited", F.col("one"))
     own = (F.col("source") == TEAMS) & (meta("sent_by_me") == "true") | (F.col("source") == GIT) & (F.coalesce(meta("authorship"), F.lit("")) != "other")
     level = F.when(direct & own, 2).when(direct & (F.col("source") == BROWSER), 1).otherwise(0)
@@ -143,10 +158,9 @@ def report(period: DataFrame, history: DataFrame, period_end, patterns=TASK_PATT
     candidates = linked.where((F.col("opened_by_me") | F.col("mentioned_by_me")) & (F.col("opened_at") < F.lit(period_end)))
     exact = candidates.where("task_key is not null").select("repo", "number", "task_key", "opened_by_me")
     loose = candidates.where("task_key is null").select("repo", "number", "opened_by_me", F.unix_micros("opened_at").alias("opened_us"))
-    width = PROBABLE_MINUTES * 60_000_000
-    near = every.select(F.col("one"), "us").withColumn("bin", F.floor(F.col("us") / width))
-    guessed = loose.withColumn("bin", F.explode(F.array(F.floor(F.col("opened_us") / width), F.floor(F.col("opened_us") / width) - 1))).join(near, "bin").where((F.col("us") <= F.col("opened_us")) & (F.col("opened_us") - F.col("us") <= width))
-    guessed = guessed.groupBy("repo", "number", "opened_by_me").agg(F.max_by("one", F.struct("us", "one")).alias("task_key"))
+    # the task touched last before the request was opened: merged by time, no pairs
+    last = every.groupBy("us").agg(F.max("one").alias("value")).withColumn("_all", F.lit(0))
+    guessed = as_of(loose.withColumnRenamed("opened_us", "us").withColumn("_all", F.lit(0)), last, "_all", PROBABLE_MINUTES).where("found is not null").select("repo", "number", F.col("found").alias("task_key"), "opened_by_me")
     prs = exact.unionByName(guessed).groupBy(F.col("task_key").alias("task")).agg(F.count("*").alias("n_prs"), F.max("opened_by_me").alias("opened"))
     joined = tasks.join(prs, "task", "left")
     involvement = F.when(F.coalesce("opened", F.lit(False)) | (F.col("level") == 2), "mine").when(F.col("level") == 1, "consulted").otherwise("mentioned_by_others")
@@ -159,6 +173,31 @@ def cited_by(tasks: DataFrame, events: DataFrame, patterns=TASK_PATTERNS) -> Dat
     return tasks.join(keys, "task", "left_semi")
 
 
+def of_status(tasks: DataFrame, status: str = "") -> DataFrame:
+    """Tasks that are `done` or `in_progress`; all where neither is asked."""
+    return tasks.where(F.col("status") == status) if status in ("done", "in_progress") else tasks
+
+
+def matching(tasks: DataFrame, told: DataFrame, linked: DataFrame, people: list[str] = (), way: str = "any", topic: str = "", patterns=TASK_PATTERNS, key: str = "record_id") -> DataFrame:
+    """Tasks that messages of the people and direction cite, and that speak of the topic. `told`: see `touched`.
+
+    A name that names nobody is looked for as a topic. A topic may stand in a task's key or title, in its pull requests or events.
+    """
+    found = resolved_names(told, list(people), way, key) if people else {}
+    known, terms = [form for form in found.values() if form], [name for name, form in found.items() if not form] + ([topic] if topic else [])
+    if known or way != "any":
+        messages = told.where((F.col("source") == TEAMS) & of_direction(way))
+        tasks = cited_by(tasks, by_people(messages, known, way, key) if known else messages, patterns)
+    if not terms:
+        return tasks
+    spoken = lambda text: [F.max(F.contains(X.fold(text), X.fold(F.lit(term)))).alias(f"_{i}") for i, term in enumerate(terms)]
+    texts = told.select(F.col("one").alias("task"), F.col("content").alias("said")).unionByName(linked.where("task_key is not null").select(F.col("task_key").alias("task"), F.concat_ws("\n", F.concat_ws("#", "repo", F.col("number").cast("string")), "title").alias("said")))
+    texts = texts.unionByName(tasks.select("task", F.concat_ws("\n", "task", "title").alias("said")))
+    met = texts.groupBy("task").agg(*spoken(F.coalesce("said", F.lit(""))))
+    every = reduce(lambda a, b: a & b, (F.col(f"_{i}") for i in range(len(terms))))
+    return tasks.join(met.where(every).select("task"), "task", "left_semi")
+
+
 def unassigned(told: DataFrame) -> DataFrame:
     """One row: events and how many of them belong to no task."""
     return told.agg(F.count("*").alias("events"), F.count_if(F.col("task").isNull()).alias("unassigned"))

@@ -16,11 +16,12 @@ def of_days(events: DataFrame, days: DayRange, zone: str = "UTC", key: str = "re
 
 
 def around(events: DataFrame, anchor: DataFrame, minutes: int, key: str = "record_id") -> DataFrame:
-    """Events within a window around one event, both ends included. The anchor is one row, so it is sent to all executors."""
-    at = F.broadcast(anchor.limit(1).select(F.unix_micros("occurred_at").alias("anchor_us")))
-    width = minutes * 60 * 1_000_000
-    us = F.unix_micros("occurred_at")
-    return events.join(at, (us >= F.col("anchor_us") - width) & (us <= F.col("anchor_us") + width)).drop("anchor_us").orderBy("occurred_at", key)
+    """Events within a window around one event, both ends included. The anchor's time is read first, so the window reaches the scan."""
+    row = anchor.where("occurred_at is not null").select(F.unix_micros("occurred_at")).first()
+    if row is None:
+        return events.limit(0)
+    end = lambda shift: F.timestamp_micros(F.lit(row[0] + shift * minutes * 60_000_000))
+    return events.where((F.col("occurred_at") >= end(-1)) & (F.col("occurred_at") <= end(1))).orderBy("occurred_at", key)
 
 
 def in_bins(events: DataFrame, at: str, width: int, back: int, ahead: int) -> DataFrame:
@@ -42,9 +43,10 @@ def counts_around(events: DataFrame, minutes: int, *by: str) -> DataFrame:
 
 
 def latest_versions(events: DataFrame, key: str = "record_id") -> DataFrame:
-    """The last version of every file: an aggregation, combined before the shuffle."""
+    """The last version of every file: its key is found by an aggregation over narrow rows, then its row is fetched."""
     files = events.where((F.col("source") == FILE) & meta("path").isNotNull())
-    return files.groupBy(meta("path").alias("_path")).agg(F.max_by(F.struct(*events.columns), F.struct("occurred_at", key)).alias("_row")).select("_row.*")
+    last = files.groupBy(meta("path").alias("_path")).agg(F.max_by(key, F.struct("occurred_at", key)).alias(key)).select(key)
+    return files.join(last, key, "left_semi")
 
 
 def file_versions(current: DataFrame, history: DataFrame) -> DataFrame:

@@ -21,6 +21,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new name below the checkpoint folder, deleted when the application ends."""
+    folder = f"{checkpoint_folder(spark)}/weftline-{uuid.uuid4().hex}"
+    _forget(spark, folder)
+    return folder
+
+
 def cut(df: DataFrame, *by: str) -> DataFrame:
     """`df` written once to the shared folder and read back: later uses neither recompute it nor lose it with an executor.
 
@@ -28,9 +35,8 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     values of these columns. They go when the application ends.
     """
     spark = df.sparkSession
-    folder = f"{checkpoint_folder(spark)}/weftline-{uuid.uuid4().hex}"
+    folder = own_folder(spark)
     (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(folder)
-    _forget(spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -14,7 +14,7 @@ from weftline.operators import filters as E
 from weftline.operators import search as R
 from weftline.plans import query as Q
 from weftline.plans import sql as S
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import cut, own_folder
 from weftline.plans.queries_events import messages, records
 from weftline.plans.registry import query
 from weftline.sources import events as EV
@@ -63,25 +63,33 @@ p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS
 bm AS (SELECT doc_id, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM h JOIN d USING (term) JOIN l USING (doc_id), c GROUP BY doc_id)"""
 
 
-def indexed(spark: SparkSession, sf_dir: str, terms: list[str]) -> tuple[DataFrame, DataFrame]:
-    return R.postings(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"\p{M}", "").alias("text")), "doc_id", terms=terms)
+_INDEXES: dict[tuple[str, str], R.KeywordIndex] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> R.KeywordIndex:
+    """The keyword index of the documents: built once a session, then read by its terms."""
+    named = spark.sparkContext.applicationId, sf_dir
+    if named not in _INDEXES:
+        texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"\p{M}", "").alias("text"))
+        _INDEXES[named] = R.KeywordIndex.build(texts, own_folder(spark), "doc_id")
+    return _INDEXES[named]
 
 
 @query(f"WITH {_BM25.replace(S.tokens('text'), S.tokens("regexp_replace(text, '\\p{M}', '', 'g')"))} SELECT doc_id, round(score, 4) AS score FROM bm")
 def r3_bm25(spark, sf_dir):
-    index, lengths = indexed(spark, sf_dir, R.content_words(QUESTION))
-    return R.bm25(index, lengths, R.content_words(QUESTION), "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+    index, terms = indexed(spark, sf_dir), R.content_words(QUESTION)
+    return R.bm25(index.postings(terms), index.corpus(), terms, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({S.tokens("regexp_replace(text, '\\p{M}', '', 'g')")}, ' ') || ' ' AS t FROM documents) WHERE contains(t, ' lote atrasado ') AND regexp_matches(t, ' planilha de cust')")
 def r3_phrase_prefix(spark, sf_dir):
-    index, _ = indexed(spark, sf_dir, ["lote", "atrasado", "planilha", "de", "cust*"])
+    index = indexed(spark, sf_dir).postings(["lote", "atrasado", "planilha", "de", "cust*"])
     return R.phrase(index, ["lote", "atrasado"], "doc_id").join(R.phrase(index, ["planilha", "de", "cust*"], "doc_id"), "doc_id", "left_semi")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, lengths = indexed(spark, sf_dir, R.content_words(QUESTION))
-    words = R.bm25(index, lengths, R.content_words(QUESTION), "doc_id").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(R.LEXICAL_HEADROOM * 6)
+    index, terms = indexed(spark, sf_dir), R.content_words(QUESTION)
+    words = R.bm25(index.postings(terms), index.corpus(), terms, "doc_id").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(R.LEXICAL_HEADROOM * 6)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     wanted = vectors.orderBy("doc_id").select("embedding").first()["embedding"]
     near = R.nearest(vectors, list(wanted), R.VECTOR_HEADROOM * 6, tie="doc_id")

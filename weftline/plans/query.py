@@ -81,7 +81,7 @@ class Query:
         return EventFilter(start, end, self.plan.source, self.plan.direction, self.plan.people)
 
 
-def plan_by_rules(question: str, today: date = date(2000, 6, 15)) -> Plan | None:
+def plan_by_rules(question: str, today: date = date(2024, 3, 20)) -> Plan | None:
     """A plan if the rules know every word of the question and it means one thing; None leaves it to a model."""
     text = _folded(question)
     found = day_range(question, today) or day_range(question, today, day_first=False)

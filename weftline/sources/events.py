@@ -6,12 +6,18 @@ Spark's own readers, so filters and columns chosen later reach the scan.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
+from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import text as X
+from weftline.functions.arrow import arrow_column
 
 GIT, BROWSER, FILE, TEAMS, WHATSAPP = "git", "browser", "file", "teams", "whatsapp"
 #: Microseconds from 1601, where Chromium counts from, to 1970.
@@ -19,6 +25,16 @@ CHROMIUM_EPOCH = 11_644_473_600_000_000
 #: Folders and sizes of the file tree scan.
 IGNORED_FOLDERS = (".git", "node_modules", ".venv", "vendor", "target", "dist", "build", "__pycache__")
 MAX_TEXT_BYTES = 1 << 20
+#: Types of a message store's rows that people write, and the type of the system's own.
+CONTENT_TYPES, SYSTEM_TYPE = (0, 1, 2, 3, 4, 5, 9, 13, 16, 20, 25, 27, 28, 42, 43, 57, 62, 66, 99), 7
+#: The line of a message's text that tells its direction.
+SENT_LINE, CHANNEL_LINE, RECEIVED_LINE = "Enviada por você", "Publicada no canal (não enviada diretamente a você)", "Recebida por você"
+#: Most bytes of a decoded response.
+MAX_BODY_BYTES = 64 << 20
+#: Hours that stored messages may lie before the first and behind the last message of a store, to be paired with it.
+PAIRING_HOURS = 1
+#: Columns that tell whose history a table of visits is: the flavour by a column that only it has.
+FLAVOURS = {"firefox": "visit_date", "chromium": "visit_time"}
 
 
 def meta(name: str) -> Column:
@@ -75,30 +91,54 @@ def from_git_log(log: DataFrame) -> DataFrame:
     return _event(fields, GIT, X.stable_id(F.lit(GIT), get(1)), F.to_timestamp(get(2)), content, repository=get(0), hash=get(1), author=get(3), email=get(4), files=F.array_join(files, "\n"))
 
 
-def from_browser(visits: DataFrame, urls: DataFrame, flavor: str = "chromium") -> DataFrame:
-    """One event a visit. Visits: url_id, visit_time in the browser's epoch; urls: id, url, title."""
-    chromium = flavor != "firefox"
-    micros = F.col("visit_time") - F.lit(CHROMIUM_EPOCH if chromium else 0)
+def flavour(visits: DataFrame) -> str:
+    """Which browser kept a table of visits, by a column that only it has."""
+    found = [name for name, column in FLAVOURS.items() if column in visits.columns]
+    if not found:
+        raise ValueError(f"no known history: columns {visits.columns}")
+    return found[0]
+
+
+def commits_in(log: DataFrame) -> DataFrame:
+    """One row, n: how many commits a log holds, without taking them apart."""
+    return log.agg(F.coalesce(F.sum(F.regexp_count("value", F.lit("\x1e"))), F.lit(0)).alias("n"))
+
+
+def from_browser(visits: DataFrame, urls: DataFrame, flavor: str | None = None) -> DataFrame:
+    """One event a visit, whatever the browser. Visits: url_id and the browser's own time column; urls: id, url, title."""
+    flavor = flavor or flavour(visits)
+    at = F.col(FLAVOURS["firefox" if flavor == "firefox" else "chromium"])
+    micros = at - F.lit(0 if flavor == "firefox" else CHROMIUM_EPOCH)
     met = visits.join(urls, visits["url_id"] == urls["id"]).withColumn("url", X.strip_url(F.col("url")))
     uid = X.stable_id(F.lit(BROWSER), F.lit(flavor), F.col("url"), micros.cast("string"))
     content = F.concat_ws("\n", filled(F.col("title")), F.col("url"))
     return _event(met, BROWSER, uid, F.timestamp_micros(micros), content, browser=F.lit(flavor), url=F.col("url"), title=F.col("title"))
 
 
-def from_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED_FOLDERS, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """Files under a folder: text of valid UTF-8 without NUL up to a size, else the name alone."""
+def matches_glob(path: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether a path's name, or the path itself, fits one of some patterns, where * stands for any part of a name."""
+    fits = F.lit(False)
+    for pattern in patterns:
+        shape = "[^/]*".join(map(re.escape, pattern.split("*")))
+        fits = fits | path.rlike(f"(^|/){shape}$")
+    return fits
+
+
+def from_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED_FOLDERS, max_bytes: int = MAX_TEXT_BYTES, globs: tuple[str, ...] = ()) -> DataFrame:
+    """Files under a folder, but for ignored folders and globs: text of valid UTF-8 without NUL up to a size, else the name alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:(//)?", "")
     inside = F.size(F.array_intersect(F.split("path", "/"), F.array(*map(F.lit, ignore)))) == 0
     raw = F.when(F.col("length") <= max_bytes, F.try_validate_utf8(F.col("content").cast("string")))
     text = F.when(~F.contains(raw, F.lit("\0")), raw)
-    return _event(files.where(inside), FILE, X.stable_id(F.lit(FILE), path), F.col("modificationTime"), F.concat_ws("\n", X.basename(path), filled(text)), path=path, size=F.col("length"), revision=(F.unix_micros("modificationTime") * 1000))
+    return _event(files.where(inside & ~matches_glob(path, globs)), FILE, X.stable_id(F.lit(FILE), path), F.col("modificationTime"), F.concat_ws("\n", X.basename(path), filled(text)), path=path, size=F.col("length"), revision=(F.unix_micros("modificationTime") * 1000))
 
 
 def message_content(sender: Column, text: Column, conversation: Column, kind: Column, mine: Column) -> Column:
     """How a message is laid out as text: sender, conversation line, direction line."""
-    where = F.when(filled(conversation).isNotNull(), F.concat(F.lit("Conversa: "), F.concat_ws(" ", filled(kind), conversation)))
-    return F.concat_ws("\n", F.concat(F.coalesce(filled(sender), F.lit("desconhecido")), F.lit(": "), text), where, F.when(mine, "Enviada por você").otherwise("Recebida por você"))
+    where = F.when(filled(conversation).isNotNull() | filled(kind).isNotNull(), F.concat(F.lit("Conversa: "), F.concat_ws(" ", filled(kind), filled(conversation))))
+    way = F.when(mine, SENT_LINE).when(kind == "canal", CHANNEL_LINE).otherwise(RECEIVED_LINE)
+    return F.concat_ws("\n", F.concat(F.coalesce(filled(sender), F.lit("desconhecido")), F.lit(": "), text), where, way)
 
 
 def from_messages(messages: DataFrame, chats: DataFrame) -> DataFrame:
@@ -116,6 +156,11 @@ def from_messages(messages: DataFrame, chats: DataFrame) -> DataFrame:
     )
 
 
+def is_message(kind: Column, text: Column) -> Column:
+    """Whether a row of a message store was written by a person: by its type, or by any text that isn't the system's."""
+    return kind.isin(*CONTENT_TYPES) | ((kind != SYSTEM_TYPE) & (F.coalesce(text, F.lit("")) != ""))
+
+
 def from_message_store(message: DataFrame, chat: DataFrame, jid: DataFrame, jid_map: DataFrame, media: DataFrame) -> DataFrame:
     """Messages of a relational store (message, chat, jid, jid_map, message_media), senders' aliases resolved once each."""
     alias = jid_map.groupBy("lid_row_id").agg(F.min("jid_row_id").alias("jid_row_id"))
@@ -126,7 +171,7 @@ def from_message_store(message: DataFrame, chat: DataFrame, jid: DataFrame, jid_
         sender.join(rooms, sender["chat_row_id"] == rooms["chat_id"]).join(names.select(F.col("jid_id").alias("sender_id"), F.col("raw_string").alias("sender")), "sender_id", "left")
         .join(media.select(F.col("message_row_id").alias("_id"), "media_name"), "_id", "left")
     )
-    shown = met.where((F.col("message_type") != 7) & (filled(F.col("text_data")).isNotNull() | F.col("media_name").isNotNull()))
+    shown = met.where(is_message(F.col("message_type"), F.col("text_data")))
     mine = F.col("from_me") == 1
     text = F.concat_ws(" ", F.col("text_data"), F.concat(F.lit("["), F.col("media_name"), F.lit("]")))
     uid = X.stable_id(F.lit(WHATSAPP), F.col("room"), F.col("key_id"))
@@ -134,6 +179,54 @@ def from_message_store(message: DataFrame, chat: DataFrame, jid: DataFrame, jid_
     return _event(shown, WHATSAPP, uid, F.timestamp_millis("timestamp"), content, conversation_id=F.col("room"), conversation=F.col("subject"), message_id=F.col("key_id"), sender=F.col("sender"), sent_by_me=mine, attachment=F.col("media_name"))
 
 
+def in_stored_period(stored: DataFrame, messages: DataFrame, hours: int = PAIRING_HOURS) -> DataFrame:
+    """Stored events between the first and the last of some messages, an hour wider: the period is read first, so it reaches the scan."""
+    first, last = messages.agg(F.min("occurred_at"), F.max("occurred_at")).first()
+    if first is None:
+        return stored.limit(0)
+    return stored.where((F.col("occurred_at") >= F.lit(first - timedelta(hours=hours))) & (F.col("occurred_at") < F.lit(last + timedelta(hours=hours))))
+
+
+def _decoded(bodies: pa.Array, encodings: pa.Array) -> pa.Array:
+    out = []
+    for body, encoding in zip(bodies.to_pylist(), encodings.to_pylist()):
+        try:
+            for name in reversed([n.strip().lower() for n in (encoding or "").split(",")]):
+                if body is not None and name not in ("", "identity"):
+                    body = _inflated(body, name)
+            out.append(body)
+        except (ValueError, zlib.error, EOFError, OSError):
+            out.append(None)
+    return pa.array(out, type=pa.binary())
+
+
+def _inflated(body: bytes, name: str) -> bytes:
+    if name in ("gzip", "deflate"):
+        for width in (31,) if name == "gzip" else (15, -15):  # some servers send deflate without its frame
+            try:
+                found = zlib.decompressobj(width)
+                plain = found.decompress(body, MAX_BODY_BYTES + 1)
+                break
+            except zlib.error:
+                if width in (31, -15):
+                    raise
+    elif name == "zstd":
+        import zstandard
+
+        with zstandard.ZstdDecompressor().stream_reader(body) as stream:
+            plain = stream.read(MAX_BODY_BYTES + 1)
+    else:
+        raise ValueError(name)
+    if len(plain) > MAX_BODY_BYTES:
+        raise ValueError("too large")
+    return plain
+
+
+def http_body(body: Column, encoding: Column) -> Column:
+    """A response as it was before its content encodings (gzip, deflate, zstd, in any number); null where it cannot be read or is too large."""
+    return arrow_column(_decoded, T.BinaryType(), body, encoding)
+
+
 def complete_text(stored: DataFrame, store: DataFrame) -> DataFrame:
     """Stored web messages with the text of the phone's store: paired by direction and key, the earliest stored match.
 
@@ -150,23 +243,6 @@ def learned_names(events: DataFrame) -> DataFrame:
     return named.groupBy(meta("sender_id").alias("id")).agg(F.max_by(meta("sender"), F.struct("occurred_at", "uid")).alias("name"))
 
 
-def chat_titles(chats: DataFrame, members: DataFrame, most: int = 4) -> DataFrame:
-    """conversation_id, title: the subject, else the names of up to `most` members."""
-    people = members.groupBy("conversation_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, most), ", ").alias("people"))
-    return chats.join(people, "conversation_id", "left").select("conversation_id", F.coalesce(filled(F.trim("subject")), "people", F.lit("")).alias("title"))
-
-
-def image_urls(body: Column) -> Column:
-    """Distinct addresses of images in a message's markup, in order."""
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"""(?i)<img[^>]*\ssrc="([^"]+)"[^>]*>"""), F.lit(1)))
-
-
-def check_format(records: DataFrame, stores: tuple[str, ...]) -> DataFrame:
-    """One row of counts; an error where there are records but none of a known store."""
-    counts = records.agg(F.count("*").alias("records"), F.count_if(F.col("container").isin(*stores)).alias("known"))
-    return counts.withColumn("known", F.when((F.col("records") > 0) & (F.col("known") == 0), F.raise_error(F.lit("no known store in these records"))).otherwise(F.col("known")))
-
-
 def caption(reply: Column) -> Column:
     """STRUCT of description and visible text from a labelled reply."""
     part = lambda label, rest: F.trim(F.regexp_extract(reply, rf"(?is){label}:\s*(.*?)\s*(?:{rest}|$)", 1))
