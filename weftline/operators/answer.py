@@ -17,6 +17,7 @@ from weftline.functions.dates import _folded
 from weftline.operators import evidence as E
 from weftline.operators import search as R
 from weftline.operators.filters import appearing
+from weftline.plans.lineage import cut
 
 #: Fixed value: cues, in folded text, that a question asks for what happened around something.
 AROUND_CUES = r"\b(antes|depois|logo apos|em seguida|na mesma hora|before|after|around|meanwhile)\b"
@@ -185,13 +186,15 @@ def retrieve(question: str, chunks: DataFrame, events: DataFrame, vector: list[f
     Gates are skipped for scoped questions and identifiers; neighbours in time follow if the question asks for them.
     """
     hits = rank_for(question, chunks, vector, top_k * R.VECTOR_HEADROOM, mode)
-    met = hits.join(chunks.select("chunk_id", key), "chunk_id").join(events, key)
+    hits = cut(hits)  # a few rows: what led to them is not done again for the gates and the neighbours
+    met = hits.join(F.broadcast(chunks.join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi").select("chunk_id", key)), "chunk_id")
+    met = cut(events.join(F.broadcast(met), key))
     met = E.best_chunk(met, key, "rank", "chunk_id")
     kept = E.collapse_repeats(E.usable(met, own_only), F.coalesce(F.sha2("content", 256), F.col(key).cast("string")), "rank", key)
     if not (scoped or R.identifier_terms(question)):
         kept = E.gates(kept)
     order = Window.partitionBy(F.lit(1)).orderBy("rank", key)
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    best = cut(kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k))
     if not asks_around(question):
         return best
     near = E.neighbours(best.where("rank = 1"), events.join(best.select(key), key, "left_anti"), key=key)

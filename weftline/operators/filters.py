@@ -94,9 +94,9 @@ def apply_filter(events: DataFrame, wanted: EventFilter, key: str = "record_id",
     if wanted.entities:
         kept = kept.join(links.where(F.col("entity_key").isin(*wanted.entities)).select(key), key, "left_semi")
     shown = links.where(F.col("role") == "shows").select(key, "entity_key") if wanted.appearing else None
-    for name in wanted.appearing:
-        hashed = kept if "content_hash" in kept.columns else kept.withColumn("content_hash", X.content_hash(F.col("content")))
-        kept = with_appearing(hashed, appearing(chunks, name), shown, key).select(kept.columns)
+    for name in wanted.appearing:  # the other event that shows an image may lie outside the filter
+        hashed = events.withColumn("content_hash", X.content_hash(F.col("content")))
+        kept = kept.join(with_appearing(hashed, appearing(chunks, name), shown, key).select(key), key, "left_semi")
     return P.by_people(kept, list(wanted.people), wanted.direction, key) if wanted.people else kept
 
 

@@ -73,13 +73,6 @@ def f9_resolve_person(spark, sf_dir):
     return spark.createDataFrame(list(found.items()), "name string, found string")
 
 
-@query()
-def f11_appearing(spark, sf_dir):
-    events = records(spark, sf_dir)
-    texts = E.appearing(R.text_chunks(events), "roteiro de carga")
-    return E.with_appearing(events.withColumn("content_hash", X.content_hash(F.col("content"))), texts, graph.shown_images(events)).select("record_id")
-
-
 @query(f"SELECT record_id FROM records r WHERE regexp_matches(coalesce({S.meta('attachment')}, {S.meta('path')}, ''), '(?i)\\.(png|jpe?g|webp|pdf)$')")
 def f12_modality(spark, sf_dir):
     path = F.coalesce(V.meta("attachment"), V.meta("path"), F.lit(""))
@@ -105,7 +98,10 @@ _SAID = f"(CASE WHEN starts_with({S.headline('content')}, coalesce({S.meta('send
 _CHATTER = "[" + ", ".join(f"'{w}'" for w in E.CHATTER) + "]"
 
 
-@query(f"SELECT record_id FROM records r WHERE source = 'teams' AND len(list_filter({S.tokens(_SAID)}, lambda w: NOT list_contains({_CHATTER}, w))) = 0")
+_IS_CHATTER = f"source = 'teams' AND len(list_filter({S.tokens(_SAID)}, lambda w: NOT list_contains({_CHATTER}, w))) = 0"
+
+
+@query(f"SELECT record_id FROM records r WHERE {_IS_CHATTER}")
 def f18_chatter(spark, sf_dir):
     return records(spark, sf_dir).where(E.is_chatter()).select("record_id")
 
@@ -150,11 +146,16 @@ def s_name_from_email(spark, sf_dir):
     return records(spark, sf_dir).where(V.meta("email").isNotNull()).select("record_id", X.name_from_email(V.meta("email")).alias("name"))
 
 
-@query("""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(t, '(?:ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})', '[redacted:github-token]', 'g'), 'AKIA[0-9A-Z]{16}', '[redacted:aws-key]', 'g'), 'xox[bp]-[A-Za-z0-9-]{10,}', '[redacted:slack-token]', 'g') AS content
-FROM (SELECT record_id, content || ' ghp_' || md5(content) || ' AKIA' || upper(substr(md5(content), 1, 16)) || ' xoxb-' || substr(md5(content), 1, 12) AS t FROM records)""")
+_KEY = "-----BEGIN RSA PRIVATE KEY-----"
+
+
+@query("""SELECT record_id, t || ' [redacted:github-token] [redacted:gitlab-token] [redacted:aws-key] [redacted:slack-token] [redacted:jwt] [redacted:private-key]' || chr(12) || ' e [redacted:private-key]' || chr(12) || chr(12) || ' fim' AS content FROM (SELECT record_id, coalesce(content, '') AS t FROM records)""")
 def s_redact(spark, sf_dir):
-    digest = F.md5(F.col("content").cast("binary"))
-    text = F.concat("content", F.lit(" ghp_"), digest, F.lit(" AKIA"), F.upper(F.substring(digest, 1, 16)), F.lit(" xoxb-"), F.substring(digest, 1, 12))
+    """Every kind of credential behind each content, made of its digest; keys over two and three pages."""
+    digest = F.md5(F.coalesce("content", F.lit("")).cast("binary"))
+    key = lambda pages: F.concat(F.lit(_KEY), F.array_join(F.array(*([digest] * pages)), "\f"), F.lit(_KEY.replace("BEGIN", "END")))
+    secrets = (F.concat(F.lit("ghp_"), digest), F.concat(F.lit("glpat-"), digest), F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16))), F.concat(F.lit("xoxb-"), digest), F.concat(F.lit("eyJ"), digest, F.lit(".eyJ"), digest, F.lit("."), digest), key(2))
+    text = F.concat_ws(" ", F.coalesce("content", F.lit("")), *secrets, F.lit("e"), key(3), F.lit("fim"))
     return records(spark, sf_dir).select("record_id", X.redact_credentials(text).alias("content"))
 
 
@@ -183,17 +184,12 @@ def a2_text_dates(spark, sf_dir):
     return R.chunk_dates(records(spark, sf_dir)).select("source", "content_hash", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "n_events")
 
 
-@query()
-def j1_chunks_of_events(spark, sf_dir):
-    events = records(spark, sf_dir)
-    chunks = R.text_chunks(events).select("source", "content_hash", "ordinal", "start", "end", "page")
-    return events.select("record_id", "source", X.content_hash(F.col("content")).alias("content_hash")).join(chunks, ["source", "content_hash"]).drop("content_hash")
-
-
-@query("SELECT a.record_id, b.path FROM (SELECT record_id, regexp_extract(r.metadata['path'], '[^/]*$') AS base FROM records r WHERE source = 'file') a JOIN (SELECT DISTINCT r.metadata['path'] AS path FROM records r WHERE source = 'file') b ON ends_with(b.path, '/' || a.base) OR b.path = a.base")
+@query("SELECT a.record_id, b.path FROM (SELECT record_id, CASE WHEN record_id % 2 = 0 THEN regexp_extract(r.metadata['path'], '[^/]*/[^/]*$') ELSE regexp_extract(r.metadata['path'], '[^/]*$') END AS tail FROM records r WHERE source = 'file' AND r.metadata['path'] IS NOT NULL) a JOIN (SELECT DISTINCT r.metadata['path'] AS path FROM records r WHERE source = 'file') b ON ends_with(b.path, '/' || a.tail) OR b.path = a.tail WHERE regexp_matches(a.tail, '\\S')")
 def j9_suffix_join(spark, sf_dir):
+    """Attachments named by a file's name, or by its folder and name."""
     events = records(spark, sf_dir).where("source = 'file'")
-    attached = events.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("attachment"), X.basename(V.meta("path")))))
+    tail = F.when(F.col("record_id") % 2 == 0, F.regexp_extract(V.meta("path"), "[^/]*/[^/]*$", 0)).otherwise(X.basename(V.meta("path")))
+    attached = events.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("attachment"), tail)))
     return graph.attachment_links(attached)
 
 
@@ -290,18 +286,15 @@ def i9_authorship(spark, sf_dir):
     return people.with_authorship(records(spark, sf_dir), ["Natalia.Criricridro@norvexa.example"]).select("record_id", V.meta("authorship").alias("authorship"))
 
 
-@query()
-def k1_export(spark, sf_dir):
-    events = records(spark, sf_dir)
-    links = graph.entity_links(events)
-    return export.denormalised(events.select("record_id", "uid", "source", "content"), people.people_index(events), links, graph.changed_relations(links))
-
-
 @query("SELECT record_id FROM records WHERE record_id > 100 ORDER BY record_id LIMIT 50")
 def k2_page(spark, sf_dir):
     return export.page(records(spark, sf_dir).select("record_id"), 100, 50)[0]
 
 
-@query("SELECT source, n FROM (VALUES ('git', 1000), ('teams', 1000), ('browser', 1000)) t(source, n)")
+@query("SELECT source, 1000::INT AS n, 1000::INT AS n_uids, true AS known, true AS again FROM (VALUES ('git'), ('teams'), ('browser')) t(source)")
 def s27_distractors(spark, sf_dir):
-    return V.distractors(spark, 3000).groupBy("source").agg(F.count("*").cast("int").alias("n"))
+    """Made-up events: as many of each source, all different, within their half year, and the same when made again."""
+    made = V.distractors(spark, 3000)
+    us = F.unix_micros("occurred_at") - 1_700_000_000_000_000
+    told = made.join(V.distractors(spark, 3000).select("uid", F.col("content").alias("other")), "uid")
+    return told.groupBy("source").agg(F.count("*").cast("int").alias("n"), F.count_distinct("uid").cast("int").alias("n_uids"), F.every((us >= 0) & (us < 180 * 86_400_000_000)).alias("known"), F.every(F.col("content") == F.col("other")).alias("again"))
\ No newline at end of file
