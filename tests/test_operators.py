@@ -57,6 +57,33 @@ def test_stream_equals_batch(spark, tmp_path):
     before = store.versions()
     store.merge(store.read(), before[-1], store.read().select("uid"))  # a batch that runs again does nothing
     assert store.versions() == before
+    # only the shares of the last two versions are kept, and a batch writes only its own
+    store.merge(events(spark, ("u1", "file", "novo", {"revision": "999"})), before[-1] + 1, store.read().select("uid").limit(0))
+    assert {r["uid"]: r["content"] for r in store.read().collect()}["u1"] == "novo" and len(list((tmp_path / "table" / f"v{before[-1] + 1}").glob("share=*"))) == 1
+    assert not (tmp_path / "table" / f"v{before[0]}").exists() or not list((tmp_path / "table" / f"v{before[0]}").glob("share=*"))
+
+
+def test_equal_rows_of_a_batch_are_one_event(spark, tmp_path):
+    rows = events(spark, ("u", "file", "a", {}), ("u", "file", "a", {}), ("u", "file", "b", {"revision": "1"}), ("w", "git", None, None))
+    store = EventTable(spark, str(tmp_path / "table"), rows.schema, shares=3)
+    store.merge(rows, 0, rows.select("uid").limit(0))
+    assert sorted((r["uid"], r["content"]) for r in store.read().collect()) == [("u", "b"), ("w", None)]
+
+
+def test_windowed_counts_drop_what_is_late(spark, tmp_path):
+    from weftline.streaming.ingest import windowed_counts
+
+    at = lambda m: datetime(2030, 1, 1, 0, m, tzinfo=UTC)
+    for i, minutes in enumerate([(0, 1, 6), (40,), (41,), (2, 44), (59,)]):
+        spark.createDataFrame([(at(m), "x") for m in minutes], "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = {}
+
+    def keep(batch, _):
+        found.update({r["start"].minute: r["n"] for r in batch.collect()})
+
+    windowed_counts(stream, "ts", "10 minutes", "5 minutes", "kind").writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert found[0] == 2 and found[5] == 1 and found[40] == 3  # the one at minute 2 came too late
 
 
 def test_mapping_with_lookup_wildcards_and_conditions(spark):
@@ -142,6 +169,61 @@ def test_nearest_and_as_of_against_brute_force(spark):
         assert carried[i] == (best and best[1])
 
 
+def test_neighbours_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, datetime.fromtimestamp(1_700_000_000 + 600 * rng.randrange(300), UTC)) for i in range(250)] + [(1000 + i, datetime.fromtimestamp(1_700_000_000, UTC)) for i in range(30)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "record_id long, occurred_at timestamp")
+    found = {}
+    for r in evidence.neighbours(df.where("record_id % 7 = 0"), df, minutes=60, most=3).collect():
+        found.setdefault(r["anchor"], []).append((r["rank"], r["record_id"]))
+    for i, at in rows:
+        if i % 7 == 0 and at:
+            near = sorted((abs((t - at).total_seconds()), j) for j, t in rows if t and j != i and -3600 <= (t - at).total_seconds() < 3600)[:3]
+            assert [j for _, j in sorted(found.get(i, []))] == [j for _, j in near]
+
+
+def test_chat_records_without_a_known_store_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    from weftline.sources import teams
+
+    rows = spark.createDataFrame([("indexeddb", "o", "Other:x", "things", 1, "{}")], "kind string, origin string, namespace string, container string, seq long, body string").withColumn("value", F.parse_json("body")).drop("body")
+    with pytest.raises(PySparkException, match="no store"):
+        teams.check(rows).collect()
+    assert teams.check(rows.limit(0)).first()["records"] == 0 and teams.from_teams(rows).count() == 0
+    strange = rows.withColumn("namespace", F.lit(teams.CHAINS[0] + "x")).withColumn("container", F.lit(teams.CHAINS[1])).withColumn("value", F.parse_json(F.lit('{"messageMap":{"1":{"what":1}}}')))
+    with pytest.raises(PySparkException, match="no message"):
+        teams.check(strange).collect()
+
+
+def test_pictures_are_described_in_the_text(spark):
+    from weftline.sources import teams
+
+    told = events(spark, ("u", "teams", "oi", {"image_urls": "a\nb\nc"}), ("w", "teams", "sem", {"x": "1"}))
+    captions = spark.createDataFrame([("b", "sha-b", "um gráfico"), ("a", "sha-a", " ")], "url string, sha256 string, description string")
+    found = {r["uid"]: r for r in teams.with_captions(told, captions).collect()}
+    assert found["u"]["content"] == "oi\num gráfico" and found["u"]["metadata"]["image_sha256"] == "sha-a" and found["w"]["content"] == "sem"
+
+
+def test_histories_are_told_apart_by_their_columns(spark):
+    urls = spark.createDataFrame([(1, "https://q.test/", "T")], "id long, url string, title string")
+    fox = V.from_browser(spark.createDataFrame([(1, 5_000_000)], "url_id long, visit_date long"), urls).first()
+    assert fox["metadata"]["browser"] == "firefox" and fox["occurred_at"].timestamp() == 5
+    with pytest.raises(ValueError, match="no known history"):
+        V.from_browser(urls.withColumn("url_id", F.col("id")), urls)
+
+
+def test_retried_numbers_and_odd_paths(spark):
+    value = spark.range(1).select(F.parse_json(F.lit('{"a":{"x.y":1,"it\'s":2},"n":[null,{"k":"v"}],"t":"true","f":1e-7}')).alias("v"))
+    read = lambda path: value.select(mapping.scalar(F.col("v"), path).alias("s")).first()["s"]
+    assert read("$.n[].k") == "v" and read("$.a.it's") == "2" and read("$.f") == "0.0000001" and read("$.none[].k") == "" and read("$.t") == "true"
+    for bad in ("a", "$.", "$a", "$.<id", "$[0]"):
+        with pytest.raises(ValueError):
+            mapping.parse_path(bad)
+
+
 def test_graph_reaches_three_hops(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
     found = graph.reachable(edges, spark.createDataFrame([(0,)], "node long"))
