@@ -65,3 +65,10 @@ def test_whole_data(spark, data):
 def test_text_without_borders(n):
     (found,) = pieces(["é" * n], 1200, 120)
     assert found[-1][1] == 2 * n and all(e - s <= 1200 for s, e, _ in found)
+
+
+def test_texts_of_blanks_alone_are_cut_whole():
+    found = pieces([" " * 5000, "\n" * 3000, " " * 100 + "\f" + " " * 2000], 1200, 120)
+    for text, spans in zip((" " * 5000, "\n" * 3000, " " * 100 + "\f" + " " * 2000), found):
+        covered = {i for start, end, _ in spans for i in range(start, end)}
+        assert covered == {i for i, c in enumerate(text) if c != "\f"} and all(end - start <= 1200 for start, end, _ in spans)

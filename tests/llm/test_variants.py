@@ -138,3 +138,29 @@ def test_similar_tokens_against_brute_force(spark):
     found = {(r["token"], r["other"]) for r in variants.similar_tokens(tokens).collect()}
     assert found <= wanted and len(found) >= 0.95 * len(wanted)
     assert found == {(r["token"], r["other"]) for r in variants.similar_tokens(tokens, bucket=2).collect()}
+
+
+def test_short_forms_are_learned_from_surnames_of_one_person(spark):
+    part = lambda token, given, written: ("person", [{"token": token, "given": given, "written": written}])
+    rows = [part(f"s{i}", "francisco", "full") for i in range(9)] + [part(f"s{i}", "kiko", "nick") for i in range(6)]  # nothing alike, but often
+    rows += [part("t1", "beatriz", "full"), part("t2", "beatriz", "full"), part("t1", "bea", "short"), part("t2", "bea", "short")]
+    rows += [part("u1", "bruno", "full"), part("u1", "bruna", "full"), part("u1", "bru", "short"), part("u2", "bruno", "full"), part("u3", "bruna", "full"), part("u2", "bru", "short"), part("u3", "bru", "short")]  # could be either
+    named = spark.createDataFrame(rows, "kind string, parts array<struct<token:string,given:string,written:string>>")
+    assert variants.short_forms(named) == {"kiko": "francisco", "bea": "beatriz"}
+    assert variants.short_forms(named.limit(0)) == {}
+    known = people.Lexicon({"francisco", "erica"}, {"francisco", "erica"})
+    known.shorts = {"kiko": "francisco"}
+    assert known.parse("Kiko Zubrevi") == people.Parsed("person", "francisco", "short", ("zubrevi",))
+
+
+def test_typing_errors_in_given_names_against_brute_force():
+    import random
+
+    rng = random.Random(4)
+    givens = {"".join(rng.choice("abeinor") for _ in range(rng.randrange(3, 7))) for _ in range(60)}
+    known = people.Lexicon(givens, givens)
+    for _ in range(500):
+        token = "".join(rng.choice("abeinor") for _ in range(rng.randrange(3, 8)))
+        close = [g for g in givens if len(g) >= 4 and people.near(token, g) == 1]
+        wanted = token if token in givens else close[0] if len(token) >= 4 and len(close) == 1 else ""
+        assert known.typed(token) == wanted

@@ -22,8 +22,8 @@ LEGAL = {"ltda", "ltd", "sa", "eireli", "me", "epp", "inc", "cia", "grupo", "gro
 BUSINESS = ("alimentos", "comercio", "construtora", "consultoria", "engenharia", "industria", "logistica", "servicos", "sistemas", "solucoes", "tecnologia", "transportes")
 #: A token is common (a given name, a middle name, a word) if it stands beside so many different tokens at least.
 COMMON = 9
-#: The most common tokens that may be sent to executors; more are an error.
-LEXICON_ROWS = 50_000
+#: The most common tokens that may be sent to executors (some 20 bytes each); more than any language has, and an error beyond.
+LEXICON_ROWS = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = {"Cf", "So", "Sk", "Sm", "Mn", "Me", "Cs", "Co", "Cn"}
@@ -89,6 +89,11 @@ def near(a: str, b: str) -> int:
     return min(3, one[-1])
 
 
+def _shortened(token: str) -> set[str]:
+    """A token, and what is left of it without any one of its letters."""
+    return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}
+
+
 def is_short_form(token: str, given: str) -> bool:
     """Whether a token is a diminutive of a given name, or some of its letters in order (Thi, Cela, Digo)."""
     if token == given or len(token) < 2:
@@ -118,10 +123,10 @@ class Lexicon:
     def __init__(self, givens: set[str], common: set[str], surnames: set[str] = frozenset()):
         self.givens, self.surnames = givens, surnames - givens
         self.common = (common | givens) - self.surnames
-        self._by_start: dict[str, list[str]] = {}
-        for given in givens:
-            self._by_start.setdefault(given[0], []).append(given)
+        self.shorts: dict[str, str] = {}  # short forms that the corpus itself shows, by what they are short for
         self._typed: dict[str, str] = {}
+        self._short: dict[str, bool] = {}
+        self._cut: dict[str, list[str]] = {}
 
     def typed(self, token: str) -> str:
         """The given name that a token is, or is within one typing error of; empty if none or several."""
@@ -131,10 +136,20 @@ class Lexicon:
             return ""
         known = self._typed.get(token)
         if known is None:
-            close = [g for g in self.givens if abs(len(g) - len(token)) <= 1 and len(g) >= 4 and near(token, g) == 1]
+            if not self._cut:  # names an error away have a form in common with one letter left out of either or both
+                for given in self.givens:
+                    for form in _shortened(given) if len(given) >= 4 else ():
+                        self._cut.setdefault(form, []).append(given)
+            close = [g for g in {g for form in _shortened(token) for g in self._cut.get(form, ())} if near(token, g) == 1]
             known = self._typed[token] = close[0] if len(close) == 1 else ""
         return known
 
+    def short(self, token: str) -> bool:
+        """Whether a token is a short form of any given name."""
+        if token not in self._short:
+            self._short[token] = any(is_short_form(token, g) for g in self.givens)
+        return self._short[token]
+
     def parse(self, name: str) -> Parsed | None:
         """None for names of nobody: placeholders, blanks, given names alone."""
         tokens = words(name)
@@ -149,17 +164,23 @@ class Lexicon:
             if any(is_business(t) for t in tokens):
                 rare = tuple(t for t in tokens if not is_business(t) and len(t) > 2)
                 return Parsed("business", "", "", rare) if rare else None
+            learned = next((t for t in tokens if t in self.shorts), "")
+            rest = tuple(t for t in tokens if t != learned and len(t) > 2 and t not in self.common)
+            if learned and rest:
+                return Parsed("person", self.shorts[learned], "short", rest)
             typed = next((t for t in tokens if self.typed(t)), "")
             if typed:
                 rest = tuple(t for t in tokens if t != typed and len(t) > 2 and t not in self.common)
                 return Parsed("person", self.typed(typed), "typed", rest or tuple(t for t in tokens if t != typed and len(t) > 2)) if len(tokens) > 1 else None
-            short = next((t for t in tokens if 1 < len(t) <= 9 and any(is_short_form(t, g) for g in self.givens)), "")
+            short = next((t for t in tokens if 1 < len(t) <= 9 and self.short(t)), "")
             if short:
                 rare = tuple(t for t in tokens if t != short and len(t) > 2 and t not in self.common)
                 if rare:
                     return Parsed("person", short, "short", rare)
             initial = next((t for t in tokens if len(t) == 1), "")
             rare = tuple(t for t in tokens if len(t) > 2 and t not in self.common)
+            if len(rare) == 1 and len(tokens) == 2 and not initial and len(tokens[0]) == 2:
+                return Parsed("person", tokens[0], "short", rare)  # two letters before a surname stand for a name
             return Parsed("person", initial, "initial" if initial else "", rare) if rare else None
         rest = tuple(t for t in tokens if t != given and len(t) > 2 and t not in self.common) or tuple(t for t in tokens if t != given and len(t) > 2)
         return Parsed("person", given, "full", rest) if rest else None

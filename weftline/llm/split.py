@@ -89,14 +89,15 @@ def starts_of_all(first: np.ndarray, succ: np.ndarray) -> np.ndarray:
 
 
 def split_group(texts: list[bytes], limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start, end and page of every piece of some texts. Blank pages have none; a blank text has one."""
+    """Text number, start, end and page of every piece of some texts. Blank pages have none, but in a text of blanks alone."""
     raw = np.frombuffer(b"\f".join(texts) + b"\f", dtype=np.uint8)  # each text and each page ends with a form feed
     feeds = np.flatnonzero(raw == 12).astype(np.int32)
     base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int32)
     begins = np.concatenate([[0], feeds[:-1] + 1]).astype(np.int32)
     inked = np.concatenate([[0], np.cumsum(~SPACES[raw])])
     of_page = np.searchsorted(base, begins, side="right") - 1
-    full = (feeds > begins) & (inked[feeds] > inked[begins])
+    unwritten = inked[base[1:] - 1] == inked[base[:-1]]  # texts of blanks alone are cut like any other
+    full = (feeds > begins) & ((inked[feeds] > inked[begins]) | unwritten[of_page])
     ends = feeds[np.searchsorted(feeds, np.arange(len(raw), dtype=np.int32))]
     end, succ = successors(raw, ends, limit, overlap)
     marked = np.flatnonzero(starts_of_all(begins[full], succ)).astype(np.int32) if full.any() else np.zeros(0, np.int32)
@@ -139,7 +140,7 @@ def split_oversized(df: DataFrame, text: str = "content", limit: int = LIMIT, ov
     """The rows of `df` whose text is longer than `limit` bytes of UTF-8, with their `pieces`. No shuffle.
 
     Null, empty and short texts have no row: they need no cutting. Ties and repeated rows are cut alike and kept. Very
-    long texts are cut whole. A text of blanks and form feeds has one piece, cut at the limit. An empty table gives an
+    long texts are cut whole. A text of blanks alone is cut like any other; one of form feeds alone has one piece, cut at the limit. An empty table gives an
     empty table. Columns `n_bytes` and `pieces` of the input, if any, are replaced; other columns are untouched.
     """
     long = df.withColumn("n_bytes", F.octet_length(F.col(text))).where(F.col("n_bytes") > limit)

@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,8 +161,24 @@ class Vocabulary(dict):
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary per Python worker and path."""
-    return Vocabulary(path)
+    """One vocabulary per Python worker and path: the file that came with the job, or the one at the path itself."""
+    try:
+        sent = SparkFiles.get(os.path.basename(path))
+    except AssertionError:  # no session: the function is used by itself
+        sent = path
+    return Vocabulary(sent if os.path.exists(sent) else path)
+
+
+_SENT: set[tuple[str, str]] = set()
+
+
+def _sent(path: str) -> str:
+    """The path of a vocabulary, once its file is on its way to all executors: they need no folder in common with the driver."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and (spark.sparkContext.applicationId, path) not in _SENT:
+        spark.sparkContext.addFile(path)
+        _SENT.add((spark.sparkContext.applicationId, path))
+    return path
 
 
 def _ids(texts: pa.Array, path: str) -> pa.Array:
@@ -177,12 +195,12 @@ def _count(texts: pa.Array, path: str) -> pa.Array:
 
 def token_ids(text: Column | str, path: str | None = None) -> Column:
     """ARRAY<INT> of the text's ids, without special tokens. A null or empty text gives an empty array, never null."""
-    return arrow_column(functools.partial(_ids, path=path or vocabulary_path()), T.ArrayType(T.IntegerType()), text)
+    return arrow_column(functools.partial(_ids, path=_sent(path or vocabulary_path())), T.ArrayType(T.IntegerType()), text)
 
 
 def token_count(text: Column | str, path: str | None = None) -> Column:
     """BIGINT number of ids of a text; 0 where the text is null or empty."""
-    return arrow_column(functools.partial(_count, path=path or vocabulary_path()), T.LongType(), text)
+    return arrow_column(functools.partial(_count, path=_sent(path or vocabulary_path())), T.LongType(), text)
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:

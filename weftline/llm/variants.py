@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.arrow import arrow_column
-from weftline.llm.people import Lexicon, is_short_form, learn, lexicon, near, words
+from weftline.llm.people import LEXICON_ROWS, Lexicon, is_short_form, learn, lexicon, near, words
 from weftline.plans.lineage import cut
 from weftline.sources.tables import table
 
@@ -39,6 +39,8 @@ from weftline.sources.tables import table
 Q, RECALL, ROWS = 2, 0.95, 4
 #: Typing errors accepted in tokens of so many letters at least.
 ACCEPTED = {1: 5, 2: 7}
+#: Surnames that must show what a word is short for, and the share of them that must agree.
+SHORT_SEEN, SHORT_SHARE = 2, 0.95
 #: Tokens of a bucket, and of a block of it, that meet each other at once.
 BUCKET = 256
 #: How well a name is written, best first.
@@ -223,16 +225,42 @@ def satellites(edges: DataFrame) -> DataFrame:
     return edges.select("node").limit(0) if found is None else found
 
 
+def _parsed(names: DataFrame, words_known: Lexicon) -> DataFrame:
+    """Names that may name somebody, taken apart; written once."""
+    known = names.sparkSession.sparkContext.broadcast(words_known)
+    parse = arrow_column(functools.partial(_parse, known=known), PARSED, "name")
+    named = names.where(~F.col("titled") | ~F.col("name").rlike("[0-9]")).withColumn("p", parse).where("p is not null")
+    return cut(named.select("name", "n", "titled", "p.*"))
+
+
+def short_forms(named: DataFrame) -> dict[str, str]:
+    """Short forms of given names, by the given name, as the corpus shows them.
+
+    A surname that one given name alone stands before tells what an unknown or shortened word before it is short for. A word is
+    learned where several surnames agree, and nearly all that know it; more of them if the two do not look alike. What comes to the driver is
+    one row a word that is learned, at most LEXICON_ROWS.
+    """
+    parts = named.where("kind = 'person'").select(F.explode("parts").alias("p")).select("p.token", "p.given", "p.written").distinct()
+    sole = parts.where("written = 'full'").groupBy("token").agg(F.min("given").alias("full"), F.max("given").alias("last")).where("full = last").select("token", "full")
+    told = parts.where("written in ('nick', 'short') and length(given) between 2 and 9").join(sole, "token")
+    alike = F.contains("full", F.substring("given", 1, 2)) | (F.col("given").substr(-2, 2) == F.col("full").substr(-2, 2))
+    counts = told.groupBy("given", "full").agg(F.count_distinct("token").alias("n")).groupBy("given").agg(F.max_by("full", F.struct("n", "full")).alias("full"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    enough = F.col("n") >= F.when(alike, SHORT_SEEN).otherwise(3 * SHORT_SEEN)
+    rows = counts.where(enough & (F.col("n") >= SHORT_SHARE * F.col("all")) & (F.col("given") != F.col("full"))).limit(LEXICON_ROWS + 1).collect()
+    if len(rows) > LEXICON_ROWS:
+        raise ValueError(f"more than {LEXICON_ROWS} short forms of given names")
+    return {r["given"]: r["full"] for r in rows}
+
+
 def clusters(names: DataFrame) -> DataFrame:
     """name, entity of distinct `names` (name, n rows, titled: it stands only as a conversation's, single: as one mentioned).
 
     Placeholders, blanks, titles of conversations and given names alone have no row.
     """
     common, _ = learn(names.where("not titled").select("name"), names.where("single").select("name"))
-    known = names.sparkSession.sparkContext.broadcast(lexicon(common))
-    parse = arrow_column(functools.partial(_parse, known=known), PARSED, "name")
-    named = names.where(~F.col("titled") | ~F.col("name").rlike("[0-9]")).withColumn("p", parse).where("p is not null")
-    named = cut(named.select("name", "n", "titled", "p.*"))
+    words_known = lexicon(common)
+    words_known.shorts = short_forms(_parsed(names, words_known))
+    named = _parsed(names, words_known)
     nodes = named.groupBy("node").agg(
         F.first("kind").alias("kind"), F.max("quality").alias("quality"), F.count_distinct("spelling").alias("spellings"), F.sum("n").alias("n"), F.min("titled").alias("titled"),
     )
