@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.operators.people import AUTHOR, MENTIONED, SENDER, people_index
 from weftline.plans.lineage import cut
-from weftline.plans.sizes import small_side
+from weftline.plans.sizes import BROADCAST_ROWS
 from weftline.sources.events import FILE, GIT, filled, meta
 
 PERSON, FILE_ENTITY, IMAGE = "person", "file", "image"
@@ -54,14 +54,20 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int = MOST_HOPS) -> Data
     One join a hop over the frontier alone; nodes known already are left out, so hot nodes are entered once. Each frontier is
     written, so no hop is computed again for the next one, and a small one is sent to the edges instead of moving them.
     """
-    edges = cut(edges.select("a", "b").distinct())
-    known = frontier = cut(start.select(F.col("node"), F.lit(0).alias("hops")).distinct())
+    edges = cut(edges.select("a", "b"))
+    known = frontier = start.select(F.col("node"), F.lit(0).alias("hops")).distinct()
+    size = frontier.limit(BROADCAST_ROWS + 1).count()
+    sent = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    total = size
     for hop in range(1, min(hops, MOST_HOPS) + 1):
-        there = small_side(frontier.select("node"))
+        there = sent(frontier.select("node"), size)
         ahead = edges.join(there.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node"))
         back = edges.join(there.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node"))
-        frontier = cut(ahead.unionByName(back).distinct().join(small_side(known.select("node")), "node", "left_anti").withColumn("hops", F.lit(hop)))
-        known = known.unionByName(frontier)
+        frontier = cut(ahead.unionByName(back).distinct().join(sent(known.select("node"), total), "node", "left_anti").withColumn("hops", F.lit(hop)))
+        size = frontier.count()
+        if not size:
+            break
+        known, total = known.unionByName(frontier), total + size
     return known
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,8 +118,8 @@ def postings(texts: DataFrame, key: str, text: str = "text", terms: list[str] |
     return spots.groupBy("term", key, "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")), corpus
 
 
-#: Folders of a stored index: a search reads those of its own terms alone.
-INDEX_FOLDERS = 64
+#: Texts for each folder of a stored index, and the fewest and most folders.
+TEXTS_A_FOLDER, FOLDERS = 5_000, (4, 4_096)
 
 
 class KeywordIndex:
@@ -126,29 +127,37 @@ class KeywordIndex:
 
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path, key
+        self._corpus = spark.read.parquet(f"{path}/corpus")
+        self.folders: int = self._corpus.select("folders").first()[0]
 
     @classmethod
     def build(cls, texts: DataFrame, path: str, key: str, text: str = "text") -> KeywordIndex:
         """An index of all words of some texts, written once."""
         index, corpus = postings(texts, key, text)
-        folder = F.pmod(F.xxhash64("term"), F.lit(INDEX_FOLDERS)).cast("int")
+        folders = F.greatest(F.lit(FOLDERS[0]), F.least(F.lit(FOLDERS[1]), F.ceil(F.col("n") / TEXTS_A_FOLDER))).cast("int")
+        corpus.withColumn("folders", folders).write.mode("overwrite").parquet(f"{path}/corpus")
+        count = texts.sparkSession.read.parquet(f"{path}/corpus").first()["folders"]
+        folder = F.pmod(F.xxhash64("term"), F.lit(count)).cast("int")
         # a hot term's postings are spread over several files of its folder
         spread = index.withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("folder", "term")
         spread.write.mode("overwrite").partitionBy("folder").option("compression", "zstd").parquet(f"{path}/postings")
-        corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         return cls(texts.sparkSession, path, key)
 
     def corpus(self) -> DataFrame:
         """One row: n, mean."""
-        return self.spark.read.parquet(f"{self.path}/corpus")
+        return self._corpus.select("n", "mean")
+
+    def _folder(self, term: str) -> int:
+        """Where a term's postings are, as `xxhash64` puts them there."""
+        number = xxhash.xxh64_intdigest(term.encode(), 42)
+        return (number - (1 << 64) if number >> 63 else number) % self.folders
 
     def postings(self, terms: list[str]) -> DataFrame:
         """Postings of the terms; a term that ends in * may stand in any folder."""
         held = self.spark.read.parquet(f"{self.path}/postings")
         wanted = functools.reduce(lambda a, b: a | b, (F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t for t in terms), F.lit(False))
         if not any(t.endswith("*") for t in terms):
-            folders = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(INDEX_FOLDERS)).cast("int") for t in terms)).first() if terms else ()
-            held = held.where(F.col("folder").isin(*set(folders)))
+            held = held.where(F.col("folder").isin(*{self._folder(t) for t in terms}))
         return held.where(wanted).drop("folder")
 
 
