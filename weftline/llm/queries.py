@@ -11,6 +11,7 @@ QUERIES = {
     "p2_variants": variants.p2_variants,
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
+    "p4_cover": split.p4_cover,
     "p5_found": personal.p5_found,
     "p5_redacted": personal.p5_redacted,
     "p6_ids": tokenize.p6_ids,
@@ -22,4 +23,5 @@ QUERIES = {
 
 SQL = {
     "p4_found": "SELECT record_id FROM records WHERE strlen(content) > 1200",
+    "p4_cover": "SELECT record_id, true AS whole, true AS small, true AS paged FROM records WHERE strlen(content) > 1200",
 }

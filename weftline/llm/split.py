@@ -166,3 +166,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = explode_pieces(split_oversized(table(spark, sf_dir, "records").select("record_id", "content")))
     return pieces.select("record_id", "ordinal", "page", "start", "end", "piece")
+
+
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each oversized content: whether its pieces, overlaps left out, hold all of it but blanks; all under the limit; none across a page."""
+    held = p4_pieces(spark, sf_dir).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start", "end", "piece"))).alias("p"))
+    seen = lambda p, i: F.when(i == 0, 0).otherwise(F.greatest(F.get("p", i - 1)["end"] - p["start"], F.lit(0)))
+    new = F.transform("p", lambda p, i: F.decode(F.substring(F.encode(p["piece"], "UTF-8"), seen(p, i) + 1, F.lit(1 << 30)), "UTF-8"))
+    bare = lambda text: F.regexp_replace(text, r"[ \t-\r]", "")
+    contents = table(spark, sf_dir, "records").select("record_id", "content")
+    met = held.join(contents, "record_id")
+    small = F.forall("p", lambda p: F.octet_length(p["piece"]) <= LIMIT)
+    return met.select("record_id", (bare(F.array_join(new, "")) == bare(F.col("content"))).alias("whole"), small.alias("small"), F.forall("p", lambda p: ~F.contains(p["piece"], F.lit("\f"))).alias("paged"))
