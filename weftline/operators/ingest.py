@@ -161,7 +161,8 @@ def shared_chunks(chunks: DataFrame, events: DataFrame, key: str = "record_id")
 def with_own_text(events: DataFrame) -> DataFrame:
     """Migration: messages get their own words as metadata `text`, where content is laid out exactly as it is today."""
     sender, told = F.try_element_at("metadata", F.lit("sender")), F.try_element_at("metadata", F.lit("text"))
-    body = F.substring_index("content", "\n", -2)
+    placed = filled(F.try_element_at("metadata", F.lit("conversation"))).isNotNull() | filled(F.try_element_at("metadata", F.lit("conversation_kind"))).isNotNull()
+    body = F.when(placed, F.substring_index("content", "\n", -2)).otherwise(F.substring_index("content", "\n", -1))  # lines below the words
     words = F.substring("content", F.length(sender) + 3, F.length("content") - F.length(body) - F.length(sender) - 3)
     laid_out = message_content(sender, words, F.try_element_at("metadata", F.lit("conversation")), F.try_element_at("metadata", F.lit("conversation_kind")), F.try_element_at("metadata", F.lit("sent_by_me")) == "true")
     recovered = (F.col("source") == TEAMS) & told.isNull() & (laid_out == F.col("content"))
