@@ -182,11 +182,31 @@ def s11_caption(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_key", told["description"].alias("description"), told["visible_text"].alias("visible_text"))
 
 
-@query("WITH f AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS sha FROM documents), k AS (SELECT DISTINCT sha256(coalesce(text, '')) AS sha FROM documents WHERE doc_id % 3 = 0), n AS (SELECT path, row_number() OVER (ORDER BY path) AS r FROM f WHERE sha NOT IN (SELECT sha FROM k)) SELECT f.path, CASE WHEN f.sha IN (SELECT sha FROM k) THEN 'reuse' WHEN n.r <= 50 THEN 'describe' ELSE 'pending' END AS action FROM f LEFT JOIN n ON n.path = f.path")
+@query("""WITH f AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS sha, coalesce(strlen(text), 0) AS size FROM documents WHERE doc_id % 10 <> 1 OR doc_id % 4 = 0), k AS (SELECT DISTINCT sha256(coalesce(text, '')) AS sha FROM documents WHERE doc_id % 3 = 0),
+n AS (SELECT path, row_number() OVER (ORDER BY path) AS r FROM f WHERE sha NOT IN (SELECT sha FROM k) AND size <= 900) SELECT f.path, CASE WHEN size > 900 THEN 'unreadable' WHEN f.sha IN (SELECT sha FROM k) THEN 'reuse' WHEN n.r <= 50 THEN 'describe' ELSE 'pending' END AS action FROM f LEFT JOIN n ON n.path = f.path""")
 def s9_image_plan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    """Images above a limit, stored already, known by their bytes, or new; every tenth is settled but where its file changed."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1).alias("revision"))
     known = docs.where("path % 3 = 0").select("sha256", F.lit("descrita").alias("description")).distinct()
-    return V.image_plan(docs, known, 50).select("path", "action")
+    stored = docs.where("path % 10 = 1").select("path", F.lit(1).alias("revision"), F.when(F.col("path") % 20 == 1, "described").otherwise("unreadable").alias("status"))
+    return V.image_plan(docs, known, 50, 900, stored).select("path", "action")
+
+
+@query("""WITH f AS (SELECT doc_id, coalesce(strlen(text), 0) AS size, 1 + doc_id % 7 AS n FROM documents WHERE doc_id % 11 <> 2 AND NOT (doc_id % 5 = 1 AND doc_id % 4 <> 0)),
+s AS (SELECT *, CASE WHEN size > 2000 OR n > 6 THEN 'unreadable' WHEN doc_id % 3 = 0 AND n > 1 THEN 'pending' ELSE 'read' END AS status FROM f)
+SELECT doc_id AS path, status, CASE WHEN status = 'unreadable' THEN 0 ELSE n END AS pages, CASE WHEN status = 'pending' THEN n - 1 ELSE 0 END AS pending_pages,
+md5(CASE WHEN status = 'unreadable' THEN '' ELSE array_to_string(list_transform(range(1, n + 1), lambda p: CASE WHEN doc_id % 3 = 0 AND p > 1 THEN '' ELSE 'p' || p END), chr(12)) END) AS text FROM s""")
+def s8_page_plan(spark, sf_dir):
+    """Documents of one to seven pages; in every third all pages but the first are scans; some are forgotten, some stored already."""
+    key = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), (key % 7 + 1).cast("int").alias("n"))
+    files = docs.select(key.alias("path"), F.concat(F.lit("u"), key.cast("string")).alias("uid"), "size", F.when(key % 4 == 0, 2).otherwise(1).alias("revision"))
+    each = docs.select(key.alias("path"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page"))
+    scanned = (F.col("path") % 3 == 0) & (F.col("page") > 1)
+    pages = each.select("path", "page", F.when(~scanned, F.concat(F.lit("p"), F.col("page").cast("string"))).alias("text"), scanned.alias("scanned"))
+    stored = files.where("path % 5 = 1").select("path", F.lit(1).alias("revision"), F.element_at(F.array(F.lit("read"), F.lit("unreadable"), F.lit("pending")), (F.col("path") % 3 + 1).cast("int")).alias("status"))
+    plan = V.page_plan(files, pages, stored, files.where("path % 11 = 2").select("uid"), 2000, 6)
+    return plan.select("path", "status", F.col("pages").cast("bigint"), F.col("pending_pages").cast("bigint"), F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("SELECT sum(2 + doc_id % 3)::BIGINT AS n FROM documents")

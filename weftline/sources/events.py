@@ -250,11 +250,41 @@ def caption(reply: Column) -> Column:
     return F.struct(F.when(labelled, part("description", "visible text:")).otherwise(F.trim(reply)).alias("description"), part("visible text", r"\z").alias("visible_text"))
 
 
-def image_plan(files: DataFrame, described: DataFrame, cap: int) -> DataFrame:
-    """Images with what to do: reuse a description of the same bytes, describe up to `cap` new ones in path order, leave the rest."""
-    known = files.join(described.select("sha256", "description"), "sha256", "left")
-    new = known.where("description is null").select("path").orderBy("path").limit(cap).withColumn("now", F.lit(True))
-    return known.join(new, "path", "left").select("path", "sha256", F.when(F.col("description").isNotNull(), "reuse").when(F.col("now"), "describe").otherwise("pending").alias("action"))
+def image_plan(files: DataFrame, described: DataFrame, cap: int, max_bytes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """path, sha256, action of images: `reuse` a description of the same bytes, `describe` up to `cap` new ones in path order, `pending`.
+
+    With `max_bytes`, images (size) above it are `unreadable`. With `stored` (path, revision, status), images (revision) stored
+    as they are and described or unreadable are left out, as no new reading could tell more.
+    """
+    if stored is not None:
+        settled = stored.where(F.col("status").isin("described", "unreadable")).select("path", "revision")
+        files = files.join(settled, ["path", "revision"], "left_anti")
+    large = F.col("size") > max_bytes if max_bytes is not None else F.lit(False)
+    known = files.withColumn("large", large).join(described.select("sha256", "description"), "sha256", "left")
+    new = known.where("description is null and not large").select("path").orderBy("path").limit(cap).withColumn("now", F.lit(True))
+    action = F.when(F.col("large"), "unreadable").when(F.col("description").isNotNull(), "reuse").when(F.col("now"), "describe").otherwise("pending")
+    return known.join(new, "path", "left").select("path", "sha256", action.alias("action"))
+
+
+def page_plan(files: DataFrame, pages: DataFrame, stored: DataFrame, forgotten: DataFrame, max_bytes: int, max_pages: int, describes: bool = False) -> DataFrame:
+    """path, status, pages, pending_pages, text of paged documents that are worth reading: `read`, `pending` or `unreadable`.
+
+    Files: path, uid, size, revision. Pages: path, page, text, scanned. Stored: path, revision, status. Forgotten uids are left out,
+    and so are files stored as they are, unless they wait for descriptions and somebody describes now. Files above a limit are
+    unreadable. The text is that of all pages, set apart by form feeds; scanned pages wait where nobody describes them.
+    """
+    final = stored.where(F.col("status").isin("read", "unreadable") | ((F.col("status") == "pending") & F.lit(not describes)))
+    open_files = files.join(forgotten.select("uid").distinct(), "uid", "left_anti").join(final.select("path", "revision"), ["path", "revision"], "left_anti")
+    counted = pages.groupBy("path").agg(F.count("*").alias("pages"), F.count_if("scanned").alias("scanned"))
+    met = open_files.select("path", "size").join(counted, "path", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
+    met = met.withColumn("status", F.when((F.col("size") > max_bytes) | (F.col("pages") > max_pages), "unreadable").when((F.col("scanned") > 0) & F.lit(not describes), "pending").otherwise("read"))
+    # only documents under the limit come together: at most `max_pages` pages each
+    told = pages.join(met.where("status <> 'unreadable'").select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
+    text = F.array_join(F.transform("p", lambda p: p["text"]), "\f")
+    readable = F.col("status") != "unreadable"
+    return met.join(told, "path", "left").select(
+        "path", "status", F.when(readable, F.col("pages")).otherwise(0).alias("pages"), F.when(F.col("status") == "pending", F.col("scanned")).otherwise(0).alias("pending_pages"), F.coalesce(text, F.lit("")).alias("text"),
+    )
 
 
 def distractors(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
