@@ -112,7 +112,7 @@ def test_undated_values_follow_learned_steps(spark):
 def test_fields_come_from_the_latest_filled_rows(spark):
     rows = [row(1, "a", "file", {"path": "p", "size": "10", "revision": "1"}, "antigo"), row(2, "a", "file", {"path": "p", "size": "", "revision": "2"}, None, seconds=60)]
     df = spark.createDataFrame(rows, SCHEMA)
-    found = survivors.with_contents(survivors.survivors(df), df).first()
+    found = survivors.survivors(df, contents=True).first()
     assert found["record_id"] == 1 or found["record_id"] == 2
     assert found["metadata"] == {"path": "p", "size": "10", "revision": "2"} and found["content"] == "antigo" and found["occurred_at"] == (NOW + timedelta(seconds=60)).replace(tzinfo=None)
 

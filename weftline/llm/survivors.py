@@ -205,15 +205,21 @@ def best_rows(grouped: DataFrame) -> DataFrame:
 
 
 def stamped(grouped: DataFrame) -> DataFrame:
-    """Rows with `stamp`: revision, time, export; null where neither revision nor time is known."""
+    """Rows with `at`, their place in the order of revision, time and export within the activity; null where neither revision nor time is known."""
     dated = F.col("revision").isNotNull() | F.col("time").isNotNull()
-    return grouped.select("record_id", "activity", F.when(dated, F.struct("revision", "time", F.col("exported_at").alias("exported"))).alias("stamp"), "time")
+    by_date = Window.partitionBy("activity").orderBy("revision", "time", "exported_at")
+    # rows of equal stamps have the same place
+    return grouped.select("record_id", "activity", "time", F.when(dated, F.dense_rank().over(by_date)).alias("at"))
+
+
+def _kept(metadata: Column) -> Column:
+    return F.map_filter(metadata, lambda _, v: v.rlike(r"\S"))
 
 
 def cells(told: DataFrame, records: DataFrame) -> DataFrame:
-    """activity, field, value, stamp: the filled metadata of every row told more than once."""
-    held = records.where(F.size("metadata") > 0).select("record_id", "metadata").join(told, "record_id")
-    return held.select("activity", "stamp", F.explode("metadata").alias("field", "value")).where(F.col("value").rlike(r"\S"))
+    """activity, field, value, at: the filled metadata of every row told more than once."""
+    held = records.where(F.size("metadata") > 0).select("record_id", "metadata").join(small_side(told), "record_id")
+    return held.select("activity", "at", F.explode(_kept(F.col("metadata"))).alias("field", "value"))
 
 
 def learned_steps(values: DataFrame) -> DataFrame:
@@ -223,8 +229,8 @@ def learned_steps(values: DataFrame) -> DataFrame:
     what is sorted within a group is its recurring values, not its rows.
     """
     recurring = values.groupBy("field", "value").agg(F.count("*").alias("groups")).where(F.col("groups") >= SUPPORT).select("field", "value")
-    by_date = Window.partitionBy("activity", "field").orderBy("stamp", "value")
-    steps = values.where("stamp is not null").join(recurring, ["field", "value"], "left_semi").withColumn("next", F.lead("value").over(by_date)).where("next is not null")
+    by_date = Window.partitionBy("activity", "field").orderBy("at", "value")
+    steps = values.where("at is not null").join(recurring, ["field", "value"], "left_semi").withColumn("next", F.lead("value").over(by_date)).where("next is not null")
     counts = steps.groupBy("field", "value", "next").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     back = counts.select("field", F.col("value").alias("next"), F.col("next").alias("value"), F.col("n").alias("back"))
     return counts.join(back, ["field", "value", "next"], "left").where("n > coalesce(back, 0)").select("field", "value", "next")
@@ -244,22 +250,26 @@ def closed(steps: DataFrame) -> DataFrame:
 
 def fused(told: DataFrame, records: DataFrame) -> DataFrame:
     """activity, metadata: the surviving value of every field."""
-    values = cut(cells(told, records).groupBy("activity", "field", "value").agg(F.max("stamp").alias("stamp"), F.count("*").alias("n")))
+    values = cut(cells(told, records).groupBy("activity", "field", "value").agg(F.max("at").alias("at"), F.count("*").alias("n")))
     # only fields with an undated value among several need the learned precedences
-    unsure = values.groupBy("activity", "field").agg(F.count("*").alias("values"), F.max(F.col("stamp").isNull()).alias("undated")).where("values > 1 and undated")
+    unsure = values.groupBy("activity", "field").agg(F.count("*").alias("values"), F.max(F.col("at").isNull()).alias("undated")).where("values > 1 and undated")
     unsure = cut(values.join(unsure.select("activity", "field"), ["activity", "field"], "left_semi"))
     steps = closed(learned_steps(values).join(unsure.select("field").distinct(), "field", "left_semi"))
-    after = unsure.join(steps, ["field", "value"]).select("activity", "field", "value", "stamp", "next")
-    followed = after.join(unsure.select("activity", "field", F.col("value").alias("next"), F.col("stamp").alias("next_stamp")), ["activity", "field", "next"])
-    followed = cut(followed.where("stamp is null or next_stamp is null").select("activity", "field", "value").distinct().withColumn("followed", F.lit(True)))
-    order = F.struct(F.col("followed").isNull(), F.col("stamp"), F.col("n"), F.length("value"), F.col("value"))
+    after = unsure.join(steps, ["field", "value"]).select("activity", "field", "value", "at", "next")
+    followed = after.join(unsure.select("activity", "field", F.col("value").alias("next"), F.col("at").alias("next_at")), ["activity", "field", "next"])
+    followed = cut(followed.where("at is null or next_at is null").select("activity", "field", "value").distinct().withColumn("followed", F.lit(True)))
+    order = F.struct(F.col("followed").isNull(), F.col("at"), F.col("n"), F.length("value"), F.col("value"))
     chosen = values.join(small_side(followed), ["activity", "field", "value"], "left").groupBy("activity", "field").agg(F.max_by("value", order).alias("value"))
     return chosen.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("metadata"))
 
 
-def survivors(records: DataFrame, least_rows: int = 1) -> DataFrame:
+#: Most activities told once whose ids (16 bytes each) are sent to all executors, so that their contents need not move.
+SENT_IDS = 1_000_000
+
+
+def survivors(records: DataFrame, least_rows: int = 1, contents: bool = False) -> DataFrame:
     """One row an activity told by `least_rows` rows or more: record_id of the best row, n_rows, the fused occurred_at and
-    metadata, and content_id, the record whose content survives (`with_contents` adds the content itself).
+    metadata, and content_id, the record whose content survives; or with `contents` the content itself in its place.
 
     `records` has record_id, uid, source, occurred_at, content, metadata, people, exported_at. Nulls in any column: see
     `groups`; a null or empty map, blank values and null contents add nothing. Ties end at the smallest record_id and the
@@ -268,17 +278,35 @@ def survivors(records: DataFrame, least_rows: int = 1) -> DataFrame:
     """
     grouped = cut(groups(records))
     best = cut(best_rows(grouped).where(F.col("n_rows") >= least_rows))
-    told = cut(stamped(grouped).join(best.select("activity"), "activity", "left_semi"))
+    several = best.where("n_rows > 1")
+    told = cut(stamped(grouped.join(several.select("activity"), "activity", "left_semi")))
     lengths = records.where(F.col("content").rlike(r"\S")).select("record_id", F.length("content").alias("length"))
-    written = told.join(lengths, "record_id").groupBy("activity").agg(F.max_by("record_id", F.struct("stamp", "length", -F.col("record_id"))).alias("content_id"))
-    timed = told.groupBy("activity").agg(F.max_by("time", "stamp").alias("occurred_at"))
-    return best.join(timed, "activity", "left").join(written, "activity", "left").join(fused(told, records), "activity", "left").select("record_id", "n_rows", "content_id", "occurred_at", "metadata")
+    written = lengths.join(small_side(told), "record_id").groupBy("activity").agg(F.max_by("record_id", F.struct("at", "length", -F.col("record_id"))).alias("content_id"))
+    timed = told.groupBy("activity").agg(F.max_by("time", "at").alias("occurred_at"))
+    fused_rows = several.join(timed, "activity", "left").join(written, "activity", "left").join(fused(told, records), "activity", "left").select("record_id", "n_rows", "content_id", "occurred_at", "metadata")
+    if contents:
+        fused_rows = with_contents(fused_rows, records)
+    if least_rows > 1:
+        return fused_rows
+    return fused_rows.unionByName(_told_once(best.where("n_rows = 1").select("record_id", "n_rows"), records).select(fused_rows.columns))
+
+
+def _told_once(ids: DataFrame, records: DataFrame) -> DataFrame:
+    """Activities of one row: there is nothing to choose, so they keep what is filled."""
+    written = F.col("content").rlike(r"\S")
+    own = records.select("record_id", F.when(written, F.col("record_id")).alias("content_id"), F.when(written, F.col("content")).alias("content"), _time().alias("occurred_at"), F.when(F.size(_kept(F.col("metadata"))) > 0, _kept(F.col("metadata"))).alias("metadata"))
+    unnamed = ids.where("record_id is null")
+    named = own.join(small_side(ids.where("record_id is not null"), SENT_IDS), "record_id")
+    return named.unionByName(unnamed, allowMissingColumns=True)
 
 
 def with_contents(survived: DataFrame, records: DataFrame) -> DataFrame:
-    """`survivors` with the surviving content."""
+    """`survivors` with the surviving content. Contents move only where their ids are too many to be sent."""
+    survived = cut(survived)
     contents = records.select(F.col("record_id").alias("content_id"), "content")
-    return survived.join(contents, "content_id", "left").select("record_id", "n_rows", "occurred_at", "content", "metadata")
+    wanted = contents.join(small_side(survived.where("content_id is not null").select("content_id"), SENT_IDS), "content_id", "left_semi")
+    joined = survived.join(wanted, "content_id", "left")
+    return joined.select("record_id", "n_rows", "occurred_at", "content", "metadata")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,5 +314,4 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "records")
-    return with_contents(survivors(records), records)
+    return survivors(table(spark, sf_dir, "records"), contents=True)
