@@ -205,11 +205,9 @@ def best_rows(grouped: DataFrame) -> DataFrame:
 
 
 def stamped(grouped: DataFrame) -> DataFrame:
-    """Rows with `at`, their place in the order of revision, time and export within the activity; null where neither revision nor time is known."""
+    """Rows with `at`: revision, time and export, in this order; null where neither revision nor time is known."""
     dated = F.col("revision").isNotNull() | F.col("time").isNotNull()
-    by_date = Window.partitionBy("activity").orderBy("revision", "time", "exported_at")
-    # rows of equal stamps have the same place
-    return grouped.select("record_id", "activity", "time", F.when(dated, F.dense_rank().over(by_date)).alias("at"))
+    return grouped.select("record_id", "activity", "time", F.when(dated, F.struct("revision", "time", "exported_at")).alias("at"))
 
 
 def _kept(metadata: Column) -> Column:
