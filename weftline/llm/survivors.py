@@ -11,8 +11,9 @@ Best row: greatest numeric revision, then most filled metadata, then latest time
 
 Fusion, field by field, by currency: values dated by a revision or a time follow each other within their group; every
 such step of one value to another is counted over all groups, and a step seen more often than its reverse is a learned
-precedence, and so is what such steps lead to. In a group, dated values are ordered by date and undated ones by the learned precedences only; of this partial
-order a maximal value survives (a value that no other value of its group follows).
+precedence, and so is what such steps lead to. In a group, dated values are ordered by date and undated ones by the
+learned precedences only; of this partial order a maximal value survives (a value that no other value of its group
+follows). Activities told once keep what is filled.
 """
 
 from __future__ import annotations
