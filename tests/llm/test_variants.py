@@ -164,3 +164,21 @@ def test_typing_errors_in_given_names_against_brute_force():
         close = [g for g in givens if len(g) >= 4 and people.near(token, g) == 1]
         wanted = token if token in givens else close[0] if len(token) >= 4 and len(close) == 1 else ""
         assert known.typed(token) == wanted
+
+
+def test_no_table_of_names_is_broadcast(spark, monkeypatch):
+    from weftline.plans import lineage
+
+    plans = []
+
+    def kept(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return lineage.cut(df, *by)
+
+    monkeypatch.setattr(variants, "cut", kept)
+    messages = spark.createDataFrame([(f"{g} {s}",) for g in GIVEN for s in ("Pigrozofla", "Pigrozofa", "Tezavajo")], "sender string")
+    records = spark.createDataFrame([([("mentioned", g)],) for g in GIVEN], "people array<struct<role:string,name:string>>")
+    found = variants.variants(messages, records)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 9 and sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
